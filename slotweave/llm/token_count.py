@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 256 << 10
-TABLE_PIECES = 300_000
+TABLE_PIECES = 400_000
 
 _PIECE = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
@@ -60,18 +60,23 @@ def _tokenizer(path: str):
 
 
 class PieceCounts:
-    """Token counts of pieces, kept in a table of at most TABLE_PIECES entries besides the current text."""
+    """Token counts of pieces, in a table of two generations: when the new one is full, the old one goes.
+
+    So pieces in use stay, and memory is bounded by twice TABLE_PIECES entries besides the current texts.
+    """
 
     def __init__(self, path: str):
         self.encode = _tokenizer(path).encode_batch_fast
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def add(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.known))
-        if len(self.known) + len(new) > TABLE_PIECES:
-            self.known.clear()
-            new = list(pieces)
-        for run in balanced(new):
+        if len(self.known) > TABLE_PIECES:
+            self.older, self.known = self.known, {}
+        new = pieces.difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((p, self.older[p]) for p in again)
+        for run in balanced(list(new - again)):
             self.known.update(zip(run, map(len, self.encode(run, add_special_tokens=False)), strict=True))
 
     def count(self, texts: list[str | None]) -> list[int]:
@@ -83,6 +88,12 @@ class PieceCounts:
         return out
 
 
+@functools.cache
+def piece_counts(path: str) -> PieceCounts:
+    """One table per worker process; what it holds never changes a count."""
+    return PieceCounts(path)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: its id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
@@ -93,7 +104,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = PieceCounts(tokenizer)
+        counts = piece_counts(tokenizer)
         for batch in batches:
             tokens = counts.count(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], ["id", "n_bytes", "n_tokens"])
