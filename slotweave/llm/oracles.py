@@ -34,3 +34,19 @@ SELECT doc_id, size, source_size, target, copies, size * copies AS taken,
        CASE WHEN copies > 0 THEN CAST(phase * 1000000 + floor((used - run[phase + 1]) / (run[phase + 2] - run[phase + 1]) * 1000000.0) AS BIGINT) END AS position
 FROM f
 """
+
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), w AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first_id,
+         list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda i: CAST('0x' || substr(hex, i * 5 + 1, 5) AS BIGINT)) AS parts
+  FROM p
+), b AS (
+  SELECT *, list_transform(parts, lambda v: list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> k) & 31) + 1 AS BIGINT), 1))) AS chars
+  FROM w
+)
+SELECT page_id, payload_bytes, array_to_string(flatten(chars), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+"""

@@ -39,6 +39,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify_languages
 
@@ -50,9 +56,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_quality_rules": op5_quality_rules,
     "op7_mix_sources": op7_mix_sources,
+    "op8_archive_pages": op8_archive_pages,
     "op10_identify_languages": op10_identify_languages,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mix_sources": oracles.MIXTURE,
+    "op8_archive_pages": oracles.WARC,
 }
