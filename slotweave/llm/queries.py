@@ -58,6 +58,14 @@ def op8_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .unigram import encode_texts
+
+    return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify_languages
 
@@ -72,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op7_mix_sources": op7_mix_sources,
     "op8_archive_pages": op8_archive_pages,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_identify_languages": op10_identify_languages,
 }
 
