@@ -8,10 +8,12 @@ threshold and MISS.
 
 1. Texts with equal shingle sets form a class; one document, the smallest id, stands for it.
 2. Sub-keys held by one class only are left out before keys are combined (they can meet nobody).
-3. In each table key the smallest class is the leader; members are compared with it. Only keys whose
-   members then still lie in different components give the pairs across components. So a group of n copies
-   costs about n comparisons, and no candidate pair goes unchecked unless a component already joins it.
-4. A pair is compared on full shingle sets, recomputed from both texts.
+3. In each table key the smallest class is the leader, and members are compared with it on full shingle sets,
+   recomputed from both texts. So a group of n copies costs about n comparisons.
+4. Members of a leader that still lie in different components go on: what each differs in from the group's
+   common core decides exactly which of them can be linked at all (see _compare and _keys), and those that share
+   such entries form the keys of the next round. After ROUNDS rounds what is left is compared pair by pair, so
+   no candidate pair goes unchecked unless a component already joins it.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ SHINGLE = 5
 WIDTH = 2
 #: Bound on the chance that a pair at the threshold meets in no table.
 MISS = 1e-6
+#: Rounds of leaders before single pairs; members from which a group's common core is taken, about.
+ROUNDS = 3
+CORE_SAMPLE = 32
 
 
 def collections_of(percent: int) -> int:
@@ -102,9 +107,14 @@ def features(docs: DataFrame, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sub_keys array<long>")
 
 
+def _paired(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b) with both texts."""
+    first, second = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full shingle sets reach the threshold."""
-    first, second = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +124,103 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 ok.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return _paired(pairs, texts).mapInArrow(run, "a long, b long")
+
+
+def compared(star: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Per pair (a, b): n (size of b's set), linked, and d, the sorted hashes that only one of the sets holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, linked, deltas = [], [], []
+            for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True):
+                d = np.setxor1d(x, y, assume_unique=True)
+                n.append(len(y))
+                linked.append((100 + percent) * len(d) <= (100 - percent) * (len(x) + len(y)))
+                deltas.append(d.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), _lists(deltas)], ["a", "b", "n", "linked", "d"])
+
+    return _paired(star, texts).mapInArrow(run, "a long, b long, n long, linked boolean, d array<long>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
+def _recentred(members: DataFrame) -> DataFrame:
+    """members (a, b, n, d) with d taken from each group's common core instead of from a's set.
+
+    The core holds what most of about CORE_SAMPLE members differ in from a. Any centre keeps the results right; one
+    near the members makes their differences short and unlike.
+    """
+    groups = members.groupBy("a").agg(F.count("*").alias("size"))
+    sample = members.join(groups, "a").filter(F.pmod(F.xxhash64("b"), F.col("size")) < CORE_SAMPLE).groupBy("a").agg(F.collect_list("d").alias("ds"))
+
+    def core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cores = []
+            for row in batch.column(1):
+                values = row.values.values.to_numpy().view(np.uint64)
+                found, count = np.unique(values, return_counts=True)
+                cores.append(found[2 * count > len(row.values)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(cores)], ["a", "core"])
+
+    def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for d, c in zip(batch.column(3), batch.column(4), strict=True):
+                d = d.values.to_numpy().view(np.uint64)
+                out.append((np.setxor1d(d, c.values.to_numpy().view(np.uint64), assume_unique=True) if c.is_valid else d).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(out)], ["a", "b", "n", "d"])
+
+    cores = sample.mapInArrow(core, "a long, core array<long>")
+    return members.join(cores, "a", "left").select("a", "b", "n", "d", "core").mapInArrow(shift, "a long, b long, n long, d array<long>")
+
+
+def _compare(tables: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """One round over keys (key, rep, n): the links found, and each leader's members with what they differ in.
+
+    For members x and y of a group with centre C, the symmetric difference of their sets is that of Dx and Dy, their
+    differences from C. With G = (100 + p) |D| - (100 - p) |X| they are linked exactly if they share at least
+    (Gx + Gy) / (2 (100 + p)) entries of Dx and Dy. So pairs with Gx + Gy <= 0 are linked without a look, and joined
+    through the member of least G.
+    """
+    leader = tables.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).filter("lead.rep < last")
+    star = tables.join(leader.select("key", "lead"), "key").filter(F.col("rep") != F.col("lead.rep"))
+    star = stored(star.select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b")).distinct(), "star")
+    pairs = stored(compared(star.select("a", "b"), texts, percent), "compared")
+    leaders = star.select("a", F.col("a").alias("b"), F.col("n_a").alias("n"), F.array().cast("array<long>").alias("d")).distinct()
+    members = _recentred(pairs.select("a", "b", "n", "d").unionByName(leaders))
+    members = stored(members.withColumn("g", (100 + percent) * F.size("d").cast("long") - (100 - percent) * F.col("n")), "members")
+    centre = members.groupBy("a").agg(F.min(F.struct("g", "b")).alias("c")).select("a", F.col("c.g").alias("g_min"), F.col("c.b").alias("b_min"))
+    members = members.join(centre, "a")
+    near = members.filter((F.col("b") != F.col("b_min")) & (F.col("g") + F.col("g_min") <= 0)).select(F.col("b_min").alias("a"), "b")
+    links = pairs.filter("linked").select("a", "b").unionByName(near).distinct()
+    return stored(links, "links"), members
+
+
+def _keys(members: DataFrame, percent: int) -> DataFrame:
+    """Keys of the next round: two members that may still be linked share an entry among the first ones of D.
+
+    A partner needs at least `share` common entries with x, so one lies among the first |D| - share + 1 of each.
+    """
+    p = F.lit(percent).cast("long")
+    least = F.greatest(
+        F.lit(1).cast("long"),
+        F.ceil((F.col("g") + F.col("g_min")) / (2 * (100 + p))),
+        F.ceil((F.col("g") - (100 - p) * F.ceil(100 * F.col("n") / p)) / (100 + p)),
+    )
+    first = (F.size("d") - least + 1).cast("int")
+    some = members.withColumn("first", first).filter("first > 0").select("a", "b", "n", F.explode(F.slice("d", F.lit(1), F.col("first"))).alias("e"))
+    return some.select(F.xxhash64("a", "e").alias("key"), F.col("b").alias("rep"), "n")
+
+
+def _open(rows: DataFrame, group: str, node: str, roots: DataFrame) -> DataFrame:
+    """Rows of the groups whose nodes lie in two components or more."""
+    rooted = rows.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
+    some = rooted.groupBy(group).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(group)
+    return rooted.join(some, group).drop("root")
 
 
 def _combined(reps: DataFrame, m: int) -> DataFrame:
@@ -153,21 +259,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(ids, "doc_id")
     texts = stored(texts, "candidates")
 
-    leader = tables.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"))
-    star = tables.join(leader, "key").filter((F.col("rep") != F.col("a")) & _fits("n", "n_a", percent)).select("a", F.col("rep").alias("b")).distinct()
-    links = stored(confirmed(star, texts, percent), "star-links")
-    roots = components(links)
-
-    rooted = stored(tables.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root")), "rooted")
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    open_rows = stored(rooted.join(open_keys, "key"), "open")
-    x, y = (open_rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "root")]) for s in "xy")
-    across = x.join(y, "key").filter((F.col("root_x") < F.col("root_y")) & _fits("n_x", "n_y", percent))
-    across = across.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = confirmed(across, texts, percent)
+    links = texts.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+    for step in range(ROUNDS):
+        found, members = _compare(tables, texts, percent)
+        links = links.unionByName(found)
+        roots = components(links)
+        members = _open(members, "a", "b", roots)
+        tables = stored(_open(_keys(members, percent), "key", "rep", roots).distinct(), f"tables{step}")
+        if tables.isEmpty():
+            break
+    else:  # what is still open is compared pair by pair
+        x, y = (tables.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n")], F.coalesce("root", "rep").alias(f"root_{s}")) for s in "xy")
+        across = x.join(y, "key").filter((F.col("root_x") < F.col("root_y")) & _fits("n_x", "n_y", percent))
+        links = links.unionByName(confirmed(across.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct(), texts, percent))
     same_id = sets.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("doc_id")
     own = sets.join(same_id, "doc_id").join(classes.select("set_key", "rep"), "set_key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    roots = components(links.unionByName(more).unionByName(own))
+    roots = components(links.unionByName(own))
 
     named = feats.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left")
     named = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
