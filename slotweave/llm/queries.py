@@ -46,6 +46,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+def op6_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import shared_passages
+
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixture import mix_sources
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_top_k": op3_exact_top_k,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_quality_rules": op5_quality_rules,
+    "op6_shared_passages": op6_shared_passages,
     "op7_mix_sources": op7_mix_sources,
     "op8_archive_pages": op8_archive_pages,
     "op9_sentencepiece": op9_sentencepiece,

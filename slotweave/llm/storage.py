@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +31,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def bloom_joins(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Spark filters the large side of a selective shuffle join by a Bloom filter at any size."""
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored_rows_of(rows: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows whose key (a long) is among the distinct ids, stored; a Bloom filter thins them before they are shuffled."""
+    ids = stored(ids.select(key), f"{name}-ids")
+    every = F.col(key).between(-(1 << 63), (1 << 63) - 1)  # Spark builds the filter from a side that has a condition
+    with bloom_joins(rows.sparkSession):
+        return stored(rows.join(ids.filter(every), key), name)
+
+
+#: Rows of a few numbers that may be broadcast: tens of MB.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """df stored, and marked for broadcast if it has at most SMALL_ROWS rows; otherwise joins shuffle it."""
+    df = stored(df, name)
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
