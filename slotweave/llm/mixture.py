@@ -81,17 +81,18 @@ def _schedule(rank: str) -> tuple[Column, Column]:
     return own, own[PHASES]
 
 
-def mix_sources(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target (its source's), copies, taken (size * copies) and
-    position, the training position of the first copy (null when not taken), range-sorted by position.
+def _position(at: Column) -> Column:
+    """The training position at which a source's demand reaches a place on its tape."""
+    run, total = _schedule("rank")
+    used = F.least(at / F.col("target"), F.lit(1.0)) * total  # schedule weight
+    phase = F.least(F.size(F.filter(run, lambda x: x <= used)) - 1, F.lit(PHASES - 1))
+    inside = (used - run[phase]) / (run[phase + 1] - run[phase])
+    return phase.cast("long") * STEPS + F.floor(inside * F.lit(float(STEPS)))
 
-    size: words by default (`[^\\x20\\x09-\\x0D]+` in text, null: 0). Null is a source of its own, the last.
-    Documents of size 0 are never taken; a source of size 0 has target 0. Each source's taken words differ
-    from its target by at most half the size of the document at the cut. Ties on the tape are ordered by id and
-    size; rows that repeat an id each take their own place. Null ids come first. An empty table gives none.
-    Reruns agree: nothing depends on partitioning. Other columns are ignored.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (n_words("text") if size is None else size).alias("size"))
+
+def _placed(docs: DataFrame, size: Column | None) -> DataFrame:
+    """(doc_id, size, source_size, target, positions): a training position for every copy that the mix takes."""
+    rows = docs.select("doc_id", "source", (n_words("text") if size is None else size).alias("size"))
     rows = stored(rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes")
     by = stored(rows.groupBy("source", F.substring("h", 1, DIGITS).alias("tape")).agg(F.sum("size").alias("n")), "tapes")
     source = targets(by.groupBy("source").agg(F.sum("n").alias("source_size")))
@@ -102,17 +103,35 @@ def mix_sources(docs: DataFrame, size: Column | None = None, id_col: str = "doc_
     placed = rows.withColumn("t", F.substring("h", 1, DIGITS)).join(tapes, F.col("source").eqNullSafe(F.col("s")) & (F.col("t") == F.col("tape")))
     within = Window.partitionBy("s", "tape").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    middle = lambda k: F.col("start") + k * F.col("source_size") + F.col("size") / F.lit(2.0)
-    copies = sum((F.when((F.col("size") > 0) & (middle(k) <= F.col("target")), 1).otherwise(0) for k in range(CAP)), F.lit(0))
-    placed = placed.withColumn("copies", copies.cast("long"))
+    starts = [F.col("start") + k * F.col("source_size") for k in range(CAP)]
+    taken = [(F.col("size") > 0) & (at + F.col("size") / F.lit(2.0) <= F.col("target")) for at in starts]
+    places = [F.when(ok, _position(at)) for at, ok in zip(starts, taken, strict=True)]
+    return placed.select("doc_id", "size", "source_size", "target", F.array_compact(F.array(*places)).alias("positions"))
 
-    run, total = _schedule("rank")
-    # schedule weight used up when the demand reaches the document's start
-    placed = placed.withColumn("used", F.least(F.col("start") / F.col("target"), F.lit(1.0)) * total).withColumn("run", run)
-    phase = F.least(F.size(F.filter("run", lambda x: x <= F.col("used"))) - 1, F.lit(PHASES - 1))
-    placed = placed.withColumn("phase", phase)
-    inside = (F.col("used") - F.col("run")[F.col("phase")]) / (F.col("run")[F.col("phase") + 1] - F.col("run")[F.col("phase")])
-    position = F.col("phase").cast("long") * STEPS + F.floor(inside * F.lit(float(STEPS)))
-    out = placed.withColumn("position", F.when(F.col("copies") > 0, position))
-    out = out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "position")
+
+def mix_sources(docs: DataFrame, size: Column | None = None) -> DataFrame:
+    """Per row of docs (doc_id, source, text): doc_id, size, source_size, target (its source's), copies, taken
+    (size * copies) and position, the training position of the first copy (null when not taken), range-sorted by
+    position.
+
+    size: words by default (`[^\\x20\\x09-\\x0D]+` in text, null: 0). Null is a source of its own, the last.
+    Documents of size 0 are never taken; a source of size 0 has target 0. Each source's taken words differ
+    from its target by at most half the size of the document at the cut. Ties on the tape are ordered by id and
+    size; rows that repeat an id each take their own place. Null ids come first. An empty table gives none.
+    Reruns agree: nothing depends on partitioning. Other columns are ignored.
+    """
+    copies = F.size("positions").cast("long")
+    out = _placed(docs, size).select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), F.get("positions", F.lit(0)).alias("position"))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def mixed(docs: DataFrame, size: Column | None = None) -> DataFrame:
+    """The mix itself: a row of docs for every copy taken, range-sorted by training position.
+
+    Of rows that repeat a doc_id one is meant; rows with a null doc_id can't be traced to a place and are left out.
+    """
+    some = docs.filter(F.col("doc_id").isNotNull())
+    taken = _placed(some, size).filter(F.size("positions") > 0).groupBy("doc_id").agg(F.max("positions").alias("_positions"))
+    taken = stored(taken, "taken")
+    copies = some.join(taken, "doc_id").withColumn("_position", F.explode("_positions"))
+    return copies.orderBy("_position", "doc_id").select(*docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .storage import stored
+from .storage import small, stored
 
 SHINGLE = 5
 WIDTH = 2
@@ -280,3 +280,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     named = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs with one document of each group of near-duplicates, all columns; rows with a null doc_id stay.
+
+    Of rows that repeat a doc_id with equal text only one is left. The ids to drop are broadcast where they are at
+    most SMALL_ROWS, else joined.
+    """
+    gone = small(near_duplicates(docs, percent).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    left = docs.join(gone, "doc_id", "left_anti")
+    twice = stored(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    again = left.join(twice, "doc_id").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, "doc_id", "left_anti").unionByName(again).select(*docs.columns)

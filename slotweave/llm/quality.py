@@ -110,20 +110,21 @@ def vectors(c: np.ndarray) -> np.ndarray:
     return np.round(np.stack(x, 1) * SCALE).astype(np.int32)
 
 
-def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs' columns but the text, with the statistics of every whole text and its vector x."""
-    rest = [c for c in docs.columns if c != text_col]
+def text_counts(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """docs' columns (text only if asked) with the statistics of every whole text, base_failed and its vector x."""
+    rest = [c for c in docs.columns if c != "text" or keep_text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema) + "".join(f", {c} long" for c in _COUNTS) + ", x array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = np.concatenate([block_counts(b) for b in K.texts(batch.column(0))], 1)
+            c = np.concatenate([block_counts(b) for b in K.texts(batch.column(batch.schema.get_field_index("text")))], 1)
             x = pa.ListArray.from_arrays(np.arange(0, c.shape[1] * DIM + 1, DIM, dtype=np.int32), pa.array(vectors(c).ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, c), x], [*rest, *_COUNTS, "x"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in rest], *map(pa.array, c), x], [*rest, *_COUNTS, "x"])
 
-    return docs.select(text_col, *rest).mapInArrow(run, schema)
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return docs.mapInArrow(run, schema).withColumn("base_failed", base)
 
 
 def chi2_quantile(p: float, dim: int) -> float:
@@ -139,19 +140,25 @@ def chi2_cdf(x: float, dim: int) -> float:
 CONSISTENCY = H / chi2_cdf(chi2_quantile(H, DIM), DIM + 2)
 
 
-def _with_pool(rows: DataFrame) -> DataFrame:
-    """Adds pool: language and source; where those have under MIN_ROWS rows that pass the base rules, the
+def _group_keys() -> dict:
+    return {f"_{c}": F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source")}
+
+
+def _pools(rows: DataFrame) -> DataFrame:
+    """(_lang, _source, pool): language and source; where those have under MIN_ROWS rows that pass the base rules, the
     language's small sources together; where those are still few, all such languages together; else null."""
-    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source"))
-    rows = rows.withColumns({"_l": lang, "_s": source})
-    groups = rows.groupBy("_l", "_s").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n"))
+    groups = rows.withColumns(_group_keys()).groupBy("_lang", "_source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n"))
     own = F.col("n") >= MIN_ROWS
-    left = lambda *w: F.sum(F.when(own, 0).otherwise(F.col("n"))).over(Window.partitionBy(*w))
-    groups = groups.withColumn("n_lang", left("_l"))
+    left = F.sum(F.when(own, 0).otherwise(F.col("n"))).over(Window.partitionBy("_lang"))
+    groups = groups.withColumn("n_lang", left)
     small = ~own & (F.col("n_lang") < MIN_ROWS)
     rest = groups.filter(small).agg(F.coalesce(F.sum("n"), F.lit(0)) >= MIN_ROWS).first()[0]  # one boolean
-    pool = F.when(own, F.concat_ws("\0", "_l", "_s")).when(~small, F.concat_ws("\0", "_l", F.lit("*"))).when(F.lit(bool(rest)), F.lit("*"))
-    return rows.join(groups.select("_l", "_s", pool.alias("pool")), ["_l", "_s"], "left").drop("_l", "_s")
+    pool = F.when(own, F.concat_ws("\0", "_lang", "_source")).when(~small, F.concat_ws("\0", "_lang", F.lit("*"))).when(F.lit(bool(rest)), F.lit("*"))
+    return groups.select("_lang", "_source", pool.alias("pool"))
+
+
+def _in_pools(rows: DataFrame, pools: DataFrame) -> DataFrame:
+    return rows.withColumns(_group_keys()).join(pools, ["_lang", "_source"], "left").drop("_lang", "_source")
 
 
 def _cut(bins: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -220,6 +227,27 @@ def _estimate(rows: DataFrame, before: DataFrame) -> DataFrame:
     return sums.mapInPandas(run, _ESTIMATE)
 
 
+_OWN = {*_COUNTS, "x", "pool", "base_failed", "distance2", "kept", "d2", "_lang", "_source"}
+
+
+def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pools and their estimates for rows of text_counts, which are read once."""
+    rows = stored(rows.select("lang", "source", "base_failed", "x"), "quality-counts")
+    pools = stored(_pools(rows), "quality-pools")
+    passing = stored(_in_pools(rows.filter(~F.col("base_failed")), pools).filter(F.col("pool").isNotNull()).select("pool", "x"), "quality-vectors")
+    estimates = stored(_start(passing), "quality-start")
+    for step in range(STEPS):
+        estimates = stored(_estimate(passing, estimates), f"quality-step{step}")
+    return pools, estimates
+
+
+def judged(rows: DataFrame, pools: DataFrame, estimates: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """rows of text_counts with distance2 and kept."""
+    out = _distance(_in_pools(rows, pools), estimates)
+    far = F.coalesce(F.col("d2") > chi2_quantile(1 - alpha, DIM), F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).withColumnRenamed("d2", "distance2").drop("x", "pool")
+
+
 def quality_rules(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Per row of docs: its columns but text, the statistics of the whole text, base_failed, distance2, kept.
 
@@ -227,19 +255,18 @@ def quality_rules(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     result. base_failed: under 10 words, or over a fifth of the words in 5-word windows that repeat. A text
     that passes is kept unless its squared distance exceeds the chi-squared quantile of 1 - alpha. Rows that
     fail the base rules take no part in the fit. A null language or source is a value of its own; groups of
-    few rows are pooled (see _with_pool), and where no pool has MIN_ROWS rows the base rules decide alone.
+    few rows are pooled (see _pools), and where no pool has MIN_ROWS rows the base rules decide alone.
     Null or empty texts have no words and fail. Repeated rows each count and each give a row; an empty
     table gives none.
     """
-    own = {*_COUNTS, "x", "pool", "base_failed", "distance2", "kept", "d2", "_l", "_s"}
-    counts = text_counts(docs.select(*[c for c in docs.columns if c not in own]))
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = stored(counts.withColumn("base_failed", base), "quality-counts")
-    rows = stored(_with_pool(rows), "quality-pools")
-    fit = rows.filter(~F.col("base_failed") & F.col("pool").isNotNull()).select("pool", "x")
-    estimates = stored(_start(fit), "quality-start")
-    for step in range(STEPS):
-        estimates = stored(_estimate(fit, estimates), f"quality-step{step}")
-    out = _distance(rows, estimates)
-    far = F.coalesce(F.col("d2") > chi2_quantile(1 - alpha, DIM), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).withColumnRenamed("d2", "distance2").drop("x", "pool")
+    rows = stored(text_counts(docs.select(*[c for c in docs.columns if c not in _OWN])), "quality-rows")
+    return judged(rows, *fit(rows), alpha)
+
+
+def passing(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """The rows of docs that quality_rules keeps, all columns. Texts are counted again, which moves none of them."""
+    clash = [c for c in docs.columns if c in _OWN]
+    rows = docs.select("text", "lang", "source")
+    pools, estimates = fit(text_counts(rows))
+    named = docs.withColumnsRenamed({c: f"__{c}" for c in clash})
+    return judged(text_counts(named, keep_text=True), pools, estimates, alpha).filter("kept").select(*[F.col(f"__{c}" if c in clash else c).alias(c) for c in docs.columns])
