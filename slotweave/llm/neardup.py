@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .storage import small, stored
+from .storage import small, stored, stored_rows_of
 
 SHINGLE = 5
 WIDTH = 2
@@ -38,7 +38,7 @@ WIDTH = 2
 MISS = 1e-6
 #: Rounds of leaders before single pairs; members from which a group's common core is taken, about.
 ROUNDS = 3
-CORE_SAMPLE = 32
+CORE_SAMPLE = 15
 
 
 def collections_of(percent: int) -> int:
@@ -108,9 +108,9 @@ def features(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _paired(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) with both texts."""
+    """pairs (a, b, ...) with both texts behind."""
     first, second = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
+    return pairs.join(first, "a").join(second, "b").select(*pairs.columns, "text_a", "text_b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -128,19 +128,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def compared(star: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Per pair (a, b): n (size of b's set), linked, and d, the sorted hashes that only one of the sets holds."""
-
+    """Per pair (a, b, deep): n (size of b's set), linked, and where deep d, the sorted hashes that only one set holds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, linked, deltas = [], [], []
-            for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True):
+            for deep, x, y in zip(batch.column(2).to_pylist(), shingle_sets(batch.column(3)), shingle_sets(batch.column(4)), strict=True):
                 d = np.setxor1d(x, y, assume_unique=True)
                 n.append(len(y))
                 linked.append((100 + percent) * len(d) <= (100 - percent) * (len(x) + len(y)))
-                deltas.append(d.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), _lists(deltas)], ["a", "b", "n", "linked", "d"])
+                deltas.append(d.view(np.int64) if deep else d[:0].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), _lists(deltas)], ["a", "b", "deep", "n", "linked", "d"])
 
-    return _paired(star, texts).mapInArrow(run, "a long, b long, n long, linked boolean, d array<long>")
+    return _paired(star, texts).mapInArrow(run, "a long, b long, deep boolean, n long, linked boolean, d array<long>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -151,10 +150,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def _recentred(members: DataFrame) -> DataFrame:
     """members (a, b, n, d) with d taken from each group's common core instead of from a's set.
 
-    The core holds what most of about CORE_SAMPLE members differ in from a. Any centre keeps the results right; one
-    near the members makes their differences short and unlike.
+    The core holds what most of about CORE_SAMPLE members differ in from a; smaller groups keep a as centre. Any
+    centre keeps the results right; one near the members makes their differences short and unlike.
     """
-    groups = members.groupBy("a").agg(F.count("*").alias("size"))
+    groups = members.groupBy("a").agg(F.count("*").alias("size")).filter(F.col("size") > CORE_SAMPLE)
     sample = members.join(groups, "a").filter(F.pmod(F.xxhash64("b"), F.col("size")) < CORE_SAMPLE).groupBy("a").agg(F.collect_list("d").alias("ds"))
 
     def core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,26 +177,31 @@ def _recentred(members: DataFrame) -> DataFrame:
     return members.join(cores, "a", "left").select("a", "b", "n", "d", "core").mapInArrow(shift, "a long, b long, n long, d array<long>")
 
 
-def _compare(tables: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """One round over keys (key, rep, n): the links found, and each leader's members with what they differ in.
+def _compare(tables: DataFrame, texts: DataFrame, percent: int, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round over keys (key, rep, n): all links so far, their components, and the members of each leader whose
+    group lies in several components, with what they differ in.
 
     For members x and y of a group with centre C, the symmetric difference of their sets is that of Dx and Dy, their
     differences from C. With G = (100 + p) |D| - (100 - p) |X| they are linked exactly if they share at least
     (Gx + Gy) / (2 (100 + p)) entries of Dx and Dy. So pairs with Gx + Gy <= 0 are linked without a look, and joined
-    through the member of least G.
+    through the member of least G. A leader with one other member is settled by comparing the two.
     """
     leader = tables.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).filter("lead.rep < last")
     star = tables.join(leader.select("key", "lead"), "key").filter(F.col("rep") != F.col("lead.rep"))
     star = stored(star.select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b")).distinct(), "star")
-    pairs = stored(compared(star.select("a", "b"), texts, percent), "compared")
-    leaders = star.select("a", F.col("a").alias("b"), F.col("n_a").alias("n"), F.array().cast("array<long>").alias("d")).distinct()
-    members = _recentred(pairs.select("a", "b", "n", "d").unionByName(leaders))
+    sizes = star.groupBy("a").agg((F.count("*") > 1).alias("deep"))
+    pairs = stored(compared(star.join(sizes, "a").select("a", "b", "deep"), texts, percent), "compared")
+    links = stored(links.unionByName(pairs.filter("linked").select("a", "b")).distinct(), "links")
+    leaders = star.join(sizes, "a").filter("deep").select("a", F.col("a").alias("b"), F.col("n_a").alias("n"), F.array().cast("array<long>").alias("d")).distinct()
+    members = pairs.filter("deep").select("a", "b", "n", "d").unionByName(leaders)
+    members = _recentred(stored(_open(members, "a", "b", components(links)), "differences"))
     members = stored(members.withColumn("g", (100 + percent) * F.size("d").cast("long") - (100 - percent) * F.col("n")), "members")
     centre = members.groupBy("a").agg(F.min(F.struct("g", "b")).alias("c")).select("a", F.col("c.g").alias("g_min"), F.col("c.b").alias("b_min"))
     members = members.join(centre, "a")
     near = members.filter((F.col("b") != F.col("b_min")) & (F.col("g") + F.col("g_min") <= 0)).select(F.col("b_min").alias("a"), "b")
-    links = pairs.filter("linked").select("a", "b").unionByName(near).distinct()
-    return stored(links, "links"), members
+    links = stored(links.unionByName(near).distinct(), "links")
+    roots = components(links)
+    return links, roots, _open(members, "a", "b", roots)
 
 
 def _keys(members: DataFrame, percent: int) -> DataFrame:
@@ -256,15 +260,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = stored(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sub_keys").alias("sub_keys")), "classes")
     tables = stored(_combined(classes, m), "tables")
     ids = tables.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(ids, "doc_id")
-    texts = stored(texts, "candidates")
+    texts = stored_rows_of(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text"), ids, "doc_id", "candidates")
 
     links = texts.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
     for step in range(ROUNDS):
-        found, members = _compare(tables, texts, percent)
-        links = links.unionByName(found)
-        roots = components(links)
-        members = _open(members, "a", "b", roots)
+        links, roots, members = _compare(tables, texts, percent, links)
         tables = stored(_open(_keys(members, percent), "key", "rep", roots).distinct(), f"tables{step}")
         if tables.isEmpty():
             break
