@@ -10,10 +10,11 @@ threshold and MISS.
 2. Sub-keys held by one class only are left out before keys are combined (they can meet nobody).
 3. In each table key the smallest class is the leader, and members are compared with it on full shingle sets,
    recomputed from both texts. So a group of n copies costs about n comparisons.
-4. Members of a leader that still lie in different components go on: what each differs in from the group's
-   common core decides exactly which of them can be linked at all (see _compare and _keys), and those that share
-   such entries form the keys of the next round. After ROUNDS rounds what is left is compared pair by pair, so
-   no candidate pair goes unchecked unless a component already joins it.
+4. Members of a leader that still lie in different components go on. Up to SMALL_GROUP of them are compared with one
+   another. In larger groups what each differs in from the group's common core decides exactly which of them can be
+   linked at all (see _compare and _keys), and those that share such entries form the keys of the next round. After
+   ROUNDS rounds what is left is compared pair by pair, so no candidate pair goes unchecked unless a component
+   already joins it.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ MISS = 1e-6
 #: Rounds of leaders before single pairs; members from which a group's common core is taken, about.
 ROUNDS = 3
 CORE_SAMPLE = 15
+#: Members of a leader among whom the pairs across components are compared directly.
+SMALL_GROUP = 16
 
 
 def collections_of(percent: int) -> int:
@@ -150,17 +153,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def _recentred(members: DataFrame) -> DataFrame:
     """members (a, b, n, d) with d taken from each group's common core instead of from a's set.
 
-    The core holds what most of about CORE_SAMPLE members differ in from a; smaller groups keep a as centre. Any
-    centre keeps the results right; one near the members makes their differences short and unlike.
+    The core holds what most of about CORE_SAMPLE members differ in from a. Any centre keeps the results right; one
+    near the members makes their differences short and unlike.
     """
-    groups = members.groupBy("a").agg(F.count("*").alias("size")).filter(F.col("size") > CORE_SAMPLE)
+    groups = small(members.groupBy("a").agg(F.count("*").alias("size")), "group-sizes")
     sample = members.join(groups, "a").filter(F.pmod(F.xxhash64("b"), F.col("size")) < CORE_SAMPLE).groupBy("a").agg(F.collect_list("d").alias("ds"))
 
     def core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cores = []
             for row in batch.column(1):
-                values = row.values.values.to_numpy().view(np.uint64)
+                values = row.values.flatten().to_numpy().view(np.uint64)
                 found, count = np.unique(values, return_counts=True)
                 cores.append(found[2 * count > len(row.values)].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(cores)], ["a", "core"])
@@ -173,35 +176,60 @@ def _recentred(members: DataFrame) -> DataFrame:
                 out.append((np.setxor1d(d, c.values.to_numpy().view(np.uint64), assume_unique=True) if c.is_valid else d).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(out)], ["a", "b", "n", "d"])
 
-    cores = sample.mapInArrow(core, "a long, core array<long>")
+    cores = small(sample.mapInArrow(core, "a long, core array<long>"), "cores", 200)
     return members.join(cores, "a", "left").select("a", "b", "n", "d", "core").mapInArrow(shift, "a long, b long, n long, d array<long>")
 
 
+def _star(tables: DataFrame) -> DataFrame:
+    """(a, n_a, b, n, size): each key's smallest class with the others, and the number of members of a."""
+    leader = tables.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).filter("lead.rep < last")
+    star = tables.join(leader.select("key", "lead"), "key").filter(F.col("rep") != F.col("lead.rep"))
+    star = stored(star.select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b"), "n").distinct(), "star")
+    sizes = star.groupBy("a").agg(F.count("*").alias("size"))
+    return stored(star.join(sizes, "a"), "sized-star")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, node: str = "b") -> DataFrame:
+    return rows.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
+
+
+def _within(star: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one leader in different components, for leaders of at most SMALL_GROUP members."""
+    rows = stored(_rooted(star.filter(F.col("size").between(2, SMALL_GROUP)).select("a", "b", "n"), roots), "small-groups")
+    x, y = (rows.select("a", *[F.col(c).alias(f"{c}_{s}") for c in ("b", "n", "root")]) for s in "xy")
+    pairs = x.join(y, "a").filter((F.col("root_x") < F.col("root_y")) & _fits("n_x", "n_y", percent))
+    return pairs.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+
+
 def _compare(tables: DataFrame, texts: DataFrame, percent: int, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round over keys (key, rep, n): all links so far, their components, and the members of each leader whose
-    group lies in several components, with what they differ in.
+    """One round over keys (key, rep, n): all links so far, their components, and the members of the large groups
+    that lie in several components, with what they differ in.
 
     For members x and y of a group with centre C, the symmetric difference of their sets is that of Dx and Dy, their
     differences from C. With G = (100 + p) |D| - (100 - p) |X| they are linked exactly if they share at least
     (Gx + Gy) / (2 (100 + p)) entries of Dx and Dy. So pairs with Gx + Gy <= 0 are linked without a look, and joined
-    through the member of least G. A leader with one other member is settled by comparing the two.
+    through the member of least G. Differences stay where they were computed: only ids and counts are joined to them.
     """
-    leader = tables.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).filter("lead.rep < last")
-    star = tables.join(leader.select("key", "lead"), "key").filter(F.col("rep") != F.col("lead.rep"))
-    star = stored(star.select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b")).distinct(), "star")
-    sizes = star.groupBy("a").agg((F.count("*") > 1).alias("deep"))
-    pairs = stored(compared(star.join(sizes, "a").select("a", "b", "deep"), texts, percent), "compared")
+    star = _star(tables)
+    deep = F.col("size") > SMALL_GROUP
+    pairs = stored(compared(star.select("a", "b", deep.alias("deep")), texts, percent), "compared")
     links = stored(links.unionByName(pairs.filter("linked").select("a", "b")).distinct(), "links")
-    leaders = star.join(sizes, "a").filter("deep").select("a", F.col("a").alias("b"), F.col("n_a").alias("n"), F.array().cast("array<long>").alias("d")).distinct()
-    members = pairs.filter("deep").select("a", "b", "n", "d").unionByName(leaders)
-    members = _recentred(stored(_open(members, "a", "b", components(links)), "differences"))
-    members = stored(members.withColumn("g", (100 + percent) * F.size("d").cast("long") - (100 - percent) * F.col("n")), "members")
+    roots = components(links)
+    links = stored(links.unionByName(confirmed(_within(star, roots, percent), texts, percent)).distinct(), "links")
+    roots = components(links)
+
+    members = pairs.filter("deep").select("a", "b", "n", "d")
+    leaders = star.filter(deep).select("a", F.col("a").alias("b"), F.col("n_a").alias("n"), F.array().cast("array<long>").alias("d")).distinct()
+    wanted = small(_open_groups(_rooted(star.filter(deep).select("a", "b").unionByName(leaders.select("a", "b")), roots), "a"), "open-groups")
+    members = stored(_recentred(members.unionByName(leaders).join(wanted, "a")), "members")
+    members = members.withColumn("g", (100 + percent) * F.size("d").cast("long") - (100 - percent) * F.col("n"))
     centre = members.groupBy("a").agg(F.min(F.struct("g", "b")).alias("c")).select("a", F.col("c.g").alias("g_min"), F.col("c.b").alias("b_min"))
-    members = members.join(centre, "a")
+    members = members.join(small(centre, "centres"), "a")
     near = members.filter((F.col("b") != F.col("b_min")) & (F.col("g") + F.col("g_min") <= 0)).select(F.col("b_min").alias("a"), "b")
     links = stored(links.unionByName(near).distinct(), "links")
     roots = components(links)
-    return links, roots, _open(members, "a", "b", roots)
+    wanted = small(_open_groups(_rooted(members.select("a", "b"), roots), "a"), "open-groups")
+    return links, roots, members.join(wanted, "a")
 
 
 def _keys(members: DataFrame, percent: int) -> DataFrame:
@@ -220,11 +248,9 @@ def _keys(members: DataFrame, percent: int) -> DataFrame:
     return some.select(F.xxhash64("a", "e").alias("key"), F.col("b").alias("rep"), "n")
 
 
-def _open(rows: DataFrame, group: str, node: str, roots: DataFrame) -> DataFrame:
-    """Rows of the groups whose nodes lie in two components or more."""
-    rooted = rows.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
-    some = rooted.groupBy(group).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(group)
-    return rooted.join(some, group).drop("root")
+def _open_groups(rooted: DataFrame, group: str) -> DataFrame:
+    """Those groups whose nodes lie in two components or more."""
+    return rooted.groupBy(group).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(group)
 
 
 def _combined(reps: DataFrame, m: int) -> DataFrame:
@@ -265,7 +291,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = texts.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
     for step in range(ROUNDS):
         links, roots, members = _compare(tables, texts, percent, links)
-        tables = stored(_open(_keys(members, percent), "key", "rep", roots).distinct(), f"tables{step}")
+        keys = stored(_rooted(_keys(members, percent), roots, "rep"), "keys")
+        tables = stored(keys.join(_open_groups(keys, "key"), "key").drop("root").distinct(), f"tables{step}")
         if tables.isEmpty():
             break
     else:  # what is still open is compared pair by pair

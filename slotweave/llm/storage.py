@@ -57,7 +57,7 @@ def stored_rows_of(rows: DataFrame, ids: DataFrame, key: str, name: str) -> Data
 SMALL_ROWS = 500_000
 
 
-def small(df: DataFrame, name: str) -> DataFrame:
-    """df stored, and marked for broadcast if it has at most SMALL_ROWS rows; otherwise joins shuffle it."""
+def small(df: DataFrame, name: str, rows: int = SMALL_ROWS) -> DataFrame:
+    """df stored, and marked for broadcast if it has at most `rows` rows; otherwise joins shuffle it."""
     df = stored(df, name)
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
