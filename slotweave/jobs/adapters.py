@@ -5,6 +5,12 @@ Irregular cases (a missing line, a conflicting line, a forged quote, a blank cel
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +107,36 @@ def grid_runs(cells: DataFrame) -> DataFrame:
 
 def empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], struct(ddl))
+
+
+def zipped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(form_id, payload): a zipped form per document, its lines as a table in the first of two sections.
+
+    The spine names the sections against the order of their names; some forms have a fault, dealt by key.
+    """
+    from slotweave.sources.packages import MANIFEST, MIMETYPE
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                row = '<tr><tc><cellAddr rowAddr="{i}" colAddr="0"/><subList><p><run><t>line {i}</t></run></p></subList></tc><tc><cellAddr rowAddr="{i}" colAddr="1"/><cellSpan colSpan="2" rowSpan="1"/><subList><p><run><t>{t}</t></run></p></subList></tc></tr>'
+                rows = "".join(row.format(i=i, t=escape(line)) for i, line in enumerate(text.split("\n")))
+                items = "".join(f'<item id="{i}" href="{h}"/>' for i, h in (("a", "Contents/section1.xml"), ("b", "Contents/section0.xml"), ("h", "Contents/header.xml")))
+                parts = [
+                    ("mimetype", b"text/plain" if k % 9 == 3 else MIMETYPE),
+                    ("../x" if k % 9 == 4 else "Preview/PrvText.txt", text.encode()),
+                    ("Contents/section0.xml", b"<sec><p/></sec>" if k % 9 != 7 else b"<!DOCTYPE x><sec/>"),
+                    ("Contents/section1.xml", f"<sec><p><run><tbl>{rows}</tbl></run></p></sec>".encode()),
+                    ("Contents/header.xml", b"<head/>"),
+                    ("Contents/other.hpf" if k % 9 == 5 else MANIFEST, f'<package><manifest>{items}</manifest><spine><itemref idref="h"/><itemref idref="a"/><itemref idref="b"/>{"<itemref idref=%s/>" % chr(34).join(["", "zz", ""]) if k % 9 == 6 else ""}</spine></package>'.encode()),
+                ]
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as z:
+                    for path, content in parts:
+                        z.writestr(zipfile.ZipInfo(path), content, zipfile.ZIP_STORED if path == "mimetype" else zipfile.ZIP_DEFLATED)
+                out.append((f"d-{k}", data.getvalue()))
+            yield pd.DataFrame(out, columns=["form_id", "payload"])
+
+    docs = table(spark, sf_dir, "documents").filter("text <> '' AND NOT text RLIKE '[\\\\x00-\\\\x08\\\\x0b-\\\\x1f]'").select("doc_id", "text")
+    return docs.mapInPandas(build, "form_id string, payload binary")
