@@ -201,9 +201,9 @@ def _within(star: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
 
 
-def _compare(tables: DataFrame, texts: DataFrame, percent: int, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _compare(tables: DataFrame, texts: DataFrame, percent: int, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """One round over keys (key, rep, n): all links so far, their components, and the members of the large groups
-    that lie in several components, with what they differ in.
+    that lie in several components, with what they differ in (None if there is none).
 
     For members x and y of a group with centre C, the symmetric difference of their sets is that of Dx and Dy, their
     differences from C. With G = (100 + p) |D| - (100 - p) |X| they are linked exactly if they share at least
@@ -215,12 +215,13 @@ def _compare(tables: DataFrame, texts: DataFrame, percent: int, links: DataFrame
     pairs = stored(compared(star.select("a", "b", deep.alias("deep")), texts, percent), "compared")
     links = stored(links.unionByName(pairs.filter("linked").select("a", "b")).distinct(), "links")
     roots = components(links)
-    links = stored(links.unionByName(confirmed(_within(star, roots, percent), texts, percent)).distinct(), "links")
-    roots = components(links)
+    links = links.unionByName(confirmed(_within(star, roots, percent), texts, percent))
 
     members = pairs.filter("deep").select("a", "b", "n", "d")
     leaders = star.filter(deep).select("a", F.col("a").alias("b"), F.col("n_a").alias("n"), F.array().cast("array<long>").alias("d")).distinct()
     wanted = small(_open_groups(_rooted(star.filter(deep).select("a", "b").unionByName(leaders.select("a", "b")), roots), "a"), "open-groups")
+    if wanted.isEmpty():
+        return stored(links, "links"), roots, None
     members = stored(_recentred(members.unionByName(leaders).join(wanted, "a")), "members")
     members = members.withColumn("g", (100 + percent) * F.size("d").cast("long") - (100 - percent) * F.col("n"))
     centre = members.groupBy("a").agg(F.min(F.struct("g", "b")).alias("c")).select("a", F.col("c.g").alias("g_min"), F.col("c.b").alias("b_min"))
@@ -291,6 +292,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = texts.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
     for step in range(ROUNDS):
         links, roots, members = _compare(tables, texts, percent, links)
+        if members is None:
+            break
         keys = stored(_rooted(_keys(members, percent), roots, "rep"), "keys")
         tables = stored(keys.join(_open_groups(keys, "key"), "key").drop("root").distinct(), f"tables{step}")
         if tables.isEmpty():

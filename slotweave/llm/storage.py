@@ -60,4 +60,4 @@ SMALL_ROWS = 500_000
 def small(df: DataFrame, name: str, rows: int = SMALL_ROWS) -> DataFrame:
     """df stored, and marked for broadcast if it has at most `rows` rows; otherwise joins shuffle it."""
     df = stored(df, name)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df  # the count comes from the files' footers
