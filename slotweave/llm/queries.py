@@ -93,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_top_k": oracles.TOP_K,
+    "op4_near_duplicates": oracles.NEAR_DUPLICATES,
     "op7_mix_sources": oracles.MIXTURE,
     "op8_archive_pages": oracles.WARC,
 }
