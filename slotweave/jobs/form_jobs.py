@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotweave.jobs import adapters as A
+from slotweave.jobs.extract_jobs import ORDER_DOCS
 from slotweave.operators import candidates, extract, tables
 from slotweave.operators.tables import TABLE
 
@@ -204,6 +205,10 @@ UNION ALL SELECT p_partkey, p_name || ' #1', p_type, 1 FROM part WHERE p_partkey
 w(m, text) AS (VALUES (0, '서울특별시 / 04524'), (1, '이름: 홍길동'), (2, '시작 시각 09시 00분 부터 종료 시각 18시 00분 까지'), (3, '{총사업비}'), (4, '0'), (5, '천원'), (6, '총사업비 10원, 보조금 5원'))
 SELECT event_id, CASE WHEN part > 0 THEN event_type || ' #' || part ELSE event_type END AS label, text AS original_text, status, part, 0 AS subpart FROM events JOIN x ON m = event_id % 7 WHERE event_id % 10 <> 9
 UNION ALL SELECT event_id, event_type, text, 'fixed', 0, 0 FROM events JOIN w ON m = event_id % 7 WHERE event_id % 10 = 9""",
+    "f15_build_fields": rf"""{_WITH}, {ORDER_DOCS}, p AS (SELECT 'g-' || k AS form_id, seq, text, trim(text) AS s FROM lines), u AS (
+  SELECT form_id, 'paragraph' AS origin, seq AS row, 0 AS col, substr(s, 1, 40) AS label, text AS original_text FROM p WHERE {_PARAGRAPH} = 'normal'
+  UNION ALL SELECT DISTINCT form_id, 'table', row, col, cell_label, trim(text) FROM labelled WHERE row > 0 AND col > 0 AND trim(text) <> '')
+SELECT form_id, CAST(row_number() OVER (PARTITION BY form_id ORDER BY origin, row, col, original_text) AS INTEGER) AS no, label, original_text, origin FROM u""",
     "f16_public_fields": f"{_FORM} SELECT form_id, field_id, label, nullif(unit, 'text') AS unit, reason IS NULL AS editable, required, CASE WHEN reason IS NULL THEN 'normal' ELSE 'blocked' END AS status, row, col, 0 AS para FROM fields",
     "f17_form_profile": f"{_FORM}, p AS (SELECT form_id, count(*) AS n_fields, count(*) FILTER (rule = 1) AS n_rule1, count(*) FILTER (rule = 4) AS n_rule4, count(*) FILTER (rule = 2) AS n_rule2, count(*) FILTER (rule = 3) AS n_rule3, count(*) FILTER (reason IS NULL) AS n_editable, count(reason) AS n_protected FROM fields GROUP BY 1) SELECT *, CASE WHEN n_protected > 0 THEN n_protected || ' protected' END AS warning FROM p",
     "f18_correct_candidates": f"{_FORM} SELECT form_id, field_id, CASE WHEN row = 1 AND reason IS NULL THEN 'renamed' ELSE label END AS label, reason IS NULL AND row <> 1 AS editable FROM fields",
