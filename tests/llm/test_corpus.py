@@ -75,6 +75,30 @@ def test_passages(spark):
     assert left[1] == rows[0][1] and left[3] == "" and left[2].split() == rows[1][1].split()[:10] + rows[1][1].split()[70:] and left[6] is None
 
 
+def test_passages_near_each_other_are_found_apart(spark):
+    rng = random.Random(4)
+    one, two, three = words(55, rng), words(60, rng), words(52, rng)
+    rows = [(1, words(30, rng) + one + words(35, rng) + two + words(50, rng) + three), (2, words(9, rng) + one + words(35, rng) + two + words(26, rng) + three + words(8, rng))]
+    found = passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+    got = {(r.from_word, r.to_word, r.other_from, r.other_to, r.n_words, r.n_equal) for r in found.collect()}
+    assert got == {(9, 64, 30, 85, 55, 55), (99, 159, 120, 180, 60, 60), (185, 237, 230, 282, 52, 52)}
+
+
+def test_parts_of_a_chain_match_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        p = np.flatnonzero(rng.random(150) < np.repeat(rng.choice([0.3, 0.7, 1.0], 15), 10))
+        q = p + np.cumsum(rng.random(len(p)) < 0.05)
+        parts = [(i, j) for i in range(len(p)) for j in range(i, len(p)) if p[j] - p[i] >= 19 and j - i + 1 >= 0.8 * max(p[j] - p[i] + 1, q[j] - q[i] + 1)]
+        expected = {int(v) for i, j in parts for v in p[i : j + 1]}
+        got = passages.parts_of(p, q, 20, 0.8)
+        assert {int(v) for a, b, *_ in got for v in p if a <= v < b} == expected
+        for a, b, c, d, equal in got:
+            assert b - a >= 20 and equal == ((p >= a) & (p < b)).sum() == ((q >= c) & (q < d)).sum() and equal >= 0.8 * max(b - a, d - c)
+            i, j = np.searchsorted(p, a), np.searchsorted(p, b) - 1
+            assert not any(x <= i and j <= y and (x, y) != (i, j) for x, y in parts)
+
+
 def test_chains_match_quadratic_dynamic_programming(rng):
     for _ in range(30):
         x = [rng.randrange(60) for _ in range(25)]
