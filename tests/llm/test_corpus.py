@@ -84,6 +84,17 @@ def test_passages_near_each_other_are_found_apart(spark):
     assert got == {(9, 64, 30, 85, 55, 55), (99, 159, 120, 180, 60, 60), (185, 237, 230, 282, 52, 52)}
 
 
+def test_a_chain_that_fails_hides_no_passage(spark):
+    rng = random.Random(6)
+    for _ in range(3):
+        shared = words(90, rng)
+        edited = shared[:25] + words(40, rng) + shared[-25:]
+        rows = [(1, words(30, rng) + shared), (2, words(20, rng) + edited + words(20, rng)), (3, words(15, rng) + shared + words(40, rng)), (4, words(7, rng) + shared[5:80])]
+        found = passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+        got = {(r.doc_id, r.from_word, r.to_word, r.n_equal) for r in found.collect()}
+        assert got == {(3, 15, 105, 90), (4, 7, 82, 75)}
+
+
 def test_parts_of_a_chain_match_brute_force():
     rng = np.random.default_rng(8)
     for _ in range(60):
