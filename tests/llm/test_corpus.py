@@ -95,6 +95,29 @@ def test_a_chain_that_fails_hides_no_passage(spark):
         assert got == {(3, 15, 105, 90), (4, 7, 82, 75)}
 
 
+def test_repeated_lines_are_passages(spark):
+    rng = random.Random(9)
+    rows, expected = [], {}
+    for n in range(3, 17):
+        for total in (60, 400):
+            line = words(n, rng)
+            repeat = (line * total)[:total]
+            rows += [words(25 + n, rng) + repeat + words(30, rng), words(18, rng) + repeat + words(20, rng)]
+            expected[len(rows) - 1] = (18, 18 + total)
+    line = words(10, rng)
+    for other in ([30, 90, 40], [90, 30], [30, 40, 90]):  # runs of other lengths elsewhere
+        word = words(1, rng)
+        rows += [sum((words(20, rng) + word * n for n in other), []) + words(9, rng), words(25, rng) + word * 74 + words(30, rng) + word * 25 + words(5, rng)]
+        expected[len(rows) - 1] = (25, 99)
+    rows += [words(20, rng) + line * 8, words(10, rng) + line * 100 + words(10, rng)]  # more often than before
+    found = passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.from_word, r.to_word) for r in found if r.doc_id < len(rows) - 1}
+    assert set(got) == set(expected)
+    assert all(abs(got[i][0] - a) <= 1 and abs(got[i][1] - b) <= 1 for i, (a, b) in expected.items())
+    again = [r for r in found if r.doc_id == len(rows) - 1]
+    assert {v for r in again for v in range(r.from_word, r.to_word)} == set(range(10, 1010)) and len(again) < 400
+
+
 def test_parts_of_a_chain_match_brute_force():
     rng = np.random.default_rng(8)
     for _ in range(60):
