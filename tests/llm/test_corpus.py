@@ -118,6 +118,24 @@ def test_repeated_lines_are_passages(spark):
     assert {v for r in again for v in range(r.from_word, r.to_word)} == set(range(10, 1010)) and len(again) < 400
 
 
+def test_passages_with_changed_words_are_found_from_one_seed(spark):
+    rng = random.Random(12)
+    rows, found = [], {}
+    for changed in (3, 4, 6, 8, 11):
+        for _ in range(200):
+            shared = words(55, rng)
+            edited = list(shared)
+            for k in rng.sample(range(55), changed):
+                edited[k] = f"e{rng.randrange(10**6)}"
+            rows += [words(20, rng) + shared + words(20, rng), words(20, rng) + edited + words(20, rng)]
+            found[len(rows) - 1] = changed
+    out = passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")).collect()
+    got = {r.doc_id for r in out if r.other_id == r.doc_id - 1}
+    share = {c: sum(i in got for i, k in found.items() if k == c) / 200 for c in (3, 4, 6, 8, 11)}
+    print(share)
+    assert share[4] > 0.8
+
+
 def test_parts_of_a_chain_match_brute_force():
     rng = np.random.default_rng(8)
     for _ in range(60):
