@@ -104,16 +104,30 @@ def split_words(block: Text, kind: np.ndarray | None = None) -> Words:
 
 
 def word_hashes(block: Text, words: Words, code: np.ndarray = CODE_LOWER) -> np.ndarray:
-    """A 64-bit hash of each word; with CODE_LOWER, A-Z count as a-z."""
-    out = np.empty(len(words.starts), np.uint64)
+    """A 64-bit hash of each word; with CODE_LOWER, A-Z count as a-z. Long words are hashed in pieces of _SPAN bytes."""
+    length = words.ends - words.starts
+    if not len(length) or length.max() <= _SPAN:
+        return _piece_hashes(block, words.starts, length, code)
+    count = -(-length // _SPAN)
+    begin = np.concatenate(([0], np.cumsum(count)[:-1]))
+    place = np.arange(int(count.sum())) - np.repeat(begin, count)
+    sizes = np.minimum(np.repeat(length, count) - place * _SPAN, _SPAN)
+    pieces = _piece_hashes(block, np.repeat(words.starts, count) + place * _SPAN, sizes, code)
+    joined = mix(np.add.reduceat(mix(pieces + place.astype(np.uint64) * CODE[2]), begin) + length.astype(np.uint64) * CODE[1])
+    return np.where(count > 1, joined, pieces[begin])
+
+
+def _piece_hashes(block: Text, starts: np.ndarray, length: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans of at most _SPAN bytes, in slices so that memory stays bounded."""
+    out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(out):
-        j = max(i + 1, int(np.searchsorted(words.starts, words.starts[i] + BLOCK)))
-        starts, length = words.starts[i:j], words.ends[i:j] - words.starts[i:j]
-        total, begin = int(length.sum()), np.concatenate(([0], np.cumsum(length)[:-1]))
-        inside = np.arange(total) - np.repeat(begin, length)
-        value = code[block.data[inside + np.repeat(starts, length)]] * _POWER[inside & (_SPAN - 1)]
-        out[i:j] = mix(np.add.reduceat(value, begin) + length.astype(np.uint64) * CODE[1])
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK)))
+        n = length[i:j]
+        total, begin = int(n.sum()), np.concatenate(([0], np.cumsum(n)[:-1]))
+        inside = np.arange(total) - np.repeat(begin, n)
+        value = code[block.data[inside + np.repeat(starts[i:j], n)]] * _POWER[inside]
+        out[i:j] = mix(np.add.reduceat(value, begin) + n.astype(np.uint64) * CODE[1])
         i = j
     return out
 

@@ -10,11 +10,10 @@ threshold and MISS.
 2. Sub-keys held by one class only are left out before keys are combined (they can meet nobody).
 3. In each table key the smallest class is the leader, and members are compared with it on full shingle sets,
    recomputed from both texts. So a group of n copies costs about n comparisons.
-4. Members of a leader that still lie in different components go on. Up to SMALL_GROUP of them are compared with one
-   another. In larger groups what each differs in from the group's common core decides exactly which of them can be
-   linked at all (see _compare and _keys), and those that share such entries form the keys of the next round. After
-   ROUNDS rounds what is left is compared pair by pair, so no candidate pair goes unchecked unless a component
-   already joins it.
+4. Classes that meet, linked or not, form a family. Most families are one component by now. In the others every link
+   is found exactly: members of a family of at most SMALL_FAMILY are compared across components; in larger ones
+   members are described by what they differ in from the family's core, which is short where they are alike, and a
+   prefix filter over these differences gives the pairs that may still be linked (see _differences and _probes).
 """
 
 from __future__ import annotations
@@ -31,17 +30,18 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .storage import small, stored, stored_rows_of
+from .storage import release, small, stored, stored_rows_of
 
 SHINGLE = 5
-WIDTH = 2
+WIDTH = 3
 #: Bound on the chance that a pair at the threshold meets in no table.
-MISS = 1e-6
-#: Rounds of leaders before single pairs; members from which a group's common core is taken, about.
-ROUNDS = 3
+MISS = 1e-4
+#: Members of which a family's core is taken, about.
 CORE_SAMPLE = 15
-#: Members of a leader among whom the pairs across components are compared directly.
-SMALL_GROUP = 16
+#: Members of a family that are compared without a filter.
+SMALL_FAMILY = 16
+#: Classes of differences by their size, at most.
+BINS = 64
 
 
 def collections_of(percent: int) -> int:
@@ -111,38 +111,30 @@ def features(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _paired(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with both texts behind."""
+    """pairs (a, b) with both texts behind."""
     first, second = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    return pairs.join(first, "a").join(second, "b").select(*pairs.columns, "text_a", "text_b")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets reach the threshold."""
+def compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """For pairs (a, b): the sizes of both full shingle sets, n_a and n_b, and whether they reach the threshold (linked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            n_a, n_b, linked = [], [], []
             for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if _may_fit(len(x), len(y), percent) else 0
+                n_a.append(len(x))
+                n_b.append(len(y))
+                linked.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "n_a", "n_b", "linked"])
 
-    return _paired(pairs, texts).mapInArrow(run, "a long, b long")
+    return _paired(pairs, texts).mapInArrow(run, "a long, b long, n_a long, n_b long, linked boolean")
 
 
-def compared(star: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Per pair (a, b, deep): n (size of b's set), linked, and where deep d, the sorted hashes that only one set holds."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, linked, deltas = [], [], []
-            for deep, x, y in zip(batch.column(2).to_pylist(), shingle_sets(batch.column(3)), shingle_sets(batch.column(4)), strict=True):
-                d = np.setxor1d(x, y, assume_unique=True)
-                n.append(len(y))
-                linked.append((100 + percent) * len(d) <= (100 - percent) * (len(x) + len(y)))
-                deltas.append(d.view(np.int64) if deep else d[:0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), _lists(deltas)], ["a", "b", "deep", "n", "linked", "d"])
-
-    return _paired(star, texts).mapInArrow(run, "a long, b long, deep boolean, n long, linked boolean, d array<long>")
+def _may_fit(x, y, percent: int):
+    """Two sets whose sizes differ by more cannot reach the threshold."""
+    return (100 * x >= percent * y) & (100 * y >= percent * x)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -150,124 +142,136 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
-def _recentred(members: DataFrame) -> DataFrame:
-    """members (a, b, n, d) with d taken from each group's common core instead of from a's set.
+def _table_keys(classes: DataFrame, m: int) -> DataFrame:
+    """(key, rep): the table keys of each class, from the sub-keys that another class holds too."""
+    held = classes.select("set_key", "rep", F.posexplode("sub_keys").alias("slot", "sub"))
+    shared = small(held.groupBy("sub").agg(F.count("*").alias("n")).filter("n > 1").select("sub"), "shared-sub-keys")
+    side = lambda of: F.collect_list(F.when(of, F.col("sub")))  # noqa: E731  at most m entries
+    some = held.join(shared, "sub").groupBy("set_key", "rep").agg(side(F.col("slot") < m).alias("p"), side(F.col("slot") >= m).alias("q"))
+    return some.filter((F.size("p") > 0) & (F.size("q") > 0)).select("rep", F.explode("p").alias("p"), "q").select("rep", "p", F.explode("q").alias("q")).select(F.xxhash64("p", "q").alias("key"), "rep")
 
-    The core holds what most of about CORE_SAMPLE members differ in from a. Any centre keeps the results right; one
-    near the members makes their differences short and unlike.
-    """
-    groups = small(members.groupBy("a").agg(F.count("*").alias("size")), "group-sizes")
-    sample = members.join(groups, "a").filter(F.pmod(F.xxhash64("b"), F.col("size")) < CORE_SAMPLE).groupBy("a").agg(F.collect_list("d").alias("ds"))
 
-    def core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cores = []
-            for row in batch.column(1):
-                values = row.values.flatten().to_numpy().view(np.uint64)
-                found, count = np.unique(values, return_counts=True)
-                cores.append(found[2 * count > len(row.values)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(cores)], ["a", "core"])
+def _star(tables: DataFrame) -> DataFrame:
+    """(a, b): each key's smallest class with the others."""
+    leader = tables.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last").select("key", "a")
+    return tables.join(leader, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
 
-    def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for d, c in zip(batch.column(3), batch.column(4), strict=True):
-                d = d.values.to_numpy().view(np.uint64)
-                out.append((np.setxor1d(d, c.values.to_numpy().view(np.uint64), assume_unique=True) if c.is_valid else d).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(out)], ["a", "b", "n", "d"])
 
-    cores = small(sample.mapInArrow(core, "a long, core array<long>"), "cores", 200)
-    return members.join(cores, "a", "left").select("a", "b", "n", "d", "core").mapInArrow(shift, "a long, b long, n long, d array<long>")
+def _open_members(pairs: DataFrame, families: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, family, root, n, size): members of the families that lie in several components, and the family's size."""
+    nodes = pairs.select(F.col("a").alias("doc_id"), F.col("n_a").alias("n")).union(pairs.select("b", "n_b")).distinct()
+    nodes = nodes.join(families.select(F.col("node").alias("doc_id"), F.col("root").alias("family")), "doc_id")
+    nodes = nodes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    nodes = stored(nodes, "family-members")
+    sizes = nodes.groupBy("family").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("size > 2 AND lo < hi").select("family", "size")
+    return stored(nodes.join(small(sizes, "open-families"), "family"), "open-members")
 
 
-def _star(tables: DataFrame) -> DataFrame:
-    """(a, n_a, b, n, size): each key's smallest class with the others, and the number of members of a."""
-    leader = tables.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).filter("lead.rep < last")
-    star = tables.join(leader.select("key", "lead"), "key").filter(F.col("rep") != F.col("lead.rep"))
-    star = stored(star.select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b"), "n").distinct(), "star")
-    sizes = star.groupBy("a").agg(F.count("*").alias("size"))
-    return stored(star.join(sizes, "a"), "sized-star")
+def _across(members: DataFrame, star: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of small families in different components, but for those that have been compared."""
+    x, y = (members.select("family", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "root")]) for s in "xy")
+    pairs = x.join(y, "family").filter((F.col("root_x") < F.col("root_y")) & _may_fit(F.col("n_x"), F.col("n_y"), percent))
+    return pairs.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+
 
+def _cores(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(family, core): the shingles that most of about CORE_SAMPLE members of the family's largest component hold.
 
-def _rooted(rows: DataFrame, roots: DataFrame, node: str = "b") -> DataFrame:
-    return rows.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
+    Any core keeps the results right; one that most members share makes their differences short and unlike.
+    """
+    parts = members.groupBy("family", "root").agg(F.count("*").alias("part"))
+    main = small(parts.groupBy("family").agg(F.max(F.struct("part", "root")).alias("m")).select("family", F.col("m.root").alias("root"), F.col("m.part").alias("part")), "main-parts")
+    sample = members.join(main, ["family", "root"]).filter(F.pmod(F.xxhash64("doc_id"), F.col("part")) < CORE_SAMPLE)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([s.view(np.int64) for s in shingle_sets(batch.column(1))])], ["family", "d"])
 
+    def core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cores = []
+            for row in batch.column(1):
+                found, count = np.unique(row.values.flatten().to_numpy(zero_copy_only=False), return_counts=True)
+                cores.append(found[2 * count > len(row.values)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(cores)], ["family", "core"])
 
-def _within(star: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one leader in different components, for leaders of at most SMALL_GROUP members."""
-    rows = stored(_rooted(star.filter(F.col("size").between(2, SMALL_GROUP)).select("a", "b", "n"), roots), "small-groups")
-    x, y = (rows.select("a", *[F.col(c).alias(f"{c}_{s}") for c in ("b", "n", "root")]) for s in "xy")
-    pairs = x.join(y, "a").filter((F.col("root_x") < F.col("root_y")) & _fits("n_x", "n_y", percent))
-    return pairs.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+    held = sample.join(texts, "doc_id").select("family", "text").mapInArrow(sets, "family long, d array<long>")
+    return held.groupBy("family").agg(F.collect_list("d").alias("ds")).mapInArrow(core, "family long, core array<long>")
 
 
-def _compare(tables: DataFrame, texts: DataFrame, percent: int, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """One round over keys (key, rep, n): all links so far, their components, and the members of the large groups
-    that lie in several components, with what they differ in (None if there is none).
+def _differences(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """members (doc_id, family, root, n) with d, what their set and the family's core do not share, and g.
 
-    For members x and y of a group with centre C, the symmetric difference of their sets is that of Dx and Dy, their
-    differences from C. With G = (100 + p) |D| - (100 - p) |X| they are linked exactly if they share at least
-    (Gx + Gy) / (2 (100 + p)) entries of Dx and Dy. So pairs with Gx + Gy <= 0 are linked without a look, and joined
-    through the member of least G. Differences stay where they were computed: only ids and counts are joined to them.
-    """
-    star = _star(tables)
-    deep = F.col("size") > SMALL_GROUP
-    pairs = stored(compared(star.select("a", "b", deep.alias("deep")), texts, percent), "compared")
-    links = stored(links.unionByName(pairs.filter("linked").select("a", "b")).distinct(), "links")
-    roots = components(links)
-    links = links.unionByName(confirmed(_within(star, roots, percent), texts, percent))
-
-    members = pairs.filter("deep").select("a", "b", "n", "d")
-    leaders = star.filter(deep).select("a", F.col("a").alias("b"), F.col("n_a").alias("n"), F.array().cast("array<long>").alias("d")).distinct()
-    wanted = small(_open_groups(_rooted(star.filter(deep).select("a", "b").unionByName(leaders.select("a", "b")), roots), "a"), "open-groups")
-    if wanted.isEmpty():
-        return stored(links, "links"), roots, None
-    members = stored(_recentred(members.unionByName(leaders).join(wanted, "a")), "members")
-    members = members.withColumn("g", (100 + percent) * F.size("d").cast("long") - (100 - percent) * F.col("n"))
-    centre = members.groupBy("a").agg(F.min(F.struct("g", "b")).alias("c")).select("a", F.col("c.g").alias("g_min"), F.col("c.b").alias("b_min"))
-    members = members.join(small(centre, "centres"), "a")
-    near = members.filter((F.col("b") != F.col("b_min")) & (F.col("g") + F.col("g_min") <= 0)).select(F.col("b_min").alias("a"), "b")
-    links = stored(links.unionByName(near).distinct(), "links")
-    roots = components(links)
-    wanted = small(_open_groups(_rooted(members.select("a", "b"), roots), "a"), "open-groups")
-    return links, roots, members.join(wanted, "a")
-
-
-def _keys(members: DataFrame, percent: int) -> DataFrame:
-    """Keys of the next round: two members that may still be linked share an entry among the first ones of D.
-
-    A partner needs at least `share` common entries with x, so one lies among the first |D| - share + 1 of each.
+    For members x and y with sets X and Y, the symmetric difference of X and Y is that of Dx and Dy. With
+    G = (100 + p) |D| - (100 - p) |X| they are linked exactly if they share at least (Gx + Gy) / (2 (100 + p)) entries
+    of Dx and Dy.
     """
-    p = F.lit(percent).cast("long")
-    least = F.greatest(
-        F.lit(1).cast("long"),
-        F.ceil((F.col("g") + F.col("g_min")) / (2 * (100 + p))),
-        F.ceil((F.col("g") - (100 - p) * F.ceil(100 * F.col("n") / p)) / (100 + p)),
-    )
-    first = (F.size("d") - least + 1).cast("int")
-    some = members.withColumn("first", first).filter("first > 0").select("a", "b", "n", F.explode(F.slice("d", F.lit(1), F.col("first"))).alias("e"))
-    return some.select(F.xxhash64("a", "e").alias("key"), F.col("b").alias("rep"), "n")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, n = [], []
+            for s, c in zip(shingle_sets(batch.column(4)), batch.column(3), strict=True):
+                n.append(len(s))
+                out.append((np.setxor1d(s, np.sort(c.values.to_numpy().view(np.uint64)), assume_unique=True) if c.is_valid else s).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), _lists(out)], ["doc_id", "family", "root", "n", "d"])
+
+    cores = small(_cores(members, texts), "cores", 200)
+    rows = members.select("doc_id", "family", "root").distinct().join(cores, "family", "left").join(texts, "doc_id").select("doc_id", "family", "root", "core", "text")
+    rows = rows.mapInArrow(run, "doc_id long, family long, root long, n long, d array<long>")
+    return rows.withColumn("g", (100 + percent) * F.size("d").cast("long") - (100 - percent) * F.col("n"))
 
-def _open_groups(rooted: DataFrame, group: str) -> DataFrame:
-    """Those groups whose nodes lie in two components or more."""
-    return rooted.groupBy(group).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(group)
 
+def _shared_entries(rows: DataFrame) -> DataFrame:
+    """rows with e: the entries of d that another member of the family holds too, those of fewest members first."""
+    each = rows.repartition(F.xxhash64("doc_id", "n")).select("family", "doc_id", "root", "n", "g", F.explode("d").alias("e"))
+    often = each.groupBy("family", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    lists = each.join(often, ["family", "e"]).groupBy("family", "doc_id", "root", "n", "g").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"))
+    return lists.select("family", "doc_id", "root", "n", "g", F.col("s.e").alias("e"))
 
-def _combined(reps: DataFrame, m: int) -> DataFrame:
-    """(key, rep, n): the table keys of each class, from the sub-keys that another class holds too."""
-    held = reps.select("rep", F.explode("sub_keys").alias("sub"))
-    shared = held.groupBy("sub").agg(F.count("*").alias("n")).filter("n > 1").select("sub")
-    alive = held.join(shared, "sub").groupBy("rep").agg(F.collect_set("sub").alias("alive"))  # at most 2 * m entries
-    some = reps.join(alive, "rep")
-    side = lambda lo: F.array_intersect(F.slice("sub_keys", lo, m), F.col("alive"))
-    some = some.select("rep", "n_shingles", side(1).alias("p"), side(m + 1).alias("q")).filter((F.size("p") > 0) & (F.size("q") > 0))
-    return some.select("rep", F.col("n_shingles").alias("n"), F.explode("p").alias("p"), "q").select("rep", "n", "p", F.explode("q").alias("q")).select(F.xxhash64("p", "q").alias("key"), "rep", "n")
 
+def _probes(rows: DataFrame, percent: int) -> DataFrame:
+    """(family, entry, lo, hi, bin, doc_id, root, n): the entries under which a member looks for partners of each bin.
 
-def _fits(x: str, y: str, percent: int):
-    """No two sets whose sizes differ by more can reach the threshold."""
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    Members of a family fall into bins by g. To be linked, a member x and one of another bin must share at least
+    `need` entries, by x's own g and the least g of that bin; so one of those they share is among the first
+    |e| - need + 1 of each, and bins for which `need` exceeds what can be shared are left out.
+    """
+    t = 2 * (100 + percent)
+    rows = stored(rows.withColumn("u", F.size("e")), "shared-entries")
+    span = small(rows.groupBy("family").agg(F.min("g").alias("g0"), F.max("g").alias("g1")), "spans")
+    step = F.greatest(F.lit(2 * t).cast("long"), F.ceil((F.col("g1") - F.col("g0") + 1) / BINS))
+    rows = rows.join(span, "family").withColumn("bin", F.floor((F.col("g") - F.col("g0")) / step).cast("int")).drop("g0", "g1")
+    bins = rows.groupBy("family", "bin").agg(F.min("g").alias("least"), F.max("u").alias("most"))
+    bins = small(bins.groupBy("family").agg(F.collect_list(F.struct("bin", "least", "most")).alias("bins")), "bins")  # at most BINS + 1 entries
+    needs = F.transform("bins", lambda b: F.struct(b.bin.alias("bin"), F.greatest(F.lit(1).cast("long"), F.ceil((F.col("g") + b.least) / t)).alias("need"), b.most.alias("most")))
+    fits = F.filter(needs, lambda b: b.need <= F.least(F.col("u"), b.most))
+    some = rows.join(bins, "family").select("family", "doc_id", "root", "n", "bin", "e", "u", F.explode(fits).alias("b"))
+    first = (F.col("u") - F.col("b.need") + 1).cast("int")
+    return some.select("family", F.least("bin", "b.bin").alias("lo"), F.greatest("bin", "b.bin").alias("hi"), "bin", "doc_id", "root", "n", F.explode(F.slice("e", F.lit(1), first)).alias("entry"))
+
+
+def _in_large_families(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of large families."""
+    rows = stored(_differences(members, texts, percent), "differences")
+    centre = rows.groupBy("family").agg(F.min(F.struct("g", "doc_id", "root")).alias("c")).select("family", F.col("c.g").alias("c_g"), F.col("c.doc_id").alias("c_id"), F.col("c.root").alias("c_root"))
+    rows = rows.join(small(centre, "centres"), "family")
+    near = stored(rows.filter((F.col("g") + F.col("c_g") <= 0) & (F.col("doc_id") != F.col("c_id"))).select("family", "root", "c_root", F.col("c_id").alias("a"), F.col("doc_id").alias("b")), "near")
+    merged = small(near.select("family", "root", F.col("c_root").alias("to")).distinct(), "merged-roots")
+    rows = rows.join(merged, ["family", "root"], "left").withColumn("root", F.coalesce("to", "root")).select("family", "doc_id", "root", "n", "g", "d")
+    still = small(rows.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("family"), "still-open")
+    rows = stored(rows.join(still, "family"), "open-differences")
+    key = ["family", "entry", "lo", "hi"]
+    probes = stored(_probes(_shared_entries(rows), percent), "probes")
+    live = probes.groupBy(*key).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("bin").alias("b0"), F.max("bin").alias("b1"))
+    live = live.filter((F.col("r0") < F.col("r1")) & (F.col("b0") == F.col("lo")) & (F.col("b1") == F.col("hi"))).select(*key)
+    met = stored(probes.join(live, key), "met")
+    x, y = (met.select(*key, *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "root", "bin", "n")]) for s in "xy")
+    pairs = x.join(y, key).filter((F.col("bin_x") == F.col("lo")) & (F.col("bin_y") == F.col("hi")) & (F.col("root_x") != F.col("root_y")) & _may_fit(F.col("n_x"), F.col("n_y"), percent))
+    pairs = pairs.select("family", F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).filter("a <> b").distinct()
+    one, two = (rows.select(F.col("doc_id").alias(c), F.col("g").alias(f"g_{c}"), F.col("d").alias(f"d_{c}")) for c in ("a", "b"))
+    shared = F.size(F.array_intersect("d_a", "d_b"))
+    linked = pairs.join(one, "a").join(two, "b").filter(2 * (100 + percent) * shared >= F.col("g_a") + F.col("g_b"))
+    return near.select("a", "b").union(linked.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -284,27 +288,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     m = collections_of(percent)
     feats = stored(features(docs, percent), "shingles")
     sets = feats.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    classes = stored(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sub_keys").alias("sub_keys")), "classes")
-    tables = stored(_combined(classes, m), "tables")
-    ids = tables.select(F.col("rep").alias("doc_id")).distinct()
+    classes = stored(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sub_keys").alias("sub_keys")), "classes")
+    tables = stored(_table_keys(classes, m), "tables")
+    star = stored(_star(tables), "star")
+    release(tables)
+    ids = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
     texts = stored_rows_of(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text"), ids, "doc_id", "candidates")
 
-    links = texts.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
-    for step in range(ROUNDS):
-        links, roots, members = _compare(tables, texts, percent, links)
-        if members is None:
-            break
-        keys = stored(_rooted(_keys(members, percent), roots, "rep"), "keys")
-        tables = stored(keys.join(_open_groups(keys, "key"), "key").drop("root").distinct(), f"tables{step}")
-        if tables.isEmpty():
-            break
-    else:  # what is still open is compared pair by pair
-        x, y = (tables.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n")], F.coalesce("root", "rep").alias(f"root_{s}")) for s in "xy")
-        across = x.join(y, "key").filter((F.col("root_x") < F.col("root_y")) & _fits("n_x", "n_y", percent))
-        links = links.unionByName(confirmed(across.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct(), texts, percent))
+    pairs = stored(compared(star, texts, percent), "compared")
+    links = pairs.filter("linked").select("a", "b")
+    members = _open_members(pairs, components(star), components(links))
+    few = compared(_across(members.filter(F.col("size") <= SMALL_FAMILY), star, percent), texts, percent).filter("linked").select("a", "b")
+    many = _in_large_families(members.filter(F.col("size") > SMALL_FAMILY), texts, percent)
     same_id = sets.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("doc_id")
     own = sets.join(same_id, "doc_id").join(classes.select("set_key", "rep"), "set_key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    roots = components(links.unionByName(own))
+    roots = components(links.union(few).union(many).union(own))
 
     named = feats.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left")
     named = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left")

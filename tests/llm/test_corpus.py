@@ -34,7 +34,7 @@ def brute_components(texts, percent):
 
 
 def test_components_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL_GROUP", 4)  # so that the large-group path runs too
+    monkeypatch.setattr(neardup, "SMALL_FAMILY", 4)  # so that the large-group path runs too
     rng = random.Random(2)
     texts = {}
     for family in range(6):
