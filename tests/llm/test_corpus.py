@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,19 +165,58 @@ def test_chains_match_quadratic_dynamic_programming(rng):
         assert abs(total - max(score.values())) < 1e-9
 
 
-def test_top_k_matches_brute_force(spark):
+def top_k_brute(ids, v, is_query, k):
+    """(query_id, rank, vec_id, score) of every row that asks, over all other rows; sorted."""
+    out = []
+    for i, q in enumerate(ids):
+        if is_query(q):
+            ranked = sorted((-int(v[i] @ v[j]), c) for j, c in enumerate(ids) if j != i)[:k]
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(ranked)]
+    return sorted(out)
+
+
+def test_top_k_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)  # so that blocks and rounds matter
+    monkeypatch.setattr(topk, "QUERY_ROWS", 4)
+    monkeypatch.setattr(topk, "SEEDS", 40)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype("float32")
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [float("nan")] * 8), (302, [None] * 8), (303, x[0].tolist()), (None, x[1].tolist()), (20, x[20].tolist())]
-    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 7, 64).collect()
-    ids = [*range(300), 303]
-    v = np.floor(64 * np.concatenate([x, x[:1]]).astype(float)).astype(int)
-    expected = set()
-    for q in range(0, 300, 20):
-        ranked = sorted(((-int(v[i] @ v[q]), k) for i, k in enumerate(ids) if k != q))[:7]
-        expected |= {(q, r + 1, k, -s) for r, (s, k) in enumerate(ranked)}
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in out} == expected
-    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [float("nan")] * 8), (302, [None] * 8), (302, []), (303, x[0].tolist()), (None, x[1].tolist()), (20, x[20].tolist()), (20, x[21].tolist())]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for c in ("row", "h", "cell", "table", "block", "asks", "score", "rank"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    out = topk.top_k(docs, F.col("vec_id") % 20 == 0, 7, 64).collect()
+    ids = [*range(300), 303, 20, 20]
+    v = np.floor(64 * np.concatenate([x, x[[0, 20, 21]]]).astype(float)).astype(int)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == top_k_brute(ids, v, lambda i: i % 20 == 0, 7)
+    assert topk.top_k(docs.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert topk.top_k(docs, F.col("vec_id") < 0).count() == 0
+
+
+def test_top_k_of_few_long_equal_and_short_vectors(spark):
+    long = [float(i % 7) for i in range(30_000)]
+    rows = [(0, long), (1, long), (2, long), (3, [1.0]), (20, [0.0, 2.0])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20, 64).collect()
+    own = sum((64 * (i % 7)) ** 2 for i in range(30_000))
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == [(0, 1, 1, own), (0, 2, 2, own), (0, 3, 20, 64 * 128), (0, 4, 3, 0), (20, 1, 0, 64 * 128), (20, 2, 1, 64 * 128), (20, 3, 2, 64 * 128), (20, 4, 3, 0)]
+
+
+def test_bounds_leave_out_most_pairs():
+    """On the given vectors, whose spectrum is nearly flat, under half of all pairs are evaluated."""
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pylist()
+    ids = np.array([r["vec_id"] for r in rows])
+    x = topk.quantised([r["embedding"] for r in rows], 64, 64)
+    seeds = np.arange(0, len(x), max(1, len(x) // topk.SEEDS))[: topk.SEEDS]
+    pivots = topk.pivots_of(x[seeds])
+    at = topk.places(x, topk.distances(x, pivots), pivots)
+    asks = np.flatnonzero(ids % 20 == 0)
+    least = np.partition(np.where(seeds[None] == asks[:, None], -(10**9), topk.scores(x[asks], x[seeds])), -20, axis=1)[:, -20]
+    found, evaluated = topk.search(asks, x[asks], at[asks], least, np.arange(len(x)), ids, x, at, 20)
+    got = {(int(ids[asks[i]]), r, int(v), int(s)) for i, vs, ss in found for r, (v, s) in enumerate(zip(vs, ss, strict=True), 1)}
+    assert got == set(top_k_brute(ids.tolist(), x, lambda i: i % 20 == 0, 20))
+    share = evaluated / (len(asks) * len(x))
+    print(share)
+    assert share < 0.5
 
 
 def test_mixture(spark, odd_docs):
