@@ -75,3 +75,13 @@ def small(df: DataFrame, name: str, rows: int = SMALL_ROWS) -> DataFrame:
     """df stored, and marked for broadcast if it has at most `rows` rows; otherwise joins shuffle it."""
     df = stored(df, name)
     return F.broadcast(df) if df.count() <= rows else df  # the count comes from the files' footers
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no column has it in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

@@ -76,6 +76,44 @@ def test_passages(spark):
     assert left[1] == rows[0][1] and left[3] == "" and left[2].split() == rows[1][1].split()[:10] + rows[1][1].split()[70:] and left[6] is None
 
 
+def test_a_long_passage_is_found_whole_whatever_its_partner(spark):
+    rng = random.Random(21)
+    shared = words(1200, rng)
+    rows = [(1, words(100, rng) + shared), (2, words(30, rng) + shared[600:]), (3, words(50, rng) + shared + words(40, rng))]
+    found = passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+    got = {(r.doc_id, r.from_word, r.to_word, r.other_id) for r in found.collect()}
+    assert got == {(2, 30, 630, 1), (3, 50, 1250, 1)}
+
+
+def test_odd_rows_of_passages(spark, odd_docs):
+    """Repeated rows and rows of a repeated id, a very long text, nulls, clashing names and an empty table."""
+    rng = random.Random(22)
+    shared, other = words(80, rng), words(90, rng)
+    rows = [(20, " ".join(shared), "en", "s"), (21, " ".join(other[:10] + shared), "en", "s"), (21, " ".join(["zz", *other]), "en", "s")]
+    docs = odd_docs
+    for r in rows:
+        docs = docs.unionByName(spark.createDataFrame([r], "doc_id long, text string, lang string, source string"), allowMissingColumns=True)
+    for c in ("spans", "text_key", "xs", "part", "other"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    found = passages.shared_passages(docs)
+    got = {(r.doc_id, r.from_word, r.to_word, r.other_id) for r in found.collect()}
+    assert (5, 0, 60_000, 4) in got and {d for d, *_ in got} <= {5, 21} and len([g for g in got if g[0] == 21]) <= 1
+    out = passages.without_passages(docs, found)
+    left = sorted((r.doc_id, r.text) for r in out.filter("doc_id >= 20").collect())
+    assert out.columns == docs.columns and out.count() == docs.count() and (21, " ".join(["zz", *other])) in left
+    assert passages.shared_passages(odd_docs.limit(0)).count() == 0
+
+
+def test_hot_seeds_in_parts_give_the_same_passages(spark, monkeypatch):
+    rng = random.Random(23)
+    shared = words(60, rng)
+    docs = spark.createDataFrame([(i, " ".join(words(20, rng) + shared + words(9, rng))) for i in range(40)], "doc_id long, text string")
+    get = lambda: {(r.doc_id, r.from_word, r.to_word) for r in passages.shared_passages(docs).collect()}
+    whole = get()
+    monkeypatch.setattr(passages, "PART", 4)
+    assert get() == whole == {(i, 20, 80) for i in range(1, 40)}
+
+
 def test_passages_near_each_other_are_found_apart(spark):
     rng = random.Random(4)
     one, two, three = words(55, rng), words(60, rng), words(52, rng)
