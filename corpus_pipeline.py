@@ -32,10 +32,12 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n_chars follows the text where it is cut; a document of which nothing is left goes.
     """
     found = stored(shared_passages(docs), "passages")
-    ids = small(found.select("doc_id").distinct().withColumn("_cut", F.lit(True)), "cut-ids")
-    marked = docs.join(ids, "doc_id", "left")
-    touched = without_passages(marked.filter("_cut").drop("_cut"), found).filter(F.col("text") != "").withColumn("n_chars", F.length("text").cast("long"))
-    return marked.filter(F.col("_cut").isNull()).select(*docs.columns).unionByName(touched.select(*docs.columns))
+    ids = small(found.select("doc_id").distinct(), "cut-ids")
+    cut = without_passages(docs.join(ids, "doc_id", "left_semi"), found)
+    cut = cut.filter((F.col("text") != "") | F.col("text").isNull())
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.join(ids, "doc_id", "left_anti").unionByName(cut.select(*docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
