@@ -3,7 +3,8 @@
 Per language and source a minimum-covariance-determinant (MCD) estimate of centre and scatter is fitted to
 a transformed statistic vector; texts far from it by Mahalanobis distance are rejected. The fit uses all
 rows: a concentration step assigns every row its distance, finds the cut that holds the share H of a
-group's rows, and re-estimates from the rows within. Rows are summed where they lie (counts by group and
+group's rows, and re-estimates from the rows within. Every group has an estimate, which is then drawn towards
+that of its language, and this towards that of all, the more the fewer rows it has. Rows are summed where they lie (counts by group and
 distance bin, then integer sums and products by group), so a group of any size costs one small partial row
 a task, and reruns agree exactly. The start is the median and MAD of each coordinate.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import stored
+from .storage import small, stored
 
 #: Integer steps of one unit of a transformed coordinate.
 SCALE = 1 << 10
@@ -31,8 +32,9 @@ DIM = len(FLOOR)
 #: Share of rows whose covariance determinant is made least, and number of concentration steps.
 H = 0.75
 STEPS = 3
-#: Rows that a group needs for an estimate of its own.
-MIN_ROWS = 200
+#: Rows that the wider estimate counts as beside a group's own; above all rows stands WIDE around their centre.
+PRIOR_ROWS = 200
+WIDE = {"log_words": 1.5, "log_distinct": 1.2, "log_length": 0.3, "symbols": 0.5, "dup_lines": 0.3, "repeats": 0.3}
 #: Chance of rejecting a text whose vector is normal.
 ALPHA = 1e-5
 
@@ -49,10 +51,11 @@ def _per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _distinct(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    key = np.sort((owner.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20)))
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    return np.bincount((key[new] >> np.uint64(44)).astype(np.int64), minlength=n)
+    order = np.lexsort((hashes, owner))
+    o, h = owner[order], hashes[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (o[1:] != o[:-1]) | (h[1:] != h[:-1])
+    return np.bincount(o[new], minlength=n)
 
 
 def _repeats(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -144,21 +147,10 @@ def _group_keys() -> dict:
     return {f"_{c}": F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source")}
 
 
-def _pools(rows: DataFrame) -> DataFrame:
-    """(_lang, _source, pool): language and source; where those have under MIN_ROWS rows that pass the base rules, the
-    language's small sources together; where those are still few, all such languages together; else null."""
-    groups = rows.withColumns(_group_keys()).groupBy("_lang", "_source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n"))
-    own = F.col("n") >= MIN_ROWS
-    left = F.sum(F.when(own, 0).otherwise(F.col("n"))).over(Window.partitionBy("_lang"))
-    groups = groups.withColumn("n_lang", left)
-    small = ~own & (F.col("n_lang") < MIN_ROWS)
-    rest = groups.filter(small).agg(F.coalesce(F.sum("n"), F.lit(0)) >= MIN_ROWS).first()[0]  # one boolean
-    pool = F.when(own, F.concat_ws("\0", "_lang", "_source")).when(~small, F.concat_ws("\0", "_lang", F.lit("*"))).when(F.lit(bool(rest)), F.lit("*"))
-    return groups.select("_lang", "_source", pool.alias("pool"))
-
-
-def _in_pools(rows: DataFrame, pools: DataFrame) -> DataFrame:
-    return rows.withColumns(_group_keys()).join(pools, ["_lang", "_source"], "left").drop("_lang", "_source")
+def _pooled(rows: DataFrame) -> DataFrame:
+    """(pool, x): every row once for its language and source, once for its language and once for all."""
+    group = F.concat(F.lit("g"), F.length("_lang").cast("string"), "_lang", "_source")
+    return rows.select(F.explode(F.array(group, F.concat(F.lit("l"), "_lang"), F.lit("a"))).alias("pool"), "x")
 
 
 def _cut(bins: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -168,13 +160,17 @@ def _cut(bins: DataFrame, keys: list[str], share: float) -> DataFrame:
     return reached.groupBy(*keys).agg(F.min("bin").alias("cut"))
 
 
-def _whitened(centre: np.ndarray, scatter: np.ndarray) -> tuple[list[float], list[float]]:
-    """centre and the rows of a matrix whose product with a centred vector has the distance as its length."""
+def _white(scatter: np.ndarray) -> list[float]:
+    """The rows of a matrix whose product with a centred vector has the distance as its length."""
     floor = np.diag(np.square(list(FLOOR.values())))
-    return centre.tolist(), np.linalg.inv(np.linalg.cholesky(scatter + floor)).ravel().tolist()
+    return np.linalg.inv(np.linalg.cholesky(scatter + floor)).ravel().tolist()
+
+
+_ESTIMATE = "pool string, n long, centre array<double>, scatter array<double>, white array<double>"
 
 
-_ESTIMATE = "pool string, centre array<double>, white array<double>"
+def _estimates(rows: list[tuple[str, int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    return pd.DataFrame([(pool, n, c.tolist(), s.ravel().tolist(), _white(s)) for pool, n, c, s in rows], columns=["pool", "n", "centre", "scatter", "white"])
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -188,22 +184,21 @@ def _start(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(pool, *_whitened(np.array([e["middle"] for e in c]) / SCALE, np.diag([(1.4826 * e["cut"] / SCALE) ** 2 for e in c]))) for pool, c in zip(pdf["pool"], pdf["c"], strict=True)]
-            yield pd.DataFrame(out, columns=["pool", "centre", "white"])
+            yield _estimates([(pool, 0, np.array([e["middle"] for e in c]) / SCALE, np.diag([(1.4826 * e["cut"] / SCALE) ** 2 for e in c])) for pool, c in zip(pdf["pool"], pdf["c"], strict=True)])
 
     return per_pool.mapInPandas(run, _ESTIMATE)
 
 
-def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance; null where the pool has no estimate."""
+def _distance(rows: DataFrame, estimates: DataFrame, by: list[str]) -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance; null where there is no estimate."""
     away = [F.col("x")[j] / F.lit(float(SCALE)) - F.col("centre")[j] for j in range(DIM)]
     d2 = sum((sum((F.col("white")[i * DIM + j] * away[j] for j in range(i + 1)), F.lit(0.0)) ** 2 for i in range(DIM)), F.lit(0.0))
-    return rows.join(estimates, "pool", "left").withColumn("d2", d2).drop("centre", "white")
+    return rows.join(estimates.select(*by, "centre", "white"), by, "left").withColumn("d2", d2).drop("centre", "white")
 
 
 def _estimate(rows: DataFrame, before: DataFrame) -> DataFrame:
     """One concentration step: centre and scatter of the closest share H of each pool."""
-    near = _distance(rows, before).withColumn("bin", F.least(F.floor(F.log1p("d2") * 256), F.lit(16383)).cast("int"))
+    near = _distance(rows, before, ["pool"]).withColumn("bin", F.least(F.floor(F.log1p("d2") * 256), F.lit(16383)).cast("int"))
     cuts = _cut(near.groupBy("pool", "bin").agg(F.count("*").alias("n")), ["pool"], H)
     pairs = [(i, j) for i in range(DIM) for j in range(i, DIM)]
     x = [F.col("x")[i].cast("long") for i in range(DIM)]
@@ -221,8 +216,8 @@ def _estimate(rows: DataFrame, before: DataFrame) -> DataFrame:
                 scatter = np.zeros((DIM, DIM))
                 for (i, j), v in zip(pairs, p, strict=True):
                     scatter[i, j] = scatter[j, i] = v / n / SCALE**2 - centre[i] * centre[j]
-                out.append((pool, *_whitened(centre, CONSISTENCY * scatter)))
-            yield pd.DataFrame(out, columns=["pool", "centre", "white"])
+                out.append((pool, int(n), centre, CONSISTENCY * scatter))
+            yield _estimates(out)
 
     return sums.mapInPandas(run, _ESTIMATE)
 
@@ -230,22 +225,59 @@ def _estimate(rows: DataFrame, before: DataFrame) -> DataFrame:
 _OWN = {*_COUNTS, "x", "pool", "base_failed", "distance2", "kept", "d2", "_lang", "_source"}
 
 
-def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pools and their estimates for rows of text_counts, which are read once."""
-    rows = stored(rows.select("lang", "source", "base_failed", "x"), "quality-counts")
-    pools = stored(_pools(rows), "quality-pools")
-    passing = stored(_in_pools(rows.filter(~F.col("base_failed")), pools).filter(F.col("pool").isNotNull()).select("pool", "x"), "quality-vectors")
+def drawn(n: int, centre: np.ndarray, scatter: np.ndarray, wide_centre: np.ndarray, wide_scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An estimate of n rows mixed with a wider one that counts as PRIOR_ROWS: centre and scatter of the mixture."""
+    own = n / (n + PRIOR_ROWS)
+    between = np.outer(centre - wide_centre, centre - wide_centre)
+    return own * centre + (1 - own) * wide_centre, own * scatter + (1 - own) * wide_scatter + own * (1 - own) * between
+
+
+def _shrunk(groups: DataFrame, estimates: DataFrame) -> DataFrame:
+    """(_lang, _source, centre, white) of every group, drawn towards its language's and that towards all rows'."""
+    each = estimates.select("pool", F.struct("n", "centre", "scatter").alias("e"))
+    pool = {"g": F.concat(F.lit("g"), F.length("_lang").cast("string"), "_lang", "_source"), "l": F.concat(F.lit("l"), "_lang"), "a": F.lit("a")}
+    for name, key in pool.items():
+        groups = groups.withColumn("_key", key).join(each.select(F.col("pool").alias("_key"), F.col("e").alias(name)), "_key", "left").drop("_key")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def of(e: dict | None) -> tuple[int, np.ndarray, np.ndarray] | None:
+            return None if e is None else (e["n"], np.array(e["centre"], float), np.array(e["scatter"], float).reshape(DIM, DIM))
+
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                known = of(r["a"])
+                if known is None:
+                    continue
+                n, centre, scatter = known
+                centre, scatter = drawn(n, centre, scatter, centre, np.diag(np.square(list(WIDE.values()))))
+                for e in (of(r["l"]), of(r["g"])):
+                    if e is not None:
+                        centre, scatter = drawn(*e, centre, scatter)
+                out.append((r["_lang"], r["_source"], centre.tolist(), _white(scatter)))
+            yield pd.DataFrame(out, columns=["_lang", "_source", "centre", "white"])
+
+    return groups.mapInPandas(run, "_lang string, _source string, centre array<double>, white array<double>")
+
+
+_OWN = {*_COUNTS, "x", "base_failed", "distance2", "kept", "d2", "_lang", "_source"}
+
+
+def fit(rows: DataFrame) -> DataFrame:
+    """The estimate of every language and source of rows of text_counts, which are read once."""
+    rows = stored(rows.withColumns(_group_keys()).select("_lang", "_source", "base_failed", "x"), "quality-counts")
+    passing = stored(_pooled(rows.filter(~F.col("base_failed"))), "quality-vectors")
     estimates = stored(_start(passing), "quality-start")
     for step in range(STEPS):
         estimates = stored(_estimate(passing, estimates), f"quality-step{step}")
-    return pools, estimates
+    return small(_shrunk(rows.select("_lang", "_source").distinct(), estimates), "quality-estimates")
 
 
-def judged(rows: DataFrame, pools: DataFrame, estimates: DataFrame, alpha: float = ALPHA) -> DataFrame:
+def judged(rows: DataFrame, estimates: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """rows of text_counts with distance2 and kept."""
-    out = _distance(_in_pools(rows, pools), estimates)
+    out = _distance(rows.withColumns(_group_keys()), estimates, ["_lang", "_source"])
     far = F.coalesce(F.col("d2") > chi2_quantile(1 - alpha, DIM), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).withColumnRenamed("d2", "distance2").drop("x", "pool")
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).withColumnRenamed("d2", "distance2").drop("x", "_lang", "_source")
 
 
 def quality_rules(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -255,18 +287,18 @@ def quality_rules(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     result. base_failed: under 10 words, or over a fifth of the words in 5-word windows that repeat. A text
     that passes is kept unless its squared distance exceeds the chi-squared quantile of 1 - alpha. Rows that
     fail the base rules take no part in the fit. A null language or source is a value of its own; groups of
-    few rows are pooled (see _pools), and where no pool has MIN_ROWS rows the base rules decide alone.
+    few rows are judged mostly by wider estimates (see drawn), and where no row passes, the base rules decide alone.
     Null or empty texts have no words and fail. Repeated rows each count and each give a row; an empty
     table gives none.
     """
     rows = stored(text_counts(docs.select(*[c for c in docs.columns if c not in _OWN])), "quality-rows")
-    return judged(rows, *fit(rows), alpha)
+    return judged(rows, fit(rows), alpha)
 
 
 def passing(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """The rows of docs that quality_rules keeps, all columns. Texts are counted again, which moves none of them."""
     clash = [c for c in docs.columns if c in _OWN]
     rows = docs.select("text", "lang", "source")
-    pools, estimates = fit(text_counts(rows))
+    estimates = fit(text_counts(rows))
     named = docs.withColumnsRenamed({c: f"__{c}" for c in clash})
-    return judged(text_counts(named, keep_text=True), pools, estimates, alpha).filter("kept").select(*[F.col(f"__{c}" if c in clash else c).alias(c) for c in docs.columns])
+    return judged(text_counts(named, keep_text=True), estimates, alpha).filter("kept").select(*[F.col(f"__{c}" if c in clash else c).alias(c) for c in docs.columns])
