@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces with scores.
 
-The pieces and their log scores come from a .model file; nothing is trained. White space is written as the
+The pieces and their scores come from a .model file; nothing is trained. A file of merges has ranks for scores; they
+are turned to log scores by Zipf's law (see log_scores). White space is written as the
 marker U+2581, one marker is put in front of a text, and no other normalisation takes place. Characters that no
 single piece covers cost the least score less UNKNOWN_PENALTY and become byte pieces.
 
@@ -24,6 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN_PENALTY = 10.0
+#: Of Zipf's law: the probability of the piece of rank r is in proportion to 1 / (r + ZIPF).
+ZIPF = 20
+#: Words of more bytes are segmented one by one.
+LONG_WORD = 1024
 #: Characters of a block of texts; words of one width class segmented together.
 BLOCK_CHARS = 4 << 20
 LANES = 1 << 16
@@ -45,6 +50,22 @@ class Vocabulary:
     byte_piece: np.ndarray  # piece of each byte
     text: list[bytes]  # what each piece decodes to, markers as spaces
 
+    @functools.cached_property
+    def lists(self) -> tuple[list[int], list[int], list[int], list[float]]:
+        return self.base.tolist(), self.check.tolist(), self.value.tolist(), self.score.tolist()
+
+
+def log_scores(score: np.ndarray) -> np.ndarray:
+    """Log scores of pieces: as they are, or from ranks (different whole numbers) by Zipf's law.
+
+    Pieces that such a file ranks last of all (runs of markers, at -1e9) count as of the rank behind the others.
+    """
+    ranked = score > -1e8
+    rank = np.where(ranked, -score, len(score))
+    if len(score) < 2 or (rank != np.round(rank)).any() or len(np.unique(rank[ranked])) < ranked.sum() or rank.min() < 0:
+        return score
+    return -np.log(rank + ZIPF) - np.log((1 / (rank + ZIPF)).sum())
+
 
 def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """base, check and value of a trie over byte strings: the child of node n by byte c is base[n] + c if check says n."""
@@ -112,6 +133,7 @@ def vocabulary(path: str) -> Vocabulary:
         elif sp.is_unknown(i):
             text[i] = " ⁇ ".encode()
     byte_piece[byte_piece < 0] = sp.unk_id()
+    score[own] = log_scores(score[own])
     base, check, at = double_array([pieces[i].encode() for i in own])
     value = np.where(at >= 0, np.array(own)[at], -1)
     return Vocabulary(base, check, value, score, float(score[own].min()) - UNKNOWN_PENALTY, byte_piece, text)
@@ -175,14 +197,50 @@ def _segment(v: Vocabulary, words: np.ndarray, lengths: np.ndarray) -> tuple[np.
     return pieces[order], np.bincount(owner, minlength=n)
 
 
+def _segment_one(v: Vocabulary, word: bytes) -> np.ndarray:
+    """Pieces of one word, by the same recursion byte after byte."""
+    base, check, value, score = v.lists
+    n = len(word)
+    best, back, piece = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    best[0] = 0.0
+    for i in range(n):
+        here = best[i]
+        if here == -np.inf:
+            continue
+        single, alone, node = i + int(_LENGTH[word[i]]), False, 0
+        for j in range(i, n):
+            to = base[node] + word[j]
+            if check[to] != node:
+                break
+            node = to
+            p = value[node]
+            if p >= 0:
+                alone = alone or j + 1 == single
+                if here + score[p] > best[j + 1]:
+                    best[j + 1], back[j + 1], piece[j + 1] = here + score[p], i, p
+        if not alone and here + v.unknown > best[single]:
+            best[single], back[single], piece[single] = here + v.unknown, i, -1
+    out: list[int] = []
+    end = n
+    while end:
+        start = back[end]
+        out += [piece[end]] if piece[end] >= 0 else [int(v.byte_piece[b]) for b in reversed(word[start:end])]
+        end = start
+    return np.array(out[::-1], np.int32)
+
+
 def segment(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all words one after another, and where each word's begin (len(words) + 1 offsets)."""
     lengths = np.array([len(w) for w in words], np.int64)
     classes = np.ceil(np.log2(np.maximum(lengths, 4))).astype(int)
     counts = np.zeros(len(words), np.int64)
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for c in np.unique(classes):
-        members = np.flatnonzero(classes == c)
+    for k in np.flatnonzero(lengths > LONG_WORD):
+        pieces = _segment_one(v, words[k])
+        counts[k] = len(pieces)
+        parts.append((np.array([k]), np.array([len(pieces)]), pieces))
+    for c in np.unique(classes[lengths <= LONG_WORD]):
+        members = np.flatnonzero((classes == c) & (lengths <= LONG_WORD))
         step = max(1, min(LANES, (LANES * 16) >> int(c)))
         for i in range(0, len(members), step):
             some = members[i : i + step]
