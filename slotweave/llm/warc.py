@@ -23,14 +23,19 @@ from typing import BinaryIO
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import new_path, stored
 
-CHUNK = 1 << 20
+#: Compressed bytes read at once; what is left of them after a member is copied.
+CHUNK = 1 << 14
+#: Payload bytes of a batch of records read.
+BATCH_BYTES = 8 << 20
 #: Uncompressed bytes after which a new archive is begun.
 ARCHIVE_BYTES = 64 << 20
+#: Tasks that read archives back, at most; each takes its archives one after another.
+READERS = 100_000
 #: Payloads of fewer bytes are never revisits.
 MIN_BYTES = 0
 DATE = "2000-01-01T00:00:00Z"
@@ -116,6 +121,11 @@ def read_records(stream: BinaryIO, chunk: int = CHUNK) -> Iterator[Record]:
         data = data or stream.read(chunk)
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it; s3a is read as s3."""
+    return fs.FileSystem.from_uri("s3://" + uri.removeprefix("s3a://") if uri.startswith("s3a://") else uri)
+
+
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record per row (page_id, url, html, digest, refers_to) under folder; a row (path, n_records) per archive.
 
@@ -124,7 +134,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = file_system(folder)
         store.create_dir(base, recursive=True)
         out, path, size, n = None, "", 0, 0
         done: list[tuple[str, int]] = []
@@ -182,7 +192,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
         for paths in batches:
             for path in paths["path"]:
-                store, base = fs.FileSystem.from_uri(path)
+                store, base = file_system(path)
                 rows, size = [], 0
                 with store.open_input_stream(base, compression=None) as stream:
                     for r in read_records(stream):
@@ -194,7 +204,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                             raise BrokenArchive("the HTTP Content-Length doesn't match")
                         rows.append((page(r.get("WARC-Record-ID")), r.get("WARC-Target-URI"), full, (r.get("WARC-Payload-Digest") or "").removeprefix("sha1:"), r.kind, page(r.get("WARC-Refers-To")), payload.decode() if r.kind == "response" else None))
                         size += len(payload)
-                        if size > 8 * CHUNK:
+                        if size > BATCH_BYTES:
                             yield frame(rows)
                             rows, size = [], 0
                 if rows:
@@ -203,12 +213,14 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("path").mapInPandas(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
-def digests(html: pd.Series) -> pd.Series:
-    """Digest of each payload; a null one is empty."""
-    return html.map(lambda h: digest((h or "").encode()))
+def base32(hexadecimal: Column) -> Column:
+    """Base32 of 40 hexadecimal digits: each 5 of them are 4 characters."""
+    letter = lambda v, right: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.shiftright(v, right).bitwiseAND(31) + 1, F.lit(1))
+    parts = [F.conv(F.substring(hexadecimal, 5 * i + 1, 5), 16, 10).cast("int") for i in range(8)]
+    return F.concat(*[letter(v, right) for v in parts for right in (15, 10, 5, 0)])
 
 
-def archive_pages(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def archive_pages(pages: DataFrame, min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a WARC record per row of pages (page_id long, url, html), then read all archives back; see read_archives.
 
     Of rows with equal payloads of at least min_bytes bytes, those with the smallest page_id are responses and
@@ -217,9 +229,9 @@ def archive_pages(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     that repeat a page_id get a record each. Other columns are ignored; an empty table gives no row.
     """
     spark = pages.sparkSession
-    rows = pages.select("page_id", "url", "html", F.pandas_udf(digests, "string")("html").alias("digest"))
-    sized = rows.select("page_id", "digest", F.coalesce(F.octet_length("html"), F.lit(0)).alias("n"))
-    first = sized.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1 AND first IS NOT NULL").select("digest", "first")
-    linked = rows.join(first, "digest", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
-    archives = stored(write_archives(linked, new_path(spark, "warc")), "archives")
-    return read_archives(archives.repartition("path"))
+    rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html").cast("binary"), F.lit(b""))).alias("sha1"))
+    sized = rows.select("page_id", "sha1", F.coalesce(F.octet_length("html"), F.lit(0)).alias("n"))
+    first = sized.filter(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1 AND first IS NOT NULL").select("sha1", "first")
+    linked = rows.join(first, "sha1", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
+    archives = stored(write_archives(linked.withColumn("digest", base32(F.col("sha1"))), new_path(spark, "warc"), archive_bytes), "archives")
+    return read_archives(archives.repartition(min(max(1, archives.count()), READERS)))  # a number that is given is kept
