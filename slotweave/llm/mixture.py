@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import small, stored, unused
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -91,8 +91,8 @@ def _position(at: Column) -> Column:
 
 
 def _placed(docs: DataFrame, size: Column | None) -> DataFrame:
-    """(doc_id, size, source_size, target, positions): a training position for every copy that the mix takes."""
-    rows = docs.select("doc_id", "source", (n_words("text") if size is None else size).alias("size"))
+    """(doc_id, text_key, size, source_size, target, positions): a training position for every copy that the mix takes."""
+    rows = docs.select("doc_id", "source", (n_words("text") if size is None else size).alias("size"), F.xxhash64("text").alias("text_key"))
     rows = stored(rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes")
     by = stored(rows.groupBy("source", F.substring("h", 1, DIGITS).alias("tape")).agg(F.sum("size").alias("n")), "tapes")
     source = targets(by.groupBy("source").agg(F.sum("n").alias("source_size")))
@@ -106,7 +106,7 @@ def _placed(docs: DataFrame, size: Column | None) -> DataFrame:
     starts = [F.col("start") + k * F.col("source_size") for k in range(CAP)]
     taken = [(F.col("size") > 0) & (at + F.col("size") / F.lit(2.0) <= F.col("target")) for at in starts]
     places = [F.when(ok, _position(at)) for at, ok in zip(starts, taken, strict=True)]
-    return placed.select("doc_id", "size", "source_size", "target", F.array_compact(F.array(*places)).alias("positions"))
+    return placed.select("doc_id", "text_key", "size", "source_size", "target", F.array_compact(F.array(*places)).alias("positions"))
 
 
 def mix_sources(docs: DataFrame, size: Column | None = None) -> DataFrame:
@@ -128,10 +128,14 @@ def mix_sources(docs: DataFrame, size: Column | None = None) -> DataFrame:
 def mixed(docs: DataFrame, size: Column | None = None) -> DataFrame:
     """The mix itself: a row of docs for every copy taken, range-sorted by training position.
 
-    Of rows that repeat a doc_id one is meant; rows with a null doc_id can't be traced to a place and are left out.
+    Rows with a null doc_id can't be traced to a place and are left out. Of rows that repeat a doc_id and its text one
+    stands for all and is taken at all their positions.
     """
-    some = docs.filter(F.col("doc_id").isNotNull())
-    taken = _placed(some, size).filter(F.size("positions") > 0).groupBy("doc_id").agg(F.max("positions").alias("_positions"))
-    taken = stored(taken, "taken")
-    copies = some.join(taken, "doc_id").withColumn("_position", F.explode("_positions"))
-    return copies.orderBy("_position", "doc_id").select(*docs.columns)
+    at, found, key, n = unused(docs.columns, "position", "positions", "text_key", "rows")
+    some = docs.filter(F.col("doc_id").isNotNull()).withColumn(key, F.xxhash64("text"))
+    taken = _placed(docs.filter(F.col("doc_id").isNotNull()), size).groupBy("doc_id", F.col("text_key").alias(key)).agg(F.flatten(F.collect_list("positions")).alias(found), F.count("*").alias(n))
+    taken = stored(taken.filter(F.size(found) > 0), "taken")
+    twice = small(taken.filter(F.col(n) > 1).select("doc_id", key), "taken-twice")
+    some = some.join(twice, ["doc_id", key], "left_anti").unionByName(some.join(twice, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key]))
+    copies = some.join(taken, ["doc_id", key]).withColumn(at, F.explode(found))
+    return copies.orderBy(at, "doc_id").select(*docs.columns)
