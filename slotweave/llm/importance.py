@@ -62,7 +62,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), *map(pa.array, total)], ["bucket", "raw", "target"])
 
     ids = F.broadcast(target_ids(labels).withColumn("target", F.lit(True)))  # at most TARGET_DOCS rows
-    rows = docs.join(ids, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    rows = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counts = rows.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     total = np.zeros((2, BUCKETS))
     for bucket, raw, target in counts.collect():
