@@ -6,9 +6,10 @@ needs the fewest phrases per letter parsed wins. Texts are parsed whole, in stre
 each start a phrase, so that thousands of stretches advance together, one numpy step per symbol; the bound
 on the extra phrases (one a stretch) is the same for every language.
 
-The automata are fitted on a bounded sample of the labelled rows: per language the SAMPLE_DOCS documents of
-least hash, at most EXCERPT characters of each, until the language's share of SAMPLE_CHARS is used up, for at
-most MAX_LANGS languages, those with most labelled rows. Each worker builds the automata from that sample.
+The automata are fitted on a bounded sample of the labelled rows, for every language with any: of its SAMPLE_DOCS
+documents of least hash those, whole, whose characters together stay within SAMPLE_CHARS (at least one document).
+Transitions are kept in a hash table over (state, character), so any number of different characters is told apart.
+Each worker builds the automata from that sample; a language takes about 8 MB there.
 """
 
 from __future__ import annotations
@@ -22,23 +23,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 32
-SAMPLE_CHARS = 160_000
-EXCERPT = 2_500
-MAX_LANGS = 200
-#: Symbols told apart: the most frequent characters of the sample; all others are one symbol.
-ALPHABET = 64
+SAMPLE_DOCS = 256
+SAMPLE_CHARS = 120_000
 STRETCH = 256
 #: Symbols parsed together.
 LANES = 1 << 20
+_HASH = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Transitions:
+    """An automaton's transitions by (state, symbol), in an open hash table; -1 where no substring goes on."""
+
+    def __init__(self, nxt: list[dict[int, int]], n_symbols: int):
+        self.n_symbols = n_symbols
+        keys = np.array([state * n_symbols + c for state, out in enumerate(nxt) for c in out], np.int64)
+        values = np.array([to for out in nxt for to in out.values()], np.int32)
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        slot = self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            left = left[np.argsort(slot[left], kind="stable")]
+            first = np.ones(len(left), bool)
+            first[1:] = slot[left][1:] != slot[left][:-1]
+            put = left[first & (self.keys[slot[left]] < 0)]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+        self.start = np.full(n_symbols, -1, np.int64)
+        for c, to in nxt[0].items():
+            self.start[c] = to
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _HASH) >> self.shift).astype(np.int64)
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state * self.n_symbols + symbol
+        slot = self._slot(key)
+        held = self.keys[slot]
+        other = np.flatnonzero((held != key) & (held >= 0))
+        while len(other):
+            slot[other] = (slot[other] + 1) & self.mask
+            held[other] = self.keys[slot[other]]
+            other = other[(held[other] != key[other]) & (held[other] >= 0)]
+        return self.values[slot]
 
 
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray  # of each code point; 0: another character
-    step: np.ndarray  # flat (state * ALPHABET + symbol) -> state, -1 where no substring goes on
-    roots: np.ndarray
+    symbol: np.ndarray  # of each code point; 0: one that the sample does not hold
+    step: list[Transitions]
 
 
 def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
@@ -77,24 +113,11 @@ def code_points(text: str) -> np.ndarray:
 
 def fit(sample: dict[str, list[str]]) -> Model:
     """Automata of the sampled texts of each language."""
-    each = SAMPLE_CHARS // max(1, len(sample))
-    joined = {lang: code_points("\n".join(texts))[:each] for lang, texts in sorted(sample.items())}
-    symbol = np.zeros(0x110000, np.uint8)
-    if joined:
-        points, counts = np.unique(np.concatenate(list(joined.values())), return_counts=True)
-        top = points[np.lexsort((points, -counts))][: ALPHABET - 1]
-        symbol[top] = np.arange(1, len(top) + 1, dtype=np.uint8)
-    tables, roots, at = [], [], 0
-    for text in joined.values():
-        nxt = suffix_automaton(symbol[text])
-        t = np.full((len(nxt), ALPHABET), -1, np.int32)
-        for state, out in enumerate(nxt):
-            t[state, list(out)] = list(out.values())
-        t[t >= 0] += at
-        tables.append(t.ravel())
-        roots.append(at)
-        at += len(nxt)
-    return Model(list(joined), symbol, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int64))
+    joined = {lang: code_points("\n".join(texts)) for lang, texts in sorted(sample.items())}
+    symbol = np.zeros(0x110000, np.int64)
+    known = np.unique(np.concatenate([*joined.values(), np.zeros(0, np.uint32)]))
+    symbol[known] = np.arange(1, len(known) + 1)
+    return Model(list(joined), symbol, [Transitions(suffix_automaton(symbol[text]), len(known) + 1) for text in joined.values()])
 
 
 @functools.lru_cache(2)
@@ -114,20 +137,19 @@ def phrases(model: Model, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarra
     length = np.minimum(STRETCH, offsets[owner + 1] - begin)
     order = np.argsort(-length, kind="stable")
     owner, begin, length = owner[order], begin[order], length[order]
-    for k, root in enumerate(model.roots):
-        start = model.step[root * ALPHABET : (root + 1) * ALPHABET]
-        again = np.where(start >= 0, start, root).astype(np.int64)  # a new phrase's first symbol, known or not
-        state = np.full(len(owner), root, np.int64)
+    for k, step in enumerate(model.step):
+        again = np.maximum(step.start, 0)  # a new phrase's first symbol, known or not
+        state = np.zeros(len(owner), np.int64)
         n = (length > 0).astype(np.int64)
         live = len(owner)
         for i in range(int(length[0]) if len(length) else 0):
             while live and length[live - 1] <= i:
                 live -= 1
             s = symbols[begin[:live] + i]
-            to = model.step[state[:live] * ALPHABET + s]
+            to = step(state[:live], s)
             ended = to < 0
             if i:  # at the root: the last symbol was a phrase of its own, unknown to this language
-                n[:live] += ended | (state[:live] == root)
+                n[:live] += ended | (state[:live] == 0)
             state[:live] = np.where(ended, again[s], to)
         np.add.at(out[:, k], owner, n)
     return out
@@ -155,22 +177,23 @@ def predict(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float]
 
 
 def training_sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Excerpts of at most SAMPLE_DOCS labelled documents of each of at most MAX_LANGS languages.
+    """Per language whole texts of at most SAMPLE_CHARS characters together (or else the shortest one).
 
     Ids are ranked within parts of a language before the parts meet, and only the chosen texts are read.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    langs = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    keyed = labelled.join(F.broadcast(langs), "lang").select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    keyed = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     least = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("h", "doc_id")) <= SAMPLE_DOCS
     keyed = keyed.withColumn("part", F.pmod("h", F.lit(256))).withColumn("ok", least("part")).filter("ok")
-    chosen = keyed.withColumn("ok", least()).filter("ok").select("doc_id").distinct()  # at most MAX_LANGS * SAMPLE_DOCS ids
-    rows = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, EXCERPT).alias("text"))
+    chosen = keyed.withColumn("ok", least()).filter("ok").select("lang", "doc_id").distinct()  # SAMPLE_DOCS ids a language
+    rows = labelled.join(chosen, ["lang", "doc_id"], "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), "text", F.length("text").alias("n"))
+    fits = F.when(F.col("n") <= SAMPLE_CHARS // 2, F.col("n"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    rows = rows.withColumn("upto", F.when(fits.isNotNull(), F.sum(fits).over(order))).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("n", "h", "text")))
     out: dict[str, list[str]] = {}
-    for lang, _, text in sorted(map(tuple, rows.collect())):
+    for lang, _, text in sorted(rows.filter((F.col("upto") <= SAMPLE_CHARS) | (F.col("nth") == 1)).select("lang", "h", "text").collect()):
         out.setdefault(lang, []).append(text)
-    each = SAMPLE_CHARS // max(1, len(out))
-    return {lang: ["\n".join(texts)[:each]] for lang, texts in out.items()}
+    return out
 
 
 def held_out(id_col: str = "doc_id"):

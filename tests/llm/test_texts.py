@@ -5,6 +5,7 @@ from collections import Counter
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from slotweave.llm import kernels as K
 from slotweave.llm import langid, token_count, unigram
@@ -64,6 +65,38 @@ def test_token_count_rows(spark, odd_docs):
     assert token_count.token_counts(odd_docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_lines_and_words_past_64_kib_are_told_apart():
+    a, b = "a" * 65536, "b" * 65536
+    rows = [dict(zip(_COUNTS, map(int, c))) for block in K.texts(pa.array([f"{a}{b}\n{b}{a}", f"{a}{b}\n{a}{b}"])) for c in block_counts(block).T]
+    assert [r["n_dup_lines"] for r in rows] == [0, 1] and [r["n_distinct"] for r in rows] == [2, 1]
+
+
+def test_estimates_match_plain_concentration(spark):
+    """MCD by the same steps in numpy, over rows in memory."""
+    import numpy as np
+
+    from slotweave.llm import quality as Q
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.multivariate_normal(np.arange(6), np.diag(np.arange(1, 7) / 3.0), 500) * Q.SCALE).astype(int)
+    x[:20] += 40 * Q.SCALE
+    pooled = spark.createDataFrame([("p", v.tolist()) for v in x], "pool string, x array<int>")
+    got = Q._start(pooled)
+    for _ in range(Q.STEPS):
+        got = Q._estimate(pooled, got)
+    got = got.first()
+    y = x / Q.SCALE
+    low = lambda v: np.sort(v, 0)[int(np.ceil(0.5 * len(v))) - 1]
+    centre = low(y)
+    scatter = np.diag((1.4826 * low(np.abs(y - centre))) ** 2)
+    for _ in range(Q.STEPS):
+        white = np.array(Q._white(scatter)).reshape(6, 6)
+        bins = np.minimum(np.floor(np.log1p((((y - centre) @ white.T) ** 2).sum(1)) * 256), 16383)
+        near = y[bins <= np.sort(bins)[int(np.ceil(Q.H * len(y))) - 1]]
+        centre, scatter = near.mean(0), Q.CONSISTENCY * np.cov(near.T, bias=True)
+    assert got.n == len(near) and np.allclose(got.centre, centre) and np.allclose(np.array(got.scatter).reshape(6, 6), scatter, atol=1e-6)
+
+
 def test_quality_rows(spark, odd_docs):
     rows = quality_rules(odd_docs).collect()
     assert len(rows) == odd_docs.count()
@@ -108,6 +141,30 @@ def test_unigram_finds_best_segmentation(path):
             assert abs(sum(v.score[p] for p in ids) - best("▁" + w)) < 1e-6
 
 
+def test_log_scores_give_about_the_pieces_of_the_library(path):
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    _, offsets = unigram.encode(unigram.vocabulary(path), texts)
+    library = sum(map(len, sentencepiece.SentencePieceProcessor(model_file=path).encode(texts, num_threads=1)))
+    print(offsets[-1] / library)
+    assert abs(offsets[-1] / library - 1) < 0.05
+
+
+def test_long_words_are_segmented_like_short_ones(path, rng, monkeypatch):
+    v = unigram.vocabulary(path)
+    words = ["".join(rng.choice(["ing", "the", "a", "日本", "é", "😀", "0"]) for _ in range(n)).encode() for n in (3, 60, 200)]
+    expected = unigram.segment(v, words)
+    monkeypatch.setattr(unigram, "LONG_WORD", 1)
+    for x, y in zip(expected, unigram.segment(v, words), strict=True):
+        assert x.tolist() == y.tolist()
+    monkeypatch.undo()
+    text = "日本語" * 30_000 + "aaab" * 30_000
+    pieces, offsets = unigram.encode(v, [text])
+    assert unigram.decode(path, pieces, offsets) == [text]
+
+
 def test_unigram_round_trip(path, spark, odd_docs):
     v = unigram.vocabulary(path)
     texts = random_texts(100, 6) + ["", "  a  b ", "▁"]
@@ -134,9 +191,11 @@ def test_cross_parsing_matches_brute_force(rng):
 
     import numpy as np
 
-    sample = {k: ["".join(rng.choice(a) for _ in range(200))] for k, a in (("x", "abcd "), ("y", "bcde "))}
+    han = "".join(map(chr, range(0x4E00, 0x4E00 + 300)))
+    sample = {k: ["".join(rng.choice(a) for _ in range(200))] for k, a in (("x", "abcd "), ("y", "bcde "), ("z", han))}
     model = langid.fit(sample)
     texts = ["".join(rng.choice("abcdeq ") for _ in range(n)) for n in (0, 1, 50, 256, 257, 700)]
+    texts += [sample["z"][0][20:90] + han[:200]]
     points = [langid.code_points(t) for t in texts]
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in points])))
     got = langid.phrases(model, model.symbol[np.concatenate(points)], offsets)
@@ -144,6 +203,26 @@ def test_cross_parsing_matches_brute_force(rng):
     assert got.tolist() == [[parse(sample[k][0], t) for k in model.langs] for t in known]
 
 
+def test_every_language_is_learned_from_whole_texts(spark):
+    """More than 200 languages, characters past any fixed alphabet, and words that only stand late in a text."""
+    rng = random.Random(19)
+    rows = []
+    for k in range(210):
+        own = ["".join(chr(0x4E00 + 90 * k + rng.randrange(90)) for _ in range(4)) for _ in range(20)]
+        rows += [(10 * k + n, ("x " * 3000 if n < 9 else "") + "".join(rng.choice(own) for _ in range(40)), f"l{k:03}") for n in range(10)]
+    out = langid.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    right = {r.doc_id: r.lang_pred == f"l{r.doc_id // 10:03}" for r in out.filter("doc_id % 10 = 9").collect()}
+    assert len(right) == 210 and sum(right.values()) >= 205
+
+
+def test_held_out_accuracy_on_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = langid.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL")
+    rates = {r.lang: r.rate for r in out.groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("rate")).collect()}
+    print(rates)
+    assert min(rates.values()) > 0.9
+
+
 def test_language_rows(spark, odd_docs):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["the", "and", "of", "was"] if i % 2 else ["der", "und", "nicht", "ein"]) for _ in range(30)), "en" if i % 2 else "de") for i in range(100)]
