@@ -18,7 +18,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -147,10 +147,14 @@ def _group_keys() -> dict:
     return {f"_{c}": F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source")}
 
 
+def _pools() -> dict[str, Column]:
+    """The pools of a row: group, language, all."""
+    return {"g": F.concat(F.lit("g"), F.length("_lang").cast("string"), "_lang", "_source"), "l": F.concat(F.lit("l"), "_lang"), "a": F.lit("a")}
+
+
 def _pooled(rows: DataFrame) -> DataFrame:
     """(pool, x): every row once for its language and source, once for its language and once for all."""
-    group = F.concat(F.lit("g"), F.length("_lang").cast("string"), "_lang", "_source")
-    return rows.select(F.explode(F.array(group, F.concat(F.lit("l"), "_lang"), F.lit("a"))).alias("pool"), "x")
+    return rows.select(F.explode(F.array(*_pools().values())).alias("pool"), "x")
 
 
 def _cut(bins: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -178,6 +182,7 @@ def _start(rows: DataFrame) -> DataFrame:
     long = rows.select("pool", F.posexplode("x").alias("k", "v"))
     keys = ["pool", "k"]
     middle = _cut(long.groupBy(*keys, F.col("v").alias("bin")).agg(F.count("*").alias("n")), keys, 0.5).withColumnRenamed("cut", "middle")
+    middle = small(middle, "quality-middles")  # else every row of a pool would be shuffled by it
     away = long.join(middle, keys).groupBy(*keys, "middle", F.abs(F.col("v") - F.col("middle")).alias("bin")).agg(F.count("*").alias("n"))
     mad = _cut(away, [*keys, "middle"], 0.5)
     per_pool = mad.groupBy("pool").agg(F.sort_array(F.collect_list(F.struct("k", "middle", "cut"))).alias("c"))  # DIM entries
@@ -200,6 +205,7 @@ def _estimate(rows: DataFrame, before: DataFrame) -> DataFrame:
     """One concentration step: centre and scatter of the closest share H of each pool."""
     near = _distance(rows, before, ["pool"]).withColumn("bin", F.least(F.floor(F.log1p("d2") * 256), F.lit(16383)).cast("int"))
     cuts = _cut(near.groupBy("pool", "bin").agg(F.count("*").alias("n")), ["pool"], H)
+    cuts = small(cuts, "quality-cuts")
     pairs = [(i, j) for i in range(DIM) for j in range(i, DIM)]
     x = [F.col("x")[i].cast("long") for i in range(DIM)]
     sums = near.join(cuts, "pool").filter(F.col("bin") <= F.col("cut")).groupBy("pool").agg(
@@ -235,9 +241,9 @@ def drawn(n: int, centre: np.ndarray, scatter: np.ndarray, wide_centre: np.ndarr
 def _shrunk(groups: DataFrame, estimates: DataFrame) -> DataFrame:
     """(_lang, _source, centre, white) of every group, drawn towards its language's and that towards all rows'."""
     each = estimates.select("pool", F.struct("n", "centre", "scatter").alias("e"))
-    pool = {"g": F.concat(F.lit("g"), F.length("_lang").cast("string"), "_lang", "_source"), "l": F.concat(F.lit("l"), "_lang"), "a": F.lit("a")}
-    for name, key in pool.items():
-        groups = groups.withColumn("_key", key).join(each.select(F.col("pool").alias("_key"), F.col("e").alias(name)), "_key", "left").drop("_key")
+    levels = F.array(*[F.struct(F.lit(name).alias("level"), key.alias("pool")) for name, key in _pools().items()])
+    known = groups.select("_lang", "_source", F.explode(levels).alias("p")).select("_lang", "_source", "p.level", "p.pool").join(each, "pool")
+    groups = known.groupBy("_lang", "_source").agg(*[F.first(F.when(F.col("level") == name, F.col("e")), ignorenulls=True).alias(name) for name in _pools()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def of(e: dict | None) -> tuple[int, np.ndarray, np.ndarray] | None:
@@ -267,9 +273,9 @@ def fit(rows: DataFrame) -> DataFrame:
     """The estimate of every language and source of rows of text_counts, which are read once."""
     rows = stored(rows.withColumns(_group_keys()).select("_lang", "_source", "base_failed", "x"), "quality-counts")
     passing = stored(_pooled(rows.filter(~F.col("base_failed"))), "quality-vectors")
-    estimates = stored(_start(passing), "quality-start")
+    estimates = small(_start(passing), "quality-start")
     for step in range(STEPS):
-        estimates = stored(_estimate(passing, estimates), f"quality-step{step}")
+        estimates = small(_estimate(passing, estimates), f"quality-step{step}")
     return small(_shrunk(rows.select("_lang", "_source").distinct(), estimates), "quality-estimates")
 
 
