@@ -6,6 +6,8 @@ import re
 
 import pandas as pd
 
+from slotweave.functions import textfn
+
 #: Labels known to stand before a slot, and the type of what belongs there (fixed values).
 LABEL_TYPES = {
     "우편번호": "postal-code",
@@ -33,7 +35,7 @@ LABEL_TYPES = {
     "휴대전화": "phone",
     "신청사업담당자 전화(휴대폰)": "phone",
 }
-REQUIRED = re.compile("성명|주소|우편|전화|이메일|대표|실무|시설명|법인명")
+REQUIRED = re.compile(textfn.REQUIRED)
 
 # One alternation, longer labels first, so each place has the longest label that fits; spaces may stand between characters.
 _NAMES = sorted(LABEL_TYPES, key=lambda n: -len("".join(n.split())))
@@ -54,9 +56,10 @@ def slots(text: str | None) -> list[dict]:
     out, seen = [], set()
     for m, name in found:
         colon = _COLON.match(text, m.end())
-        if name in seen or not colon:
-            continue
+        first = name not in seen
         seen.add(name)
+        if not first or not colon:
+            continue
         at = colon.end()
         rest = text[at:].lstrip()
         nxt = _LABEL.search(text, at)

@@ -125,9 +125,13 @@ def placeholder_unit(c: Column | str) -> Column:
     return F.when(money, "money").when(c.rlike(r"년.*월.*일") | c.rlike(r"\d.*\.\s*\d.*\.\s*\d"), "date").otherwise("text")
 
 
+#: Words of labels whose fields are required (fixed words).
+REQUIRED = "성명|주소|우편|전화|이메일|대표|실무|시설명|법인명"
+
+
 def is_required(c: Column | str) -> Column:
-    """Required by the words of the label (fixed words)."""
-    return _c(c).rlike("성명|주소|우편|전화|이메일|대표|실무|시설명|법인명")
+    """Required by the words of the label."""
+    return _c(c).rlike(REQUIRED)
 
 
 def paragraph_status(text: Column | str, control: Column | None = None) -> Column:

@@ -109,12 +109,35 @@ def empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], struct(ddl))
 
 
+def zipped_forms(spark: SparkSession) -> DataFrame:
+    """(form_id, payload): the forms of FORM_FIELDS as packages, each a table of labels beside empty cells."""
+    from slotweave.sources.packages import MANIFEST, MIMETYPE, OWN_NAMESPACE
+
+    out = []
+    for form in sorted({f for f, *_ in FORM_FIELDS}):
+        pairs = [("항목", "내용"), *((label, "") for f, _, label, *_ in FORM_FIELDS if f == form)]
+        cell = '<tc><cellAddr rowAddr="{i}" colAddr="{j}"/><subList><p><run><t>{t}</t></run></p></subList></tc>'
+        rows = "".join("<tr>" + "".join(cell.format(i=i, j=j, t=escape(t)) for j, t in enumerate(pair)) + "</tr>" for i, pair in enumerate(pairs))
+        parts = [
+            ("mimetype", MIMETYPE),
+            ("Contents/section0.xml", f'<sec xmlns="{OWN_NAMESPACE}2011/section"><p><run><tbl>{rows}</tbl></run></p></sec>'.encode()),
+            (MANIFEST, b'<package><manifest><item id="a" href="Contents/section0.xml"/></manifest><spine><itemref idref="a"/></spine></package>'),
+        ]
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for path, content in parts:
+                z.writestr(zipfile.ZipInfo(path), content)
+        out.append((form, data.getvalue()))
+    return spark.createDataFrame(out, "form_id string, payload binary")
+
+
 def zipped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(form_id, payload): a zipped form per document, its lines as a table in the first of two sections.
 
-    The spine names the sections against the order of their names; some forms have a fault, dealt by key.
+    The spine names the sections against the order of their names; some forms have a fault, a table inside a cell or a
+    foreign element, dealt by key. Characters that XML has no place for are written as U+FFFD.
     """
-    from slotweave.sources.packages import MANIFEST, MIMETYPE
+    from slotweave.sources.packages import MANIFEST, MIMETYPE, OWN_NAMESPACE
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -122,12 +145,16 @@ def zipped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             for k, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 row = '<tr><tc><cellAddr rowAddr="{i}" colAddr="0"/><subList><p><run><t>line {i}</t></run></p></subList></tc><tc><cellAddr rowAddr="{i}" colAddr="1"/><cellSpan colSpan="2" rowSpan="1"/><subList><p><run><t>{t}</t></run></p></subList></tc></tr>'
                 rows = "".join(row.format(i=i, t=escape(line)) for i, line in enumerate(text.split("\n")))
+                if k % 9 == 8:
+                    inner = "<p><run><tbl><tr><tc><subList><p><run><t>inner</t></run></p></subList></tc></tr></tbl></run></p>"
+                    rows = rows.replace("</subList>", f"{inner}</subList>", 1)
+                foreign = '<x:p xmlns:x="urn:other"/>' if k % 9 == 8 else ""
                 items = "".join(f'<item id="{i}" href="{h}"/>' for i, h in (("a", "Contents/section1.xml"), ("b", "Contents/section0.xml"), ("h", "Contents/header.xml")))
                 parts = [
                     ("mimetype", b"text/plain" if k % 9 == 3 else MIMETYPE),
                     ("../x" if k % 9 == 4 else "Preview/PrvText.txt", text.encode()),
                     ("Contents/section0.xml", b"<sec><p/></sec>" if k % 9 != 7 else b"<!DOCTYPE x><sec/>"),
-                    ("Contents/section1.xml", f"<sec><p><run><tbl>{rows}</tbl></run></p></sec>".encode()),
+                    ("Contents/section1.xml", f'<sec xmlns="{OWN_NAMESPACE}2011/section"><p><run><t>doc {k}</t></run></p><p><run><tbl>{rows}</tbl></run></p>{foreign}</sec>'.encode()),
                     ("Contents/header.xml", b"<head/>"),
                     ("Contents/other.hpf" if k % 9 == 5 else MANIFEST, f'<package><manifest>{items}</manifest><spine><itemref idref="h"/><itemref idref="a"/><itemref idref="b"/>{"<itemref idref=%s/>" % chr(34).join(["", "zz", ""]) if k % 9 == 6 else ""}</spine></package>'.encode()),
                 ]
@@ -138,5 +165,6 @@ def zipped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((f"d-{k}", data.getvalue()))
             yield pd.DataFrame(out, columns=["form_id", "payload"])
 
-    docs = table(spark, sf_dir, "documents").filter("text <> '' AND NOT text RLIKE '[\\\\x00-\\\\x08\\\\x0b-\\\\x1f]'").select("doc_id", "text")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0b-\x1f]", "\ufffd")
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     return docs.mapInPandas(build, "form_id string, payload binary")

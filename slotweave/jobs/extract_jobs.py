@@ -130,7 +130,24 @@ def v10_accept_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.accept_proposals(rows, fields, blocks).select("job_id", "proposal_seq", "field_id", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (e01_doc_hash, e02_line_blocks, e05_markdown_blocks, e12_facts, e15_paragraph_blocks, e16_own_text, e17_split_long_blocks, e18_rejoin, e19_extract_status, e20_norm_text, s1_read_sources, r01_link_labels, r08_resolve_links, r10_link_summary, v01_validate_proposals, v09_problems, v10_accept_proposals)}
+def v02_unsettled_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value proposed for every field whose rule result is a conflict or missing."""
+    _, fields, results, blocks, edits = _proposals(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    rows = results.filter("status <> 'suggested'").select("job_id", F.substring_index("field_id", "-", -1).cast("int").alias("proposal_seq"), "field_id", F.lit("x").alias("value"), F.lit("extract").alias("value_transform"), none.alias("source_block_ids"), F.lit(None).cast("string").alias("evidence_quote"), F.array().cast("array<struct<block_id:string,quote:string>>").alias("evidence"))
+    return evidence.validate_proposals(rows, fields, results, blocks, edits.filter("false"))[0]
+
+
+def v07_unclear_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Converted values whose proposal cites nothing, the rule's blocks being gone for some orders."""
+    rows, fields, results, blocks, edits = _proposals(spark, sf_dir)
+    gone = F.substring("job_id", 3, 20).cast("bigint") % 2 == 0
+    rows = results.filter("value_transform = 'unit'").select("job_id", F.substring_index("field_id", "-", -1).cast("int").alias("proposal_seq"), "field_id", "value", "value_transform", F.array().cast("array<string>").alias("source_block_ids"), F.lit(None).cast("string").alias("evidence_quote"), F.array().cast("array<struct<block_id:string,quote:string>>").alias("evidence"))
+    results = results.withColumn("source_block_ids", F.when(gone, F.array(F.lit("b-none"))).otherwise(F.col("source_block_ids")))
+    return evidence.validate_proposals(rows, fields, results, blocks, edits.filter("false"))[1]
+
+
+QUERIES = {f.__name__: f for f in (v02_unsettled_results, v07_unclear_units, e01_doc_hash, e02_line_blocks, e05_markdown_blocks, e12_facts, e15_paragraph_blocks, e16_own_text, e17_split_long_blocks, e18_rejoin, e19_extract_status, e20_norm_text, s1_read_sources, r01_link_labels, r08_resolve_links, r10_link_summary, v01_validate_proposals, v09_problems, v10_accept_proposals)}
 
 # SQL ------------------------------------------------------------------------------------------------------
 
@@ -241,6 +258,8 @@ SELECT form_id, count(*) AS n_fields, count(*) FILTER (status = 'suggested') AS
   CASE k % 8 WHEN 0 THEN 'quote not found' WHEN 1 THEN 'value differs' WHEN 2 THEN 'cited block missing' WHEN 3 THEN 'unknown field' WHEN 4 THEN 'evidence altered' WHEN 6 THEN 'user value protected' END AS reason FROM proposals""",
     "v09_problems": f"""{_LINKED}, {_PROPOSALS} SELECT job_id, proposal_seq, field_id, CASE k % 8 WHEN 3 THEN 'invalid_field_id' WHEN 1 THEN 'value_mismatch' WHEN 6 THEN 'user_value_protected' ELSE 'missing_quote' END AS type,
   'error' AS severity, CASE k % 8 WHEN 1 THEN r_value WHEN 2 THEN 'b-none' WHEN 6 THEN 'mine' END AS detail FROM proposals WHERE k % 8 NOT IN (5, 7)""",
+    "v02_unsettled_results": f"{_LINKED} SELECT job_id, CAST(split_part(field_id, '-', 2) AS INTEGER) AS proposal_seq, field_id, 'blocked' AS status, 'rule result unsettled' AS reason FROM results WHERE status <> 'suggested'",
+    "v07_unclear_units": f"{_LINKED} SELECT job_id, CAST(split_part(field_id, '-', 2) AS INTEGER) AS proposal_seq, field_id, 'unit_unclear' AS type, 'warning' AS severity, NULL::VARCHAR AS detail FROM results WHERE value_transform = 'unit' AND k % 2 = 0",
     "v10_accept_proposals": rf"""{_LINKED}, {_PROPOSALS}, n AS (SELECT *, count(*) OVER (PARTITION BY job_id, field_id) AS n FROM proposals)
 SELECT job_id, proposal_seq, field_id, k % 8 NOT IN (0, 2, 3, 5) AND n = 1 AND field_id <> 'f2-3' AND value <> '' AND contains(quote, value) AS accepted FROM n""",
 }

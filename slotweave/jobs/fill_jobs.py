@@ -9,8 +9,8 @@ from slotweave.functions import textfn as X
 from slotweave.jobs import adapters as A
 from slotweave.jobs import extract_jobs as E
 from slotweave.jobs import form_jobs as T
-from slotweave.operators import extract, fill, link, profile, quality, retrieve
-from slotweave.sources import packages
+from slotweave.operators import candidates, evidence, extract, fill, link, profile, quality, retrieve, tables
+from slotweave.sources import packages, store
 
 
 def _text(c: str):
@@ -60,15 +60,25 @@ def g03_guard_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _guarded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Edits of all fields in row 1; automatic ones hold for odd orders, and some forms have changed since."""
-    fields = T._fields(spark, sf_dir).filter("row <= 2")
+    """An edit of every field; automatic ones hold for some orders, and some forms have changed since."""
+    fields = T._fields(spark, sf_dir)
     key = F.substring("form_id", 3, 20).cast("bigint")
-    edits = fields.filter("row = 1 OR col = 2").select(F.col("form_id").alias("job_id"), "field_id", F.lit("v").alias("value"), F.when(key % 2 == 0, "rule").otherwise("user").alias("origin")).distinct()
+    edits = fields.select(F.col("form_id").alias("job_id"), "field_id", F.lit("v").alias("value"), F.when(key % 2 == 0, "rule").otherwise("user").alias("origin")).distinct()
     accepted = edits.filter(F.substring("job_id", 3, 20).cast("bigint") % 4 == 0)
     jobs = fields.select("form_id").distinct().select(F.col("form_id").alias("job_id"), "form_id", F.lit("a").alias("form_hash"), F.when(key % 10 == 0, "b").otherwise("a").alias("analysed_hash"))
     return fill.guard_edits(edits, jobs, fields.select(*fill.RUN, "insert_offset", "field_id", "editable").distinct(), accepted)
 
 
+def g04_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each open field edited once, and in some forms again under another id at the same place."""
+    fields = T._fields(spark, sf_dir).filter("editable").select(*fill.RUN, "insert_offset", "field_id", "editable").distinct()
+    twin = fields.filter((F.col("row") == 1) & (F.substring("form_id", 3, 20).cast("bigint") % 7 == 1)).withColumn("field_id", F.lit("f-twin"))
+    fields = fields.unionByName(twin)
+    edits = fields.select(F.col("form_id").alias("job_id"), "field_id", F.lit("v").alias("value"), F.lit("user").alias("origin"))
+    jobs = fields.select("form_id").distinct().select(F.col("form_id").alias("job_id"), "form_id", F.lit("a").alias("form_hash"), F.lit("a").alias("analysed_hash"))
+    return fill.guard_edits(edits, jobs, fields, edits.filter("false"))[1]
+
+
 def g05_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid_filled(spark, sf_dir).select("job_id", "row", "col", "old_text", "new_text")
 
@@ -104,12 +114,11 @@ def q02_diff_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q03_diff_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = fill.RUN[1:]
-    rows = _grid_filled(spark, sf_dir)
+    rows = _grid_filled(spark, sf_dir).groupBy("job_id", *key).agg(F.min("old_text").alias("old_text"), F.min("new_text").alias("new_text"))  # some line numbers repeat
     odd = F.substring("job_id", 3, 20).cast("bigint") % 50 == 0
     old = rows.select("job_id", *key, F.col("old_text").alias("text"))
     new = rows.select("job_id", *key, F.when(odd & (F.col("row") == 0) & (F.col("col") == 0), "damaged").otherwise(F.col("new_text")).alias("text"))
-    head = F.col("row") <= 1
-    return quality.diff_fixed(old.filter(head), new.filter(head), _grid_edits(spark, sf_dir), ["job_id", *key]).select("job_id", "row", "col", "old_text", "new_text")
+    return quality.diff_fixed(old, new, _grid_edits(spark, sf_dir), ["job_id", *key]).select("job_id", "row", "col", "old_text", "new_text")
 
 
 def q04_diff_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,11 +191,30 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m02_rank_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir).select("job_id", "batch", "seq", "hits", "rank")
+    return _ranked(spark, sf_dir).select("job_id", "batch", "seq", "hits", "rank", "n_bytes", "field_bytes")
 
 
 def m03_pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.pack_blocks(_ranked(spark, sf_dir), 700)
+    return retrieve.pack_blocks(_ranked(spark, sf_dir), 700)[0]
+
+
+def m03_pack_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.pack_blocks(_ranked(spark, sf_dir), 330)[1]
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answers to the batches, some for fields that nobody asked for, with their origin."""
+    rows, fields, _, blocks, _ = E._proposals(spark, sf_dir)
+    rows = rows.withColumn("origin", F.when(F.substring("job_id", 3, 20).cast("bigint") % 2 == 0, "rule").otherwise("model"))
+    return retrieve.collect_answers(_batches(spark, sf_dir), rows)[0], fields, blocks
+
+
+def m04_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir)[0].select("job_id", "proposal_seq", "field_id", "origin")
+
+
+def m04_accepted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.accept_proposals(*_answers(spark, sf_dir)).filter("accepted").select("job_id", "field_id", "value", "origin")
 
 
 def m04_open_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,10 +243,10 @@ def p04_role_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p05_remap_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, part = A.table(spark, sf_dir, "lineitem"), A.table(spark, sf_dir, "part")
-    mapping = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("old_id"), (F.col("p_partkey") + 1).alias("new_id"))
+    items = A.table(spark, sf_dir, "lineitem")
     refs = items.select(F.col("l_suppkey").alias("form_id"), F.col("l_partkey").alias("style_id"))
-    return profile.remap_ids(refs, mapping, part.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("style_id")))[1]
+    mapping = refs.filter("style_id % 2 = 0 AND form_id % 2 = 0").select("form_id", F.col("style_id").alias("old_id"), (F.col("style_id") + 1).alias("new_id"))
+    return profile.remap_ids(refs, mapping, refs.filter("style_id % 3 <> 0").distinct())[1]
 
 
 def p06_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +300,22 @@ def s4_spine_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s5_section_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, _, _ = packages.parse_sections(_spine(spark, sf_dir)[0])
-    return cells.select("form_id", "section", "row", "col", "col_span", "text", "has_nested")
+    return cells.select("form_id", "section", "table_idx", "row", "col", "col_span", "text", "has_nested")
+
+
+def s5_section_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packages.section_paragraphs(_spine(spark, sf_dir)[0]).withColumnRenamed("form_id", "doc_id")
+    return extract.paragraph_blocks(rows).select("doc_id", "section", "table_idx", "row", "col", "col_span", "start", "end", "text")
+
+
+def s5_section_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = packages.parse_sections(_spine(spark, sf_dir)[0])[1]
+    return runs.groupBy("form_id", "section", "table_idx").agg(F.count("*").alias("n_runs"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def s5_nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = _spine(spark, sf_dir)[0]
+    return tables.inner_tables(packages.nested_tables(sections), packages.parse_sections(sections)[0]).select("form_id", "section", "table_idx", "parent_table", "parent_row", "parent_col", "parent_text")
 
 
 def s5_section_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,9 +323,72 @@ def s5_section_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s6_ns_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = A.table(spark, sf_dir, "part")
-    rows = part.select(F.col("p_brand").alias("form_id"), F.col("p_type").alias("section"), F.col("p_name").alias("local_name"), (F.col("p_size") % 5).cast("string").alias("namespace"), (F.col("p_size") % 5 == 0).alias("foreign"))
-    return packages.ns_clashes(rows)
+    return packages.ns_clashes(packages.section_elements(_spine(spark, sf_dir)[0]))
+
+
+def _form_parts(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(fields, runs) of the zipped forms: read, checked, ordered, parsed and detected once a form."""
+    ok, _ = packages.check_packages(packages.entries_of(A.zipped_forms(spark)))
+    cells, runs, _ = packages.parse_sections(packages.resolve_spine(*packages.manifests(ok), ok)[0])
+    cells, runs = store.stored(cells, "form-cells"), store.stored(runs, "form-runs")
+    return store.stored(candidates.form_fields(cells, runs), "form-fields"), runs
+
+
+def _linked_forms(spark: SparkSession, sf_dir: str, form: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fields of each job, its link results, the source blocks): the forms' fields linked to order documents."""
+    fields = A.jobs(spark, sf_dir).join(F.broadcast(form), "form_id")  # the forms' fields are few by construction
+    blocks = extract.with_block_id(extract.line_blocks(A.order_sources(spark, sf_dir)))
+    matches = link.link_labels(fields.drop("section"), blocks)  # a form's section is no scope of the source
+    return fields, store.stored(link.resolve_links(fields, matches), "form-results"), blocks
+
+
+def w2_link_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields, results, _ = _linked_forms(spark, sf_dir, _form_parts(spark)[0])
+    return fields.select("job_id", "field_id", "row", "col", "label", "editable").join(results.drop("label"), ["job_id", "field_id"]).select("job_id", "row", "col", "label", "editable", "status", "value")
+
+
+def _filled_forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(edits, filled runs of the jobs that pass every check).
+
+    Suggested values that hold against their source become edits, of which two jobs in three select all; a form that
+    has changed since its analysis, a guard's problem or a value that is not found again stops its job.
+    """
+    form, runs = _form_parts(spark)
+    fields, results, blocks = _linked_forms(spark, sf_dir, form)
+    key = F.substring("job_id", 3, 20).cast("bigint")
+    rows = results.filter("status = 'suggested'").withColumn("proposal_seq", F.xxhash64("field_id"))
+    rows = evidence.accept_proposals(rows.select("job_id", "proposal_seq", "field_id", "value", "source_block_ids", "evidence_quote"), fields, blocks).filter("accepted")
+    rows = store.stored(rows, "accepted-values")
+    edits = rows.select("job_id", "field_id", "value", (key % 3 != 0).alias("selected"), F.lit("rule").alias("origin"))
+    chosen, conflicts = fill.selected_edits(edits)
+    jobs = A.jobs(spark, sf_dir).select("job_id", "form_id", F.lit("a").alias("form_hash"), F.when(key % 10 == 0, "b").otherwise("a").alias("analysed_hash"))
+    passed, problems = fill.guard_edits(chosen, jobs, form.select(*fill.RUN, "insert_offset", "field_id", "editable"), rows.select("job_id", "field_id", "value"))
+    own = A.jobs(spark, sf_dir).join(F.broadcast(runs), "form_id")  # the forms' runs are few by construction
+    passed = store.stored(passed, "passed-edits")
+    filled = store.stored(fill.apply_edits(own.drop("form_id", "doc_id"), passed), "filled-forms")
+    place = F.concat_ws("/", "section", "table_idx", "row", "col")
+    checks = quality.check_applied(passed.select("job_id", place.alias("place"), "value"), filled.select("job_id", place.alias("place"), F.col("new_text").alias("text")))
+    return edits, fill.passed_jobs(filled.join(passed.select("job_id").distinct(), "job_id", "left_semi"), conflicts, problems, checks.filter("n_lost > 0"))
+
+
+def w3_filled_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled_forms(spark, sf_dir)[1].select("job_id", "row", "col", "new_text")
+
+
+def w3_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edits, filled = _filled_forms(spark, sf_dir)
+    done = edits.filter("selected").join(filled.select("job_id").distinct(), "job_id", "left_semi")
+    return fill.fill_report(edits, done).select("job_id", "n_applied", "n_skipped", "n_pending")
+
+
+def r03_scoped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels asked for in any place, in one section, and in the table of one title, by the entries of their contexts."""
+    blocks = extract.with_block_id(extract.line_blocks(A.order_sources(spark, sf_dir)))
+    entry = lambda test, text: F.when(test, F.lit(text))
+    blocks = blocks.withColumn("context", F.array_compact(F.array(F.lit("h1"), entry(F.col("seq") >= 4, "구역: 끝 "), entry(F.col("seq") < 4, "구역:앞"), entry(F.col("seq") == 1, "표: 고객"))))
+    asked = [("a", "Status", []), ("b", "Status", ["구역: 앞"]), ("c", "Status", ["구역: 끝"]), ("d", "Customer", ["표: 고객", "구역: 앞"]), ("e", "금액", ["표: 고객"])]
+    fields = A.jobs(spark, sf_dir).join(F.broadcast(spark.createDataFrame(asked, "field_id string, label string, context array<string>")))
+    return link.link_labels(fields, blocks).select("job_id", "field_id", "seq", "value")
 
 
 def r03_link_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,8 +406,8 @@ def r03_link_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (r03_link_table_cells, g01_selected_edits, g01_edit_conflicts, g02_latest_edits, g03_guard_edits, g03_guard_problems, g05_apply_edits, g07_replace_first, g09_overflow_warnings, g11_fill_report, q01_diff_entries, q02_diff_shapes, q03_diff_fixed, q04_diff_protected, q05_check_applied, q06_read_back)
-    + (q07_detection_quality, q08_fill_quality, q09_verdict, q10_sum_mismatch, q11_repeat_values, m01_batch_fields, m02_rank_blocks, m03_pack_blocks, m04_open_fields, p01_classify_roles, p02_skeleton_stats, p03_body_style, p04_role_map, p05_remap_ids, p06_units, p07_collapse_blank_runs, p08_content_loss, p09_leak_check, p10_image_consistency)
-    + (s2_package_entries, s3_package_problems, s4_section_order, s4_spine_problems, s5_section_cells, s5_section_problems, s6_ns_clashes)
+    + (q07_detection_quality, q08_fill_quality, q09_verdict, q10_sum_mismatch, q11_repeat_values, m01_batch_fields, m02_rank_blocks, m03_pack_blocks, m03_pack_report, m04_open_fields, m04_answers, m04_accepted_answers, p01_classify_roles, p02_skeleton_stats, p03_body_style, p04_role_map, p05_remap_ids, p06_units, p07_collapse_blank_runs, p08_content_loss, p09_leak_check, p10_image_consistency)
+    + (s2_package_entries, s3_package_problems, s4_section_order, s4_spine_problems, s5_section_cells, s5_section_paragraphs, s5_section_runs, s5_nested_tables, s5_section_problems, s6_ns_clashes, w2_link_forms, w3_filled_forms, w3_fill_report, r03_scoped_labels, g04_overlaps)
 }
 
 # SQL ------------------------------------------------------------------------------------------------------
@@ -318,14 +424,29 @@ _GRID = rf"""WITH {T.CELLS}, {T.FIELDS}, named AS (SELECT form_id, row, col, fie
   FROM cells c LEFT JOIN (SELECT form_id, row, col, bool_or(insert_offset IS NOT NULL) AS slot FROM gedits GROUP BY 1, 2, 3) e ON e.form_id = c.form_id AND e.row = c.row AND e.col = c.col)"""
 
 _GUARDED = f"""guarded AS (SELECT DISTINCT form_id, field_id, CASE WHEN {_KEY} % 10 = 0 THEN 'form_changed' WHEN reason IS NOT NULL THEN 'protected_field' WHEN {_KEY} % 4 = 2 THEN 'no_evidence' END AS type
-  FROM fields WHERE row = 1 OR row = 2 AND col = 2)"""
+  FROM fields)"""
 
 _SCORED = """WITH p AS (SELECT p_brand AS form_id, p_partkey AS k, p_name FROM part), fields AS (SELECT * FROM p WHERE k % 10 <> 0), gold AS (SELECT form_id, k, CASE WHEN k % 7 <> 0 THEN p_name END AS expected FROM p WHERE k % 10 <> 1),
 actual AS (SELECT form_id, k, CASE WHEN k % 11 = 0 THEN 'wrong' WHEN k % 13 = 0 THEN '' WHEN k % 7 = 0 THEN 'base' ELSE p_name END AS value FROM p WHERE k % 10 <> 0)"""
 
 _BATCHES = f"{E._FORM_FIELDS}, batches AS (SELECT *, CAST((row_number() OVER (PARTITION BY job_id ORDER BY field_id) - 1) // 3 AS INTEGER) AS batch FROM job_fields WHERE editable)"
 
-_ZIPPED = r"z AS (SELECT doc_id AS k, 'd-' || doc_id AS form_id, text, doc_id % 9 AS m FROM documents WHERE text <> '' AND NOT regexp_matches(text, '[\x00-\x08\x0b-\x1f]'))"
+
+
+def _packed(limit: int) -> str:
+    """g: the blocks of each batch walked in rank order, with the bytes used so far."""
+    return rf"""WITH RECURSIVE {E.ORDER_DOCS}, {_BATCHES}, h AS (SELECT b.job_id, b.batch, l.seq, {E._BLOCK_ID} AS block_id, any_value(strlen(l.text)) AS size, sum(CASE WHEN label <> '' AND contains(regexp_replace(l.text, '\s+', '', 'g'), regexp_replace(label, '\s+', '', 'g')) THEN 1 ELSE 0 END) AS hits FROM batches b JOIN lines l ON l.doc_id = b.doc_id GROUP BY 1, 2, 3, 4
+), r AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY job_id, batch ORDER BY hits DESC, seq) AS INTEGER) AS rank, 48 + 26 + size AS n_bytes FROM h
+), g(job_id, batch, block_id, rank, used, taken) AS (SELECT job_id, batch, CAST(NULL AS VARCHAR), 0, CAST(sum(48 + strlen(field_id) + strlen(label) + coalesce(strlen(unit), 0)) AS BIGINT), false FROM batches GROUP BY job_id, batch
+  UNION ALL SELECT r.job_id, r.batch, r.block_id, r.rank, CAST(CASE WHEN used + n_bytes <= {limit} THEN used + n_bytes ELSE used END AS BIGINT), used + n_bytes <= {limit} FROM g JOIN r ON r.job_id = g.job_id AND r.batch = g.batch AND r.rank = g.rank + 1)"""
+
+
+_ZIPPED = r"z AS (SELECT doc_id AS k, 'd-' || doc_id AS form_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b-\x1f]', chr(65533), 'g') AS text, doc_id % 9 AS m FROM documents)"
+
+_FORMS = f"""WITH {E.ORDER_DOCS}, jobs AS (SELECT 'j-' || o_orderkey AS job_id, o_orderkey AS k, 'o-' || o_orderkey AS doc_id, 'f' || (o_orderkey % 3) AS form_id FROM orders
+), labels(form_id, row, name) AS (VALUES ('f0', 1, 'Customer'), ('f0', 2, 'Status'), ('f0', 3, '금액'), ('f0', 4, 'Date'), ('f1', 1, 'customer'), ('f1', 2, 'Total'), ('f1', 3, 'Clerk'), ('f1', 4, ''), ('f2', 1, 'STATUS'), ('f2', 2, '금액'), ('f2', 3, 'Priority')
+), form_fields AS (SELECT form_id, form_id || '-' || row || '-1' AS field_id, row, 1 AS col, name AS label, NULL::VARCHAR AS unit FROM labels UNION ALL SELECT form_id, form_id || '-' || row || '-0', row, 0, '', NULL FROM labels WHERE name = ''
+), job_fields AS (SELECT j.job_id, j.k, j.doc_id, f.field_id, f.row, f.col, f.label, f.unit FROM jobs j JOIN form_fields f USING (form_id)), {E._MATCHES}, {E._RESULTS.replace("j.field_id, CASE", "j.field_id, j.row, j.col, j.label, CASE")}"""
 
 ORACLE_SQL = {
     "r03_link_table_cells": """WITH i AS (SELECT l_orderkey AS k, CAST(l_linenumber AS INTEGER) AS r, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2), one AS (SELECT k FROM i GROUP BY 1 HAVING k % 6 <> 0 AND (k % 8 <> 0 OR count(*) = 1))
@@ -337,6 +458,7 @@ UNION ALL SELECT CAST(k AS VARCHAR), 'd', r * 10 + 2, CAST(s AS VARCHAR) FROM i
     "g02_latest_edits": f"WITH {_EDITS} SELECT CAST(user_id AS VARCHAR) AS job_id, event_type AS field_id, arg_max(x.value, event_id) AS value, arg_max(x.selected, event_id) AS selected, arg_max(x.origin, event_id) AS origin, max(event_id) AS edit_seq FROM events JOIN edits x ON x.edit_seq = event_id GROUP BY 1, 2",
     "g03_guard_edits": f"{_GRID}, {_GUARDED} SELECT form_id AS job_id, field_id, 'v' AS value FROM guarded WHERE form_id NOT IN (SELECT form_id FROM guarded WHERE type IS NOT NULL)",
     "g03_guard_problems": f"{_GRID}, {_GUARDED} SELECT form_id AS job_id, field_id, type FROM guarded WHERE type IS NOT NULL",
+    "g04_overlaps": f"{_GRID}, e AS (SELECT DISTINCT form_id, row, field_id FROM fields WHERE reason IS NULL AND row = 1 AND {_KEY} % 7 = 1) SELECT form_id AS job_id, field_id, 'overlap' AS type FROM e UNION ALL SELECT form_id, 'f-twin', 'overlap' FROM e",
     "g05_apply_edits": f"{_GRID} SELECT * FROM filled",
     "g07_replace_first": r"""WITH l AS (SELECT doc_id AS form_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS seq, unnest(p) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> ''))
 SELECT form_id, seq, CASE WHEN form_id % 2 = 0 AND seq = 0 THEN 'a&lt;b &amp; c<br/>d' ELSE text END AS text FROM l""",
@@ -360,7 +482,12 @@ SELECT o_orderkey AS key, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS
     "q11_repeat_values": """SELECT l_suppkey AS "group", CAST(l_partkey AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 3""",
     "m01_batch_fields": f"WITH {_BATCHES} SELECT job_id, field_id, batch FROM batches",
     "m02_rank_blocks": rf"""WITH {E.ORDER_DOCS}, {_BATCHES}, h AS (SELECT b.job_id, b.batch, l.seq, CAST(sum(CASE WHEN label <> '' AND contains(regexp_replace(l.text, '\s+', '', 'g'), regexp_replace(label, '\s+', '', 'g')) THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM batches b JOIN lines l ON l.doc_id = b.doc_id GROUP BY 1, 2, 3)
-SELECT *, CAST(row_number() OVER (PARTITION BY job_id, batch ORDER BY hits DESC, seq) AS INTEGER) AS rank FROM h""",
+SELECT h.*, CAST(row_number() OVER (PARTITION BY job_id, batch ORDER BY hits DESC, h.seq) AS INTEGER) AS rank, CAST(48 + 26 + strlen(l.text) AS BIGINT) AS n_bytes, field_bytes
+FROM h JOIN (SELECT job_id, any_value(doc_id) AS doc_id, batch, CAST(sum(48 + strlen(field_id) + strlen(label) + coalesce(strlen(unit), 0)) AS BIGINT) AS field_bytes FROM batches GROUP BY job_id, batch) b USING (job_id, batch) JOIN lines l ON l.doc_id = b.doc_id AND l.seq = h.seq""",
+    "m03_pack_blocks": _packed(700) + " SELECT job_id, batch, block_id, rank FROM g WHERE taken",
+    "m03_pack_report": _packed(330) + " SELECT job_id, batch, CAST(count(*) FILTER (rank > 0) AS INTEGER) AS n_blocks, CAST(count(*) FILTER (taken) AS INTEGER) AS n_taken, CAST(max(used) AS BIGINT) AS n_bytes, count(*) FILTER (rank > 0 AND NOT taken) > 0 AS truncated, count(*) FILTER (taken) = 0 AS nothing_fits FROM g GROUP BY 1, 2",
+    "m04_answers": f"{E._LINKED}, {E._PROPOSALS} SELECT job_id, proposal_seq, field_id, CASE WHEN k % 2 = 0 THEN 'rule' ELSE 'model' END AS origin FROM proposals WHERE field_id NOT IN ('zz', 'f2-3')",
+    "m04_accepted_answers": f"{E._LINKED}, {E._PROPOSALS} SELECT job_id, field_id, value, CASE WHEN k % 2 = 0 THEN 'rule' ELSE 'model' END AS origin FROM proposals WHERE field_id <> 'f2-3' AND k % 8 NOT IN (0, 2, 3, 5) AND value <> '' AND contains(quote, value)",
     "m04_open_fields": f"{E._LINKED}, batches AS (SELECT *, CAST((row_number() OVER (PARTITION BY job_id ORDER BY field_id) - 1) // 3 AS INTEGER) AS batch FROM job_fields WHERE editable) SELECT b.job_id, b.batch, count(*) AS n_without_answer FROM batches b ANTI JOIN (SELECT * FROM results WHERE status = 'suggested') r ON r.job_id = b.job_id AND r.field_id = b.field_id GROUP BY 1, 2",
     "p01_classify_roles": rf"""WITH {E.ORDER_DOCS} SELECT doc_id, seq, CASE WHEN text = '' THEN 'empty' WHEN text LIKE '#%' THEN 'heading' ELSE 'paragraph' END AS role, CASE WHEN text LIKE '##%' THEN 2 WHEN text LIKE '#%' THEN 1 END AS outline_level FROM lines""",
     "p02_skeleton_stats": rf"WITH {E.ORDER_DOCS} SELECT doc_id, count(*) FILTER (text <> '' AND text NOT LIKE '|%') AS n_paragraphs, count(*) FILTER (text LIKE '#%') AS n_headings, count(*) FILTER (text LIKE '|%') AS n_table_lines, CAST(0 AS BIGINT) AS n_images, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM lines GROUP BY 1",
@@ -369,7 +496,7 @@ QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_retu
     "p04_role_map": """WITH s AS (SELECT p_partkey // 6 AS form_id, min(p_partkey) FILTER (p_partkey % 4 = 0) AS body, min(p_partkey) FILTER (p_partkey % 4 = 1) AS heading, min(p_partkey) FILTER (p_partkey % 4 = 2) AS heading1, min(p_partkey) FILTER (p_partkey % 4 = 3) AS list FROM part GROUP BY 1)
 SELECT form_id, 'body' AS role, body AS style_id FROM s UNION ALL SELECT form_id, 'heading', coalesce(heading, body) FROM s UNION ALL SELECT form_id, 'heading1', coalesce(heading1, heading, body) FROM s UNION ALL SELECT form_id, 'heading2', coalesce(heading1, heading, body) FROM s
 UNION ALL SELECT form_id, 'caption', body FROM s UNION ALL SELECT form_id, 'list', coalesce(list, body) FROM s UNION ALL SELECT form_id, 'table', body FROM s""",
-    "p05_remap_ids": "WITH r AS (SELECT DISTINCT l_suppkey AS form_id, coalesce(p_partkey + 1, l_partkey) AS new_id FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 2 = 0) SELECT * FROM r ANTI JOIN (SELECT p_partkey AS new_id FROM part WHERE p_partkey % 3 <> 0) d USING (new_id)",
+    "p05_remap_ids": "WITH r AS (SELECT DISTINCT l_suppkey AS form_id, CASE WHEN l_partkey % 2 = 0 AND l_suppkey % 2 = 0 THEN l_partkey + 1 ELSE l_partkey END AS new_id FROM lineitem) SELECT * FROM r ANTI JOIN (SELECT l_suppkey AS form_id, l_partkey AS new_id FROM lineitem WHERE l_partkey % 3 <> 0) d USING (form_id, new_id)",
     "p06_units": "SELECT p_partkey, p_partkey / 100.0::DOUBLE AS pt, round(p_partkey / 7200.0::DOUBLE * 25.4::DOUBLE, 6) AS mm FROM part",
     "p07_collapse_blank_runs": r"""WITH l AS (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS seq, unnest(p) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> '')), b AS (SELECT doc_id, seq, CASE WHEN seq % 7 IN (2, 3, 4, 6) THEN '' ELSE text END AS text FROM l),
 i AS (SELECT *, trim(text) = '' AS blank, count(*) FILTER (trim(text) <> '') OVER (PARTITION BY doc_id ORDER BY seq) AS island FROM b), n AS (SELECT *, count(*) OVER w AS c, row_number() OVER (w ORDER BY seq) AS nth FROM i WINDOW w AS (PARTITION BY doc_id, island, blank))
@@ -378,7 +505,7 @@ SELECT doc_id, seq, CAST(length(text) AS INTEGER) AS n FROM n WHERE NOT blank OR
 SELECT doc_id, n_chars, n_cells, CAST(new_chars AS BIGINT) AS new_chars, CAST(new_cells AS BIGINT) AS new_cells, CASE WHEN 10 * new_chars <= 9 * n_chars AND n_chars > 0 OR new_cells < n_cells THEN 'fail' ELSE 'pass' END AS verdict FROM m""",
     "p09_leak_check": r"""WITH o AS (SELECT NULL AS doc_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents), s AS (
   SELECT doc_id, regexp_replace(trim(unnest(string_split_regex(regexp_replace(text, '([.!?。])\s+', '\1' || chr(10), 'g'), '\n'))), '\s+', ' ', 'g') AS s FROM o)
-SELECT doc_id, count(DISTINCT s) AS n_leaked FROM s WHERE doc_id IS NOT NULL AND length(s) >= 20 AND s IN (SELECT s FROM s WHERE doc_id IS NULL) GROUP BY 1""",
+SELECT doc_id, count(DISTINCT s) AS n_leaked FROM s WHERE doc_id IS NOT NULL AND s <> '' AND s IN (SELECT s FROM s WHERE doc_id IS NULL) GROUP BY 1""",
     "p10_image_consistency": """SELECT p_brand AS form_id, CAST(p_partkey AS VARCHAR) AS image_id, CASE WHEN p_partkey % 7 = 0 THEN 'no manifest item' WHEN p_partkey % 11 = 0 THEN 'no file' ELSE 'not referenced' END AS problem FROM part
 WHERE p_partkey % 7 = 0 AND p_partkey % 5 <> 0 OR p_partkey % 7 <> 0 AND (p_partkey % 11 = 0 OR p_partkey % 5 = 0)""",
     "s2_package_entries": f"""WITH {_ZIPPED} SELECT form_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos = 1 AND m = 4 THEN '../x' WHEN pos = 5 AND m = 5 THEN 'Contents/other.hpf' ELSE path END AS path, CASE WHEN pos = 0 THEN 0 ELSE 8 END AS method, true AS crc_ok, false AS encrypted, CASE WHEN pos = 1 THEN sha256(text) END AS sha256, NULL::VARCHAR AS error
@@ -386,8 +513,26 @@ FROM z, (VALUES (0, 'mimetype'), (1, 'Preview/PrvText.txt'), (2, 'Contents/secti
     "s3_package_problems": f"WITH {_ZIPPED} SELECT form_id, CASE m WHEN 3 THEN 'mimetype' WHEN 4 THEN '../x' ELSE 'Contents/content.hpf' END AS path, CASE m WHEN 3 THEN 'BAD_MIMETYPE' WHEN 4 THEN 'UNSAFE_PATH' ELSE 'MISSING_PART' END AS code FROM z WHERE m IN (3, 4, 5)",
     "s4_section_order": f"WITH {_ZIPPED} SELECT form_id, ord, path FROM z, (VALUES (1, 'Contents/section1.xml'), (2, 'Contents/section0.xml')) s(ord, path) WHERE m NOT IN (3, 4, 5)",
     "s4_spine_problems": f"WITH {_ZIPPED} SELECT form_id, 'zz' AS item_id, 'BROKEN_REF' AS code FROM z WHERE m = 6",
-    "s5_section_cells": rf"""WITH {_ZIPPED}, l AS (SELECT form_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS row, unnest(p) AS text FROM (SELECT form_id, string_split(text, chr(10)) AS p FROM z WHERE m NOT IN (3, 4, 5)))
-SELECT form_id, 'section1.xml' AS section, row, 0 AS col, 1 AS col_span, 'line ' || row AS text, false AS has_nested FROM l UNION ALL SELECT form_id, 'section1.xml', row, 1, 2, text, false FROM l""",
-    "s5_section_problems": f"WITH {_ZIPPED} SELECT form_id, 'section0.xml' AS path, 'UNSAFE_XML' AS code FROM z WHERE m = 7",
-    "s6_ns_clashes": "SELECT p_brand AS form_id, p_type AS section, p_name AS local_name FROM part GROUP BY 1, 2, 3 HAVING bool_or(p_size % 5 = 0) AND bool_or(p_size % 5 <> 0)",
+    "s5_section_cells": rf"""WITH {_ZIPPED}, l AS (SELECT form_id, m, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS row, unnest(p) AS text FROM (SELECT form_id, m, string_split(text, chr(10)) AS p FROM z WHERE m NOT IN (3, 4, 5)))
+SELECT form_id, 'Contents/section1.xml' AS section, 0 AS table_idx, row, 0 AS col, 1 AS col_span, 'line ' || row AS text, row = 0 AND m = 8 AS has_nested FROM l UNION ALL SELECT form_id, 'Contents/section1.xml', 0, row, 1, 2, text, false FROM l UNION ALL SELECT form_id, 'Contents/section1.xml', 1, 0, 0, 1, 'inner', false FROM z WHERE m = 8""",
+    "s5_section_paragraphs": rf"""WITH {_ZIPPED}, l AS (SELECT form_id, k, m, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS row, unnest(p) AS text FROM (SELECT form_id, k, m, string_split(text, chr(10)) AS p FROM z WHERE m NOT IN (3, 4, 5))
+), p AS (SELECT form_id, 0 AS seq, NULL::INTEGER AS table_idx, NULL::INTEGER AS row, NULL::INTEGER AS col, NULL::INTEGER AS col_span, 'doc ' || k AS text FROM z WHERE m NOT IN (3, 4, 5)
+  UNION ALL SELECT form_id, 2 + 2 * row + CASE WHEN m = 8 AND row > 0 THEN 2 ELSE 0 END, 0, row, 0, 1, 'line ' || row FROM l
+  UNION ALL SELECT form_id, 3 + 2 * row + CASE WHEN m = 8 THEN 2 ELSE 0 END, 0, row, 1, 2, text FROM l WHERE regexp_matches(text, '\S')
+  UNION ALL SELECT form_id, 4, 1, 0, 0, 1, 'inner' FROM z WHERE m = 8
+), o AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY form_id ORDER BY seq) - 1 AS e FROM p)
+SELECT form_id AS doc_id, 'Contents/section1.xml' AS section, table_idx, row, col, col_span, CAST(e - length(text) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", text FROM o""",
+    "s5_section_runs": rf"""WITH {_ZIPPED}, l AS (SELECT form_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS row, unnest(p) AS text FROM (SELECT form_id, string_split(text, chr(10)) AS p FROM z WHERE m NOT IN (3, 4, 5)))
+SELECT form_id, 'Contents/section1.xml' AS section, 0 AS table_idx, 2 * count(*) + CASE WHEN any_value(z.m) = 8 THEN 1 ELSE 0 END AS n_runs, CAST(sum(length(l.text) + length('line ' || row)) AS BIGINT) AS n_chars FROM l JOIN z USING (form_id) GROUP BY 1 UNION ALL SELECT form_id, 'Contents/section1.xml', 1, 1, 5 FROM z WHERE m = 8""",
+    "s5_nested_tables": f"WITH {_ZIPPED} SELECT form_id, 'Contents/section1.xml' AS section, 1 AS table_idx, 0 AS parent_table, 0 AS parent_row, 0 AS parent_col, 'line 0' AS parent_text FROM z WHERE m = 8",
+    "w2_link_forms": f"{_FORMS} SELECT job_id, row, col, label, true AS editable, status, value FROM results",
+    "w3_filled_forms": f"""{_FORMS}, done AS (SELECT DISTINCT job_id FROM results WHERE status = 'suggested' AND k % 3 <> 0 AND k % 10 <> 0), cells AS (SELECT 'f' || f AS form_id, r.* FROM range(3) t(f), (VALUES (0, 0, '항목'), (0, 1, '내용')) r(row, col, text)
+  UNION ALL SELECT form_id, row, 0, name FROM labels UNION ALL SELECT form_id, row, 1, '' FROM labels)
+SELECT job_id, CAST(c.row AS INTEGER) AS row, CAST(c.col AS INTEGER) AS col, CASE WHEN r.status = 'suggested' THEN r.value ELSE c.text END AS new_text FROM done SEMI JOIN done d USING (job_id) JOIN jobs USING (job_id) JOIN cells c USING (form_id) LEFT JOIN (SELECT job_id AS j, row, col, status, value FROM results) r ON r.j = job_id AND r.row = c.row AND r.col = c.col""",
+    "w3_fill_report": f"""{_FORMS} SELECT job_id, CAST(count(*) FILTER (k % 3 <> 0 AND k % 10 <> 0) AS BIGINT) AS n_applied, CAST(count(*) FILTER (k % 3 = 0) AS BIGINT) AS n_skipped, CAST(count(*) FILTER (k % 3 <> 0 AND k % 10 = 0) AS BIGINT) AS n_pending FROM results WHERE status = 'suggested' GROUP BY 1""",
+    "r03_scoped_labels": f"""WITH {E.ORDER_DOCS}, form_fields(form_id, field_id, label, lo, hi) AS (VALUES ('', 'a', 'Status', 0, 99999), ('', 'b', 'Status', 0, 3), ('', 'c', 'Status', 4, 99999), ('', 'd', 'Customer', 1, 1), ('', 'e', '금액', 1, 1)
+), job_fields AS (SELECT 'j-' || o_orderkey AS job_id, o_orderkey AS k, 'o-' || o_orderkey AS doc_id, f.* FROM orders, form_fields f), {E._MATCHES}
+SELECT m.job_id, m.field_id, m.seq, m.value FROM matches m JOIN form_fields f ON f.field_id = m.field_id WHERE m.seq BETWEEN f.lo AND f.hi""",
+    "s5_section_problems": f"WITH {_ZIPPED} SELECT form_id, 'Contents/section0.xml' AS path, 'UNSAFE_XML' AS code FROM z WHERE m = 7",
+    "s6_ns_clashes": f"WITH {_ZIPPED} SELECT form_id, 'Contents/section1.xml' AS section, 'p' AS local_name FROM z WHERE m = 8",
 }

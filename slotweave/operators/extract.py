@@ -133,8 +133,9 @@ def split_long_blocks(blocks: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _cut(t, limit))
 
-    parts = F.when(F.octet_length("text") > limit, F.pandas_udf(cut, "array<string>")(F.when(F.octet_length("text") > limit, F.col("text")).otherwise(""))).otherwise(F.array("text"))
-    rows = blocks.withColumn("parts", parts).withColumn("part_count", F.size("parts")).withColumnRenamed("block_id", "parent_id")
+    long = F.coalesce(F.octet_length("text") > limit, F.lit(False))
+    rows = blocks.filter(~long).withColumn("parts", F.array("text")).unionByName(blocks.filter(long).withColumn("parts", F.pandas_udf(cut, "array<string>")("text")))
+    rows = rows.withColumn("part_count", F.size("parts")).withColumnRenamed("block_id", "parent_id")
     rows = rows.drop("text").select("*", F.posexplode("parts").alias("part_index", "text")).drop("parts")
     name = F.when(F.col("part_count") > 1, F.concat_ws(".", "parent_id", F.col("part_index").cast("string"))).otherwise(F.col("parent_id"))
     return rows.withColumn("block_id", name)

@@ -67,12 +67,23 @@ def apply_edits(runs: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def replace_first(elements: DataFrame, edits: DataFrame) -> DataFrame:
-    """elements (form_id, seq, text) with the first one that equals an edit's old_text replaced by its value."""
+    """elements (form_id, seq, text) with the first one that equals an edit's old_text replaced by its value.
+
+    Of several edits of one old_text the least value counts.
+    """
     nth = F.row_number().over(Window.partitionBy("form_id", "text").orderBy("seq"))
-    rows = elements.withColumn("nth", nth).join(edits.select("form_id", F.col("old_text").alias("text"), "value"), ["form_id", "text"], "left")
+    one = edits.groupBy("form_id", F.col("old_text").alias("text")).agg(F.min("value").alias("value"))
+    rows = elements.withColumn("nth", nth).join(one, ["form_id", "text"], "left")
     return rows.select("form_id", "seq", F.when((F.col("nth") == 1) & F.col("value").isNotNull(), X.escape_value("value")).otherwise(F.col("text")).alias("text"))
 
 
+def passed_jobs(rows: DataFrame, *failures: DataFrame) -> DataFrame:
+    """rows of the jobs (job_id) that no table of failures names: a job with any failed check gives no output."""
+    for failed in failures:
+        rows = rows.join(failed.select("job_id").distinct(), "job_id", "left_anti")
+    return rows
+
+
 def overflow_warnings(edits: DataFrame) -> DataFrame:
     """Edits (with old_text) whose value is over 30 times as long as what it replaces."""
     old = F.length(F.coalesce("old_text", F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotweave.functions import textfn as X
@@ -26,6 +26,10 @@ def in_scope(field_title: str, field_section: str, block_title: str, block_secti
     return F.coalesce(same(field_title, block_title) & same(field_section, block_section), F.lit(False))
 
 
+#: What stands before the colon of a context entry that names a table's title or a section (fixed words).
+MARKS = {"title": "표", "section": "구역"}
+
+
 def scope_of(context: Column | str, mark: str) -> Column:
     """What follows the first context entry that begins with mark and a colon (`표` for a title, `구역` for a section)."""
     found = F.get(F.filter(X._c(context), lambda x: x.startswith(f"{mark}:")), F.lit(0))
@@ -36,21 +40,20 @@ def link_labels(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     """(job_id, field_id, seq, block_id, quote, value): blocks that name a field and give it a value.
 
     fields: job_id, doc_id, field_id, label, and perhaps title and section; blocks: doc_id, seq, block_id, text,
-    and perhaps title, section and search_text. Per block the first matching fact counts, else the whole text as one
+    and perhaps title, section and search_text. Where title or section is absent and context (array) is not, they are
+    taken from its entries (see scope_of). Per block the first matching fact counts, else the whole text as one
     label and value. Fields with an empty label match nothing. The join is on (doc_id, normalised label).
     """
     wanted = fields.withColumn("norm", X.norm_label("label")).filter(F.col("norm") != "")
     for c in ("title", "section"):
-        wanted = wanted if c in wanted.columns else wanted.withColumn(c, F.lit(None).cast("string"))
-        blocks = blocks if c in blocks.columns else blocks.withColumn(c, F.lit(None).cast("string"))
+        wanted, blocks = (df if c in df.columns else df.withColumn(c, scope_of("context", MARKS[c]) if "context" in df.columns else F.lit(None).cast("string")) for df in (wanted, blocks))
     text = F.col("search_text") if "search_text" in blocks.columns else F.col("text")
-    whole = F.struct(F.lit(1 << 30).alias("pos"), text.alias("quote"))
-    each = F.concat(F.transform(X.facts("text"), lambda f, i: F.struct(i.alias("pos"), f.alias("quote"))), F.array(whole))
-    rows = blocks.select("doc_id", "seq", "block_id", F.col("title").alias("b_title"), F.col("section").alias("b_section"), F.explode(each).alias("f"))
-    rows = rows.select("doc_id", "seq", "block_id", "b_title", "b_section", "f.pos", "f.quote", X.norm_label(X.label_of("f.quote")).alias("norm"), X.value_of("f.quote").alias("value"))
-    rows = rows.filter((F.col("value") != "") & (F.col("norm") != ""))
-    first = Window.partitionBy("doc_id", "norm", "block_id").orderBy("pos")
-    rows = rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1")  # within a block, before the join
+    quotes = F.concat(X.facts("text"), F.array(text))
+    each = F.transform(quotes, lambda q: F.struct(q.alias("quote"), X.norm_label(X.label_of(q)).alias("norm"), X.value_of(q).alias("value")))
+    rows = blocks.select("doc_id", "seq", "block_id", F.col("title").alias("b_title"), F.col("section").alias("b_section"), F.filter(each, lambda f: (f["value"] != "") & (f["norm"] != "")).alias("f"))
+    rows = rows.select("doc_id", "seq", "block_id", "b_title", "b_section", "f", F.transform("f", lambda f: f["norm"]).alias("norms"))
+    first = F.filter("f", lambda f, i: F.array_position("norms", f["norm"]) == i + 1)  # within a block, before anything is shuffled
+    rows = rows.select("doc_id", "seq", "block_id", "b_title", "b_section", F.inline(first))
     found = wanted.join(rows, ["doc_id", "norm"]).filter(in_scope("title", "section", "b_title", "b_section"))
     return found.select("job_id", "field_id", "seq", "block_id", "quote", "value")
 

@@ -7,17 +7,18 @@ from __future__ import annotations
 
 import hashlib
 import io
-import posixpath
+import itertools
 import zipfile
 import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotweave.schemas import CELLS, ENTRIES
+from slotweave.schemas import ENTRIES
 
 MAX_ENTRIES, MAX_BYTES = 5_000, 50_000_000
 MIMETYPE = b"application/hwp+zip"
@@ -74,8 +75,10 @@ def check_packages(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ok entries, problems (form_id, path, code)): forms that fail a guard leave with all their entries."""
     running = F.sum("size").over(Window.partitionBy("form_id").orderBy("pos"))
     copies = F.count("*").over(Window.partitionBy("form_id", "path"))
-    rows = entries.withColumns({"_sum": running, "_copies": copies})
     first = (F.col("pos") == 0) & ~((F.col("path") == "mimetype") & (F.col("method") == 0) & (F.col("content") == F.lit(MIMETYPE)))
+    rows = entries.withColumn("_first", first).drop("content")  # contents are not sorted or counted
+    have = rows.groupBy("form_id").agg(F.bool_or(F.col("path") == MANIFEST).alias("has"))
+    rows = rows.withColumns({"_sum": running, "_copies": copies})
     code = (
         F.when(F.col("error").isNotNull(), F.substring_index("error", ":", 1))
         .when(F.col("_copies") > 1, "DUPLICATE_PATH")
@@ -84,10 +87,9 @@ def check_packages(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(~F.col("method").isin(0, 8), "BAD_METHOD")
         .when(F.col("_sum") > MAX_BYTES, "TOO_LARGE")
         .when(~F.col("crc_ok"), "BAD_CRC")
-        .when(first, "BAD_MIMETYPE")
+        .when(F.col("_first"), "BAD_MIMETYPE")
     )
     problems = rows.withColumn("code", code).filter("code IS NOT NULL").select("form_id", "path", "code").distinct()
-    have = entries.groupBy("form_id").agg(F.bool_or(F.col("path") == MANIFEST).alias("has"))
     absent = have.filter(~F.col("has")).select("form_id", F.lit(MANIFEST).alias("path"), F.lit("MISSING_PART").alias("code"))
     problems = problems.unionByName(absent.join(problems.select("form_id").distinct(), "form_id", "left_anti"))
     return entries.join(problems.select("form_id").distinct(), "form_id", "left_anti"), problems
@@ -130,38 +132,65 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def section_rows(content: bytes) -> Iterator[tuple]:
-    """(table_idx, row, col, row_span, col_span, text, has_nested, has_controls, para, run, run_text) of each run of each
-    cell of a section's outer tables; a cell without a run gives one row with a null run. Nested text is left out."""
-    root = ET.fromstring(content)
-    outer: list[ET.Element] = []
+#: Namespaces of the format itself begin so (fixed value).
+OWN_NAMESPACE = "http://www.hancom.co.kr/hwpml/"
+_BOX = ["table_idx", "row", "col", "row_span", "col_span"]
 
-    def walk(node: ET.Element) -> None:
-        for child in node:
-            outer.append(child) if _local(child.tag) == "tbl" else walk(child)
 
-    walk(root)
+def section_rows(content: bytes) -> Iterator[dict]:
+    """Rows of a section in document order, by kind.
+
+    table: a table (numbered over the section, inner ones too) with the cell that it lies in, if any, as row, col and
+    para (its parent's number); cell: with its own runs' text, what inner tables hold left out; run: of a cell; para: a
+    paragraph's own text with the address of the nearest cell, if any; element: each namespace and local name once.
+    """
+    root = ET.fromstring(content)
     kids = lambda node, name: [c for c in node if _local(c.tag) == name]
-    for t, table in enumerate(outer):
-        for r, tr in enumerate(kids(table, "tr")):
+    tables, paras = itertools.count(), itertools.count()
+    said = lambda run: "".join("".join(t.itertext()) for t in kids(run, "t"))
+
+    def table(node: ET.Element, cell: dict) -> Iterator[dict]:
+        t = next(tables)
+        yield {"kind": "table", "table_idx": t, "row": cell.get("row"), "col": cell.get("col"), "para": cell.get("table_idx")}
+        for r, tr in enumerate(kids(node, "tr")):
             for c, tc in enumerate(kids(tr, "tc")):
                 addr, span = (kids(tc, "cellAddr") or [None])[0], (kids(tc, "cellSpan") or [None])[0]
                 at = (int(addr.get("rowAddr", r)), int(addr.get("colAddr", c))) if addr is not None else (r, c)
                 spans = (int(span.get("rowSpan", 1)), int(span.get("colSpan", 1))) if span is not None else (1, 1)
-                runs = [(p, q, "".join("".join(x.itertext()) for x in kids(run, "t"))) for sub in kids(tc, "subList") for p, para in enumerate(kids(sub, "p")) for q, run in enumerate(kids(para, "run"))]
+                box = dict(zip(_BOX, (t, *at, *spans), strict=True))
+                runs = [(p, q, said(run)) for sub in kids(tc, "subList") for p, para in enumerate(kids(sub, "p")) for q, run in enumerate(kids(para, "run"))]
                 names = {_local(e.tag) for e in tc.iter()}
-                base = (t, *at, *spans, "".join(x for _, _, x in runs), "tbl" in names, bool(names & {"ctrl", "pic", "equation", "ole"}))
-                yield from ((*base, *x) for x in runs or [(None, None, None)])
+                yield {"kind": "cell", **box, "text": "".join(x for _, _, x in runs), "has_nested": "tbl" in names, "has_controls": bool(names & {"ctrl", "pic", "equation", "ole"})}
+                yield from ({"kind": "run", **box, "para": p, "run": q, "text": x} for p, q, x in runs)
+                yield from walk(tc, box)
 
-
-def parse_sections(sections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cells, runs, problems (form_id, path, code)) of sections (form_id, path, content); DOCTYPE and ENTITY are unsafe."""
-    names = ["table_idx", "row", "col", "row_span", "col_span", "text", "has_nested", "has_controls", "para", "run", "run_text"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for form, path, content in zip(pdf["form_id"], pdf["path"], pdf["content"], strict=True):
-                data, code, rows = bytes(content), None, []
+    def walk(node: ET.Element, cell: dict) -> Iterator[dict]:
+        for child in node:
+            name = _local(child.tag)
+            if name == "tbl":
+                yield from table(child, cell)
+                continue
+            if name == "p":
+                yield {"kind": "para", **cell, "para": next(paras), "text": "".join(said(run) for run in kids(child, "run"))}
+            yield from walk(child, cell)
+
+    yield from walk(root, {})
+    for tag in sorted({e.tag for e in root.iter() if isinstance(e.tag, str)}):
+        yield {"kind": "element", "namespace": tag[1:].split("}")[0] if tag[0] == "{" else "", "name": _local(tag)}
+
+
+def section_parts(sections: DataFrame) -> DataFrame:
+    """All rows of sections (form_id, path, content), see section_rows, with the section's path; a section that can't be
+    read gives one row of kind `problem` whose name is the code. DOCTYPE and ENTITY are unsafe."""
+
+    kinds = {"form_id": "string", "section": "string", "kind": "string", **dict.fromkeys(_BOX, "int"), "text": "string", "has_nested": "boolean", "has_controls": "boolean", "para": "int", "run": "int", "namespace": "string", "name": "string"}
+    arrow = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(name, arrow[kind]) for name, kind in kinds.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for section in batch.to_pylist():
+                data, code, rows = section["content"], None, []
                 if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
                     code = "UNSAFE_XML"
                 else:
@@ -169,16 +198,39 @@ def parse_sections(sections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
                         rows = list(section_rows(data))
                     except (ET.ParseError, ValueError):
                         code = "BAD_XML"
-                out = pd.DataFrame(rows or [(None,) * len(names)], columns=names).astype({c: "Int32" for c in ("table_idx", "row", "col", "row_span", "col_span", "para", "run")})
-                out.insert(0, "section", posixpath.basename(path))
-                out.insert(0, "form_id", form)
-                yield out.assign(code=code)
+                own = {"form_id": section["form_id"], "section": section["path"]}
+                yield pa.RecordBatch.from_pylist([{**own, **row} for row in ([{"kind": "problem", "name": code}] if code else rows)], schema)
+
+    return sections.select("form_id", "path", "content").mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+
+
+def parse_sections(sections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, runs, problems (form_id, path, code)) of sections (form_id, path, content)."""
+    rows = section_parts(sections)
+    cells = rows.filter("kind = 'cell'").select("form_id", "section", *_BOX, "text", "has_nested", "has_controls")
+    runs = rows.filter("kind = 'run'").select("form_id", "section", "table_idx", "row", "col", "para", "run", "text")
+    return cells, runs, rows.filter("kind = 'problem'").select("form_id", F.col("section").alias("path"), F.col("name").alias("code"))
+
+
+def section_paragraphs(sections: DataFrame) -> DataFrame:
+    """(form_id, ord, section, seq, table address, text): paragraphs of sections (form_id, ord, path, content) in the order of
+    the form; seq rises over all its sections."""
+    rows = section_parts(sections).filter("kind = 'para'").select("form_id", "section", *_BOX, "para", "text")
+    order = sections.select("form_id", F.col("path").alias("section"), "ord")
+    rows = rows.join(order, ["form_id", "section"])
+    return rows.withColumn("seq", F.shiftleft(F.col("ord").cast("long"), 32) + F.col("para")).drop("para")
+
+
+def nested_tables(sections: DataFrame) -> DataFrame:
+    """(form_id, section, table_idx, parent_table, parent_row, parent_col) of the tables that lie in a cell."""
+    rows = section_parts(sections).filter("kind = 'table' AND para IS NOT NULL")
+    return rows.select("form_id", "section", "table_idx", F.col("para").alias("parent_table"), F.col("row").alias("parent_row"), F.col("col").alias("parent_col"))
+
 
-    rows = sections.select("form_id", "path", "content").mapInPandas(run, f"{CELLS}, para int, run int, run_text string, code string")
-    some = rows.filter("table_idx IS NOT NULL")
-    cells = some.select("form_id", "section", "table_idx", "row", "col", "row_span", "col_span", "text", "has_nested", "has_controls").distinct()
-    runs = some.filter("run IS NOT NULL").select("form_id", "section", "table_idx", "row", "col", "para", "run", F.col("run_text").alias("text"))
-    return cells, runs, rows.filter("code IS NOT NULL").select("form_id", F.col("section").alias("path"), "code")
+def section_elements(sections: DataFrame) -> DataFrame:
+    """(form_id, section, namespace, local_name, foreign): the names that a section uses."""
+    rows = section_parts(sections).filter("kind = 'element'")
+    return rows.select("form_id", "section", "namespace", F.col("name").alias("local_name"), (~F.col("namespace").startswith(OWN_NAMESPACE)).alias("foreign"))
 
 
 def ns_clashes(elements: DataFrame) -> DataFrame:

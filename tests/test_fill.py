@@ -33,13 +33,30 @@ def test_gold_scores(spark):
 
 
 def test_packing_skips_what_does_not_fit(spark):
-    rows = [("j", 0, "b1", "x" * 60, 1), ("j", 0, "b2", "y" * 500, 2), ("j", 0, "b3", "z", 3)]
-    ranked = spark.createDataFrame(rows, "job_id string, batch int, block_id string, text string, rank int")
-    out = retrieve.pack_blocks(ranked, 200).collect()
-    assert [(r.block_id, r.truncated) for r in out] == [("b1", True), ("b3", True)]
+    rows = [("j", 0, "b1", 60, 1), ("j", 0, "b2", 500, 2), ("j", 0, "b3", 1, 3), ("j", 1, "b1", 60, 1)]
+    ranked = spark.createDataFrame(rows, "job_id string, batch int, block_id string, n_bytes long, rank int")
+    packed, report = retrieve.pack_blocks(ranked.selectExpr("*", "IF(batch = 0, 100L, 190L) AS field_bytes"), 200)
+    assert sorted((r.batch, r.block_id, r["rank"]) for r in packed.collect()) == [(0, "b1", 1), (0, "b3", 3)]
+    assert sorted((r.batch, r.n_blocks, r.n_taken, r.n_bytes, r.truncated, r.nothing_fits) for r in report.collect()) == [(0, 3, 2, 161, True, False), (1, 1, 0, 190, True, True)]
 
 
 def test_ranking_counts_repeated_labels(spark):
-    batches = spark.createDataFrame([("j", "d", 0, "성 명"), ("j", "d", 0, "성명"), ("j", "d", 0, "주소")], "job_id string, doc_id string, batch int, label string")
-    blocks = spark.createDataFrame([("d", 0, "b0", "주소 없음"), ("d", 1, "b1", "성 명: 홍"), ("d", 2, "b2", "")], "doc_id string, seq int, block_id string, text string")
-    assert [(r.block_id, r.hits) for r in retrieve.rank_blocks(batches, blocks).orderBy("rank").collect()] == [("b1", 2), ("b0", 1), ("b2", 0)]
+    batches = spark.createDataFrame([("j", "d", "f1", 0, "성 명"), ("j", "d", "f2", 0, "성명"), ("j", "d", "f3", 0, "주소")], "job_id string, doc_id string, field_id string, batch int, label string")
+    blocks = spark.createDataFrame([("d", 0, "b0", "주소 없음", ["c1"]), ("d", 1, "b1", "성 명: 홍", []), ("d", 2, "b2", "", None)], "doc_id string, seq int, block_id string, text string, context array<string>")
+    rows = retrieve.rank_blocks(batches, blocks).orderBy("rank").collect()
+    assert [(r.block_id, r.hits) for r in rows] == [("b1", 2), ("b0", 1), ("b2", 0)]
+    size = lambda *parts: retrieve.ENTRY + sum(len(p.encode()) for p in parts)
+    assert [r.n_bytes for r in rows] == [size("b1", "성 명: 홍"), size("b0", "주소 없음", "c1"), size("b2")]
+    assert {r.field_bytes for r in rows} == {size("f1", "성 명") + size("f2", "성명") + size("f3", "주소")}
+
+
+def test_replace_first_takes_one_edit_a_text(spark):
+    elements = spark.createDataFrame([("f", 0, "a"), ("f", 1, "a"), ("g", 0, "a")], "form_id string, seq int, text string")
+    edits = spark.createDataFrame([("f", "a", "y"), ("f", "a", "x")], "form_id string, old_text string, value string")
+    assert sorted((r.form_id, r.seq, r.text) for r in fill.replace_first(elements, edits).collect()) == [("f", 0, "x"), ("f", 1, "a"), ("g", 0, "a")]
+
+
+def test_a_failed_check_stops_the_job(spark):
+    rows = spark.createDataFrame([("j",), ("k",), ("l",)], "job_id string")
+    failed = lambda *j: spark.createDataFrame([(x,) for x in j], "job_id string")
+    assert [r.job_id for r in fill.passed_jobs(rows, failed("j", "j"), failed("l")).collect()] == ["k"]

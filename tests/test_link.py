@@ -39,3 +39,21 @@ def test_table_cells(spark):
 def test_summary_rolls_up(spark):
     rows = spark.createDataFrame([("f", "suggested"), ("f", "missing"), ("g", "conflict")], "form_id string, status string")
     assert {(r.form_id, r.n_fields, r.n_suggested) for r in link.link_summary(rows, "form_id").collect()} == {("f", 2, 1), ("g", 1, 0), (None, 3, 1)}
+
+
+def test_scope_comes_from_context(spark):
+    from slotweave.operators import link
+
+    blocks = spark.createDataFrame([("d", 0, "b0", "이름: 가", ["표: 예산"]), ("d", 1, "b1", "이름: 나", ["구역:뒤", "표:인원"]), ("d", 2, "b2", "이름: 다", [])], "doc_id string, seq int, block_id string, text string, context array<string>")
+    fields = spark.createDataFrame([("j", "d", "any", "이름", []), ("j", "d", "title", "이름", ["표: 인원"]), ("j", "d", "both", "이름", ["표: 예산", "구역: 뒤"])], "job_id string, doc_id string, field_id string, label string, context array<string>")
+    got = sorted((r.field_id, r.value) for r in link.link_labels(fields, blocks).collect())
+    assert got == [("any", "가"), ("any", "나"), ("any", "다"), ("title", "나")]
+
+
+def test_links_are_found_with_one_shuffle_of_the_blocks(spark):
+    from slotweave.operators import link
+
+    blocks = spark.range(5).selectExpr("'d' doc_id", "cast(id as int) seq", "cast(id as string) block_id", "'a: b' text")
+    fields = spark.range(5).selectExpr("'j' job_id", "'d' doc_id", "cast(id as string) field_id", "'a' label")
+    plan = link.link_labels(fields, blocks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and "Window" not in plan

@@ -38,8 +38,40 @@ def test_nested_tables_and_unsafe_xml(spark):
     xml = b'<s><tbl><tr><tc><cellAddr rowAddr="2" colAddr="1"/><subList><p><run><t>out</t></run><run><tbl><tr><tc><subList><p><run><t>in</t></run></p></subList></tc></tr></tbl></run></p></subList></tc></tr></tbl></s>'
     rows = spark.createDataFrame([("f", "a/section0.xml", xml), ("g", "a/section0.xml", b"<!DOCTYPE x><s/>"), ("h", "a/section0.xml", b"<s>")], "form_id string, path string, content binary")
     cells, runs, problems = packages.parse_sections(rows)
-    assert [(r.row, r.col, r.text, r.has_nested) for r in cells.collect()] == [(2, 1, "out", True)]
+    assert {(r.section, r.table_idx, r.row, r.col, r.text, r.has_nested) for r in cells.collect()} == {("a/section0.xml", 0, 2, 1, "out", True), ("a/section0.xml", 1, 0, 0, "in", False)}
     assert {(r.form_id, r.code) for r in problems.collect()} == {("g", "UNSAFE_XML"), ("h", "BAD_XML")}
+    nested = packages.nested_tables(rows).collect()
+    assert [(r.table_idx, r.parent_table, r.parent_row, r.parent_col) for r in nested] == [(1, 0, 2, 1)]
+    from pyspark.sql import functions as F
+
+    paragraphs = packages.section_paragraphs(rows.withColumn("ord", F.lit(3))).orderBy("seq").collect()
+    assert [(r.table_idx, r.row, r.col, r.text) for r in paragraphs] == [(0, 2, 1, "out"), (1, 0, 0, "in")]
+
+
+def test_sections_of_one_basename_and_foreign_names(spark):
+    own = packages.OWN_NAMESPACE + "2011/section"
+    xml = f'<sec xmlns="{own}"><p><run><t>x</t></run></p><y:p xmlns:y="urn:y"/></sec>'.encode()
+    rows = spark.createDataFrame([("f", "a/section0.xml", xml), ("f", "b/section0.xml", b"<y:p xmlns:y='urn:y'/>")], "form_id string, path string, content binary")
+    clashes = packages.ns_clashes(packages.section_elements(rows)).collect()
+    assert [(r.section, r.local_name) for r in clashes] == [("a/section0.xml", "p")]
+
+
+def test_packages_are_read_from_files(spark, tmp_path):
+    (tmp_path / "one.hwpx").write_bytes(pack(GOOD))
+    rows = packages.read_packages(spark, f"{tmp_path}/*.hwpx").collect()
+    assert {r.path for r in rows} == {"mimetype", packages.MANIFEST} and rows[0].form_id.endswith("one.hwpx")
+
+
+def test_sources_are_read_and_tables_written(spark, tmp_path):
+    from slotweave.sources import text
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# x\ny")
+    (tmp_path / "in" / "b.exe").write_text("z")
+    rows = text.read_sources(spark, f"file://{tmp_path}/in")
+    assert {(r.kind, r.text, r.error) for r in rows.collect()} == {("md", "# x\ny", None), (None, "z", "UNKNOWN_KIND")}
+    text.write_tables({"docs": rows.drop("error")}, f"{tmp_path}/out", by={"docs": ["kind"]})
+    assert spark.read.parquet(f"{tmp_path}/out/docs").count() == 2
 
 
 def test_spine_order(spark):

@@ -53,3 +53,9 @@ def test_slot_status_and_paragraphs(spark):
 def test_units(spark):
     row = spark.createDataFrame([(7200,)], "u int").select(X.to_pt("u"), F.round(X.to_mm("u"), 3)).first()
     assert tuple(row) == (72.0, 25.4)
+
+
+def test_a_slot_label_counts_at_its_first_place_only():
+    from slotweave.functions.slots import slots
+
+    assert slots("전화 안내 전화 : ") == [] and [x["label"] for x in slots("전화 : ")] == ["전화"]
