@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,12 +59,13 @@ def bloom_joins(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def stored_rows_of(rows: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
-    """The rows whose key (a long) is among the distinct ids, stored; a Bloom filter thins them before they are shuffled."""
+def stored_rows_of(rows: DataFrame, ids: DataFrame, key: str, name: str, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The rows whose key (a long) is among the distinct ids, after `then`, stored; a Bloom filter thins them before they
+    are shuffled, and `then` finds them dealt by key."""
     ids = stored(ids.select(key), f"{name}-ids")
     every = F.col(key).between(-(1 << 63), (1 << 63) - 1)  # Spark builds the filter from a side that has a condition
     with bloom_joins(rows.sparkSession):
-        return stored(rows.join(ids.filter(every), key), name)
+        return stored(then(rows.join(ids.filter(every), key)), name)
 
 
 #: Rows of a few numbers that may be broadcast: tens of MB.
