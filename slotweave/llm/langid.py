@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import small
+
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 120_000
 STRETCH = 256
@@ -184,8 +186,9 @@ def training_sample(docs: DataFrame) -> dict[str, list[str]]:
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     keyed = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     least = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("h", "doc_id")) <= SAMPLE_DOCS
-    keyed = keyed.withColumn("part", F.pmod("h", F.lit(256))).withColumn("ok", least("part")).filter("ok")
+    keyed = keyed.withColumn("part", F.pmod("h", F.lit(16))).withColumn("ok", least("part")).filter("ok")
     chosen = keyed.withColumn("ok", least()).filter("ok").select("lang", "doc_id").distinct()  # SAMPLE_DOCS ids a language
+    chosen = small(chosen, "labelled-sample")
     rows = labelled.join(chosen, ["lang", "doc_id"], "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), "text", F.length("text").alias("n"))
     fits = F.when(F.col("n") <= SAMPLE_CHARS // 2, F.col("n"))
     order = Window.partitionBy("lang").orderBy("h", "text")
