@@ -60,7 +60,7 @@ WITH v AS (
   FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q JOIN v x ON x.row_id <> q.row_id
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER w <= 20 WINDOW w AS (PARTITION BY row_id ORDER BY score DESC, vec_id)
+FROM s WINDOW w AS (PARTITION BY row_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
 """
 
 NEAR_DUPLICATES = r"""
