@@ -3,27 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, as in local tests, a new local one.
-
-    Executors on other machines would not see a local folder, so there it is an error.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("slotweave.shared.dir", None)
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="slotweave-")
-        spark.conf.set("slotweave.shared.dir", found)
-    return found.rstrip("/")
+from slotweave.sources.store import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
