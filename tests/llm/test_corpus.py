@@ -318,3 +318,27 @@ def test_reader_finds_damage():
     for bad in (good[:-5], good + b"junk", wrong):
         with pytest.raises(warc.BrokenArchive):
             list(warc.read_records(io.BytesIO(bad)))
+
+
+def test_weights_match_brute_force(spark):
+    import pyarrow as pa
+
+    from slotweave.llm import kernels as K
+
+    rng = random.Random(31)
+    texts = {i: " ".join(words(rng.randrange(0, 40), rng)) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("target", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 40)], "doc_id long, quality int")
+    grams = {i: importance.ngrams(next(K.texts(pa.array([t]))))[0].tolist() if t else [] for i, t in texts.items()}
+    total = np.zeros((2, importance.BUCKETS))
+    for i, g in grams.items():
+        for b in g:
+            total[0, b] += 1
+            total[1, b] += i < 40 and i % 2 == 1
+    p = (total + importance.SMOOTHING) / (total.sum(1, keepdims=True) + importance.SMOOTHING * importance.BUCKETS)
+    ratio = np.log(p[1] / p[0])
+    rows = {r.doc_id: r for r in importance.resample(docs, labels).collect()}
+    assert all(abs(rows[i].log_weight - sum(ratio[b] for b in g)) < 1e-9 and rows[i].n_grams == len(g) for i, g in grams.items())
+    keys = sorted((r.key for r in rows.values() if r.key is not None), reverse=True)
+    cut = keys[round(0.5 * len(keys)) - 1]
+    assert {i for i, r in rows.items() if r.kept} == {i for i, r in rows.items() if r.key is not None and r.key >= cut}

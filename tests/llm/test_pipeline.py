@@ -24,3 +24,21 @@ def test_stages_take_effect(spark, tmp_path):
     assert shared in cut[101].text and shared not in cut[102].text and cut[102].n_chars == len(cut[102].text)
     assert ids["source_mixing"] <= ids["substring_dedup"] and all(r.round_trip for r in seen["sentencepiece"])
     assert len(seen["sentencepiece"]) == len(seen["source_mixing"])
+
+
+def test_odd_rows_and_an_empty_table(spark, odd_docs, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing names go through all stages; so does no row."""
+    from pyspark.sql import functions as F
+
+    docs = odd_docs.withColumn("n_chars", F.length("text").cast("long"))
+    for c in ("spans", "text_key", "position", "positions", "rows", "d2", "xs"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    for kind, table in (("odd", docs), ("none", docs.limit(0))):
+        names = table.columns
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / kind / name)
+            stage(spark, table, "").write.parquet(path)
+            table = spark.read.parquet(path)
+            if name != "sentencepiece":
+                assert table.columns == names
+        assert {r.doc_id for r in table.collect()} <= {1, 8} and (kind == "odd") == (table.count() > 0)
