@@ -22,14 +22,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates (five words, 0.8)."""
+    """One document, that of the smallest doc_id, of each group of near-duplicates (five words, 0.8).
+
+    Null and empty texts and null ids are linked with nothing and stay; of equal rows of one id one stays; an empty
+    table stays empty.
+    """
     return without_near_duplicates(docs, 80)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words or more that a document of smaller id has too.
 
-    n_chars follows the text where it is cut; a document of which nothing is left goes.
+    n_chars follows the text where it is cut; a document of which nothing is left goes. Null texts and null ids stay as
+    they are; repeated rows are cut alike, of other texts of a repeated id only the least; an empty table stays empty.
     """
     found = stored(shared_passages(docs), "passages")
     ids = small(found.select("doc_id").distinct(), "cut-ids")
@@ -41,12 +46,19 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every copy of a document that the mix of sources takes, in the order of training."""
+    """Every copy of a document that the mix of sources takes, in the order of training.
+
+    Documents without a word and rows with a null id are not taken; null is a source of its own; equal rows of one id
+    give one row at each of their positions; ties go by id; an empty table stays empty.
+    """
     return mixed(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the check that they decode to the text."""
+    """Token ids of every document, with the check that they decode to the text.
+
+    Null and empty texts have no pieces; repeated rows and null ids give a row each, an empty table none.
+    """
     return encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
