@@ -228,9 +228,6 @@ def _estimate(rows: DataFrame, before: DataFrame) -> DataFrame:
     return sums.mapInPandas(run, _ESTIMATE)
 
 
-_OWN = {*_COUNTS, "x", "pool", "base_failed", "distance2", "kept", "d2", "_lang", "_source"}
-
-
 def drawn(n: int, centre: np.ndarray, scatter: np.ndarray, wide_centre: np.ndarray, wide_scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An estimate of n rows mixed with a wider one that counts as PRIOR_ROWS: centre and scatter of the mixture."""
     own = n / (n + PRIOR_ROWS)
