@@ -76,3 +76,58 @@ WITH RECURSIVE w AS (
 ), c AS (SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, min(r.other)) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach r ON r.doc_id = d.doc_id GROUP BY 1)
 SELECT doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), phrases AS MATERIALIZED (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f
+  FROM starts, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE i + size - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100 OR size = 1
+), totals AS (SELECT lang, CAST(sum(f) AS HUGEINT) AS n FROM phrases WHERE size = 1 GROUP BY 1
+), candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM phrases WHERE size > 1
+), inside AS (
+  SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(i + 1, size + 1)) AS j FROM (SELECT *, unnest(range(1, size)) AS i FROM candidates)) WHERE j - i + 1 < size GROUP BY ALL
+), kept AS (SELECT c.* FROM candidates c LEFT JOIN inside USING (lang, phrase) WHERE coalesce(100 * longer < 100 * a, true)
+), cuts AS (SELECT *, unnest(range(1, size)) AS k FROM kept
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, n, (1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cuts c JOIN phrases x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN phrases y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ') JOIN totals t ON t.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM scored QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) <= 2000
+"""
+
+#: The first table is that of CRC-32, by its polynomial; features are hashed byte by byte.
+RESAMPLING = r"""
+WITH tab AS MATERIALIZED (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)
+), texts AS (
+  SELECT row_number() OVER () AS row_id, doc_id, text, 0 AS corpus FROM documents UNION ALL SELECT NULL, NULL, text, 1 FROM benchmark
+), words AS (
+  SELECT row_id, doc_id, corpus, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts
+), runs AS (
+  SELECT row_id, corpus, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM words
+), counts AS MATERIALIZED (SELECT row_id, corpus, f, count(*) AS c FROM runs GROUP BY ALL
+), hexes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counts)
+), buckets AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h), 2), lambda i: CAST('0x' || substr(h, i + 1, 2) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM hexes, tab
+), sums AS (
+  SELECT bucket, CAST(coalesce(sum(c) FILTER (corpus = 0), 0) AS DOUBLE) AS s, CAST(coalesce(sum(c) FILTER (corpus = 1), 0) AS DOUBLE) AS t FROM counts JOIN buckets USING (f) GROUP BY 1
+), gains AS (
+  SELECT bucket, CAST(floor(1000.0 * ln(((t + 1.0) * (sum(s) OVER () + 10000.0)) / ((s + 1.0) * (sum(t) OVER () + 10000.0)))) AS BIGINT) AS gain FROM sums
+), weights AS (
+  SELECT row_id, CAST(sum(c * gain) AS BIGINT) AS weight, CAST(sum(c) AS BIGINT) AS n_features FROM counts JOIN buckets USING (f) JOIN gains USING (bucket) WHERE corpus = 0 GROUP BY 1
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000.0 * ln(-ln((CAST(CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (row_id) WHERE corpus = 0
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY n_words < 20, score DESC, doc_id NULLS FIRST) AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM placed
+"""

@@ -78,6 +78,26 @@ def op10_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), 100, 100, 2000)
+
+
+def op12_resample_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .postings import resample_to_target
+
+    return resample_to_target(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20, 5, 42)
+
+
+def op13_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .secret_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_importance_resampling": op2_importance_resampling,
@@ -89,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_archive_pages": op8_archive_pages,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_identify_languages": op10_identify_languages,
+    "op11_collocations": op11_collocations,
+    "op12_resample_to_target": op12_resample_to_target,
+    "op13_scan_secrets": op13_scan_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -96,4 +119,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_near_duplicates": oracles.NEAR_DUPLICATES,
     "op7_mix_sources": oracles.MIXTURE,
     "op8_archive_pages": oracles.WARC,
+    "op11_collocations": oracles.COLLOCATIONS,
+    "op12_resample_to_target": oracles.RESAMPLING,
 }
