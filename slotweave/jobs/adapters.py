@@ -168,3 +168,40 @@ def zipped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0b-\x1f]", "\ufffd")
     docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     return docs.mapInPandas(build, "form_id string, payload binary")
+
+
+def zipped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(form_id, payload): an order's document as a package of two sections with a table each.
+
+    Cells carry no address: the first table has a cell over two columns and one over all its rows, so that places follow
+    from spans. Captions and section marks stand as paragraphs before the tables; some documents lack the second caption.
+    """
+    from slotweave.sources.packages import MANIFEST, MIMETYPE, OWN_NAMESPACE
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell = lambda text, rows=1, cols=1: f'<tc><subList><p><run><t>{escape(str(text))}</t></run></p></subList><cellSpan rowSpan="{rows}" colSpan="{cols}"/></tc>'
+        line = lambda *cells: f"<tr>{''.join(cells)}</tr>"
+        para = lambda text: f"<p><run><t>{escape(text)}</t></run></p>"
+        section = lambda *parts: f'<sec xmlns="{OWN_NAMESPACE}2011/section">{"".join(parts)}</sec>'.encode()
+        items = "".join(f'<item id="{i}" href="Contents/section{i}.xml"/>' for i in (0, 1))
+        manifest = f'<package><manifest>{items}</manifest><spine><itemref idref="0"/><itemref idref="1"/></spine></package>'.encode()
+        for pdf in batches:
+            out = []
+            for key, clerk, cents, numbers, parts, supps in pdf.itertuples(index=False):
+                lines = [line(*([cell("2024", len(numbers))] if i == 0 else []), cell(f"line {n}"), cell(p), cell(s)) for i, (n, p, s) in enumerate(zip(numbers, parts, supps, strict=True))]
+                first = f"<p><run><tbl>{line(cell('구분'), cell('품명'), cell('금액', 1, 2))}{''.join(lines)}</tbl></run></p>"
+                second = f"<p><run><tbl>{line(cell('이름'), cell('금액'))}{line(cell(clerk), cell(cents))}</tbl></run></p>"
+                sections = [section(para(f"문서 {key}"), para("구역: 앞"), para("표: 예산"), para(""), first), section(para("구역: 뒤"), *([] if key % 8 == 0 else [para(" 표:지출 ")]), second)]
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as z:
+                    for path, content in (("mimetype", MIMETYPE), ("Contents/section0.xml", sections[0]), ("Contents/section1.xml", sections[1]), (MANIFEST, manifest)):
+                        z.writestr(zipfile.ZipInfo(path), content, zipfile.ZIP_STORED if path == "mimetype" else zipfile.ZIP_DEFLATED)
+                out.append((f"o-{key}", data.getvalue()))
+            yield pd.DataFrame(out, columns=["form_id", "payload"])
+
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    items = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "p", "s"))).alias("x"))  # an order's lines
+    orders = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    numbers = [F.col(f"x.{c}").cast("array<long>").alias(c) for c in ("l_linenumber", "p", "s")]
+    rows = orders.select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("bigint").cast("string").alias("cents"), *numbers)
+    return rows.mapInPandas(build, "form_id string, payload binary")

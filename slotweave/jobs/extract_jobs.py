@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slotweave.functions import textfn as X
 from slotweave.jobs import adapters as A
 from slotweave.operators import evidence, extract, link
+from slotweave.sources import store
 from slotweave.sources import text as sources
 
 
@@ -73,6 +74,11 @@ def s1_read_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.with_kind(rows.withColumns({"path": name, "told": told}), "told", "path").select("doc_id", "path", "kind", "error")
 
 
+def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the orders' documents, rendered once."""
+    return store.stored(extract.with_block_id(extract.line_blocks(A.order_sources(spark, sf_dir))), "order-blocks")
+
+
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = extract.with_block_id(extract.line_blocks(A.order_sources(spark, sf_dir)))
     return link.link_labels(A.job_fields(spark, sf_dir), blocks)
@@ -97,8 +103,8 @@ def r10_link_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _proposals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Proposals that repeat the suggested values, with one fault for each remainder of the order's key."""
-    fields, results = A.job_fields(spark, sf_dir), _results(spark, sf_dir)
-    blocks = extract.with_block_id(extract.line_blocks(A.order_sources(spark, sf_dir)))
+    fields, blocks = A.job_fields(spark, sf_dir), order_blocks(spark, sf_dir)
+    results = store.stored(link.resolve_links(fields, link.link_labels(fields, blocks)), "results")
     rows = results.filter("status = 'suggested'").withColumn("k", F.substring("job_id", 3, 20).cast("bigint"))
     k = F.col("k")
     rows = rows.select(

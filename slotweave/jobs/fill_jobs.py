@@ -10,7 +10,7 @@ from slotweave.jobs import adapters as A
 from slotweave.jobs import extract_jobs as E
 from slotweave.jobs import form_jobs as T
 from slotweave.operators import candidates, evidence, extract, fill, link, profile, quality, retrieve, tables
-from slotweave.sources import packages, store
+from slotweave.sources import filling, packages, store, trees
 
 
 def _text(c: str):
@@ -40,15 +40,21 @@ def g02_latest_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grid_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits on each order's grid: a phone number into the inline slot, a name into the empty cell, another mark before the slot."""
-    fields = T._fields(spark, sf_dir).filter("editable AND (rule = 4 OR row = 1)")
+    fields = T.stored_fields(spark, sf_dir).filter("editable AND (rule = 4 OR row = 1)")
     rows = fields.select(F.col("form_id").alias("job_id"), "form_id", "field_id", *fill.RUN[1:], "insert_offset", F.when(F.col("rule") == 4, "02-1234").otherwise("<홍길동>").alias("value"))
     more = rows.filter("insert_offset = 4").withColumns({"field_id": F.lit("f-more"), "insert_offset": F.lit(0), "value": F.lit("* ")})
     return rows.unionByName(more)
 
 
-def _grid_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grid_filled(spark: SparkSession, sf_dir: str, edits: DataFrame | None = None) -> DataFrame:
     runs = A.grid_runs(A.order_grid(spark, sf_dir)).withColumn("job_id", F.col("form_id"))
-    return fill.apply_edits(runs, _grid_edits(spark, sf_dir))
+    return fill.apply_edits(runs, _grid_edits(spark, sf_dir) if edits is None else edits)
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(edits, filled runs), both made once."""
+    edits = store.stored(_grid_edits(spark, sf_dir), "grid-edits")
+    return edits, store.stored(_grid_filled(spark, sf_dir, edits), "grid-filled")
 
 
 def g03_guard_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +68,7 @@ def g03_guard_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _guarded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """An edit of every field, in a third of the orders of every open one; automatic ones hold for some orders, and some
     forms have changed since."""
-    fields = T._fields(spark, sf_dir)
+    fields = T.stored_fields(spark, sf_dir)
     key = F.substring("form_id", 3, 20).cast("bigint")
     edits = fields.filter(F.col("editable") | (key % 3 != 0)).select(F.col("form_id").alias("job_id"), "field_id", F.lit("v").alias("value"), F.when(key % 2 == 0, "rule").otherwise("user").alias("origin")).distinct()
     accepted = edits.filter(F.substring("job_id", 3, 20).cast("bigint") % 4 == 0)
@@ -72,7 +78,7 @@ def _guarded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def g04_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each open field edited once, and in some forms again under another id at the same place."""
-    fields = T._fields(spark, sf_dir).filter("editable").select(*fill.RUN, "insert_offset", "field_id", "editable").distinct()
+    fields = T.stored_fields(spark, sf_dir).filter("editable").select(*fill.RUN, "insert_offset", "field_id", "editable").distinct()
     twin = fields.filter((F.col("row") == 1) & (F.substring("form_id", 3, 20).cast("bigint") % 7 == 1)).withColumn("field_id", F.lit("f-twin"))
     fields = fields.unionByName(twin)
     edits = fields.select(F.col("form_id").alias("job_id"), "field_id", F.lit("v").alias("value"), F.lit("user").alias("origin"))
@@ -115,27 +121,30 @@ def q02_diff_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q03_diff_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = fill.RUN[1:]
-    rows = _grid_filled(spark, sf_dir).groupBy("job_id", *key).agg(F.min("old_text").alias("old_text"), F.min("new_text").alias("new_text"))  # some line numbers repeat
+    edits, filled = _edited(spark, sf_dir)
+    rows = filled.groupBy("job_id", *key).agg(F.min("old_text").alias("old_text"), F.min("new_text").alias("new_text"))  # some line numbers repeat
     odd = F.substring("job_id", 3, 20).cast("bigint") % 50 == 0
     old = rows.select("job_id", *key, F.col("old_text").alias("text"))
     new = rows.select("job_id", *key, F.when(odd & (F.col("row") == 0) & (F.col("col") == 0), "damaged").otherwise(F.col("new_text")).alias("text"))
-    return quality.diff_fixed(old, new, _grid_edits(spark, sf_dir), ["job_id", *key]).select("job_id", "row", "col", "old_text", "new_text")
+    return quality.diff_fixed(old, new, edits, ["job_id", *key]).select("job_id", "row", "col", "old_text", "new_text")
 
 
 def q04_diff_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = T._fields(spark, sf_dir)
+    fields = T.stored_fields(spark, sf_dir)
     new = fields.withColumn("editable", F.col("editable") | ((F.col("row") == 2) & (F.substring("form_id", 3, 20).cast("bigint") % 5 == 0)))
     return quality.diff_protected(fields, new)
 
 
 def q05_check_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.concat_ws("/", "row", "col")
-    edits = _grid_edits(spark, sf_dir).select("job_id", place.alias("place"), F.when(F.substring("job_id", 3, 20).cast("bigint") % 6 == 0, F.concat("value", F.lit("?"))).otherwise(F.col("value")).alias("value"))
-    return quality.check_applied(edits, _grid_filled(spark, sf_dir).select("job_id", place.alias("place"), F.col("new_text").alias("text")))
+    edits, filled = _edited(spark, sf_dir)
+    edits = edits.select("job_id", place.alias("place"), F.when(F.substring("job_id", 3, 20).cast("bigint") % 6 == 0, F.concat("value", F.lit("?"))).otherwise(F.col("value")).alias("value"))
+    return quality.check_applied(edits, filled.select("job_id", place.alias("place"), F.col("new_text").alias("text")))
 
 
 def q06_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill.read_back(_grid_filled(spark, sf_dir), _grid_edits(spark, sf_dir))
+    edits, filled = _edited(spark, sf_dir)
+    return fill.read_back(filled, edits)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -281,13 +290,27 @@ def s2_package_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("form_id", "pos", "path", "method", "crc_ok", "encrypted", F.when(F.col("pos") == 1, F.col("sha256")).alias("sha256"), "error")
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.stored(packages.entries_of(A.zipped_documents(spark, sf_dir)), "entries")
+
+
 def s3_package_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.check_packages(packages.entries_of(A.zipped_documents(spark, sf_dir)))[1]
+    return packages.check_packages(_entries(spark, sf_dir))[1]
+
+
+def _spine_of(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sections, problems) of stored entries: guards, manifests and order."""
+    ok, _ = packages.check_packages(entries)
+    return packages.resolve_spine(*packages.manifests(store.stored(packages.manifest_rows(ok), "manifests")), ok)
 
 
 def _spine(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ok, _ = packages.check_packages(packages.entries_of(A.zipped_documents(spark, sf_dir)))
-    return packages.resolve_spine(*packages.manifests(ok), ok)
+    return _spine_of(_entries(spark, sf_dir))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of all forms, each parsed once."""
+    return store.stored(packages.section_parts(_spine(spark, sf_dir)[0]), "section-parts")
 
 
 def s4_section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,45 +323,125 @@ def s4_spine_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s5_section_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, _, _ = packages.parse_sections(_spine(spark, sf_dir)[0])
-    return cells.select("form_id", "section", "table_idx", "row", "col", "col_span", "text", "has_nested")
+    return packages.cells_of(_parts(spark, sf_dir)).select("form_id", "section", "table_idx", "row", "col", "col_span", "text", "has_nested")
 
 
 def s5_section_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packages.section_paragraphs(_spine(spark, sf_dir)[0]).withColumnRenamed("form_id", "doc_id")
+    rows = packages.section_paragraphs(_parts(spark, sf_dir)).withColumnRenamed("form_id", "doc_id")
     return extract.paragraph_blocks(rows).select("doc_id", "section", "table_idx", "row", "col", "col_span", "start", "end", "text")
 
 
 def s5_section_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = packages.parse_sections(_spine(spark, sf_dir)[0])[1]
+    runs = packages.runs_of(_parts(spark, sf_dir))
     return runs.groupBy("form_id", "section", "table_idx").agg(F.count("*").alias("n_runs"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def s5_nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = _spine(spark, sf_dir)[0]
-    return tables.inner_tables(packages.nested_tables(sections), packages.parse_sections(sections)[0]).select("form_id", "section", "table_idx", "parent_table", "parent_row", "parent_col", "parent_text")
+    parts = _parts(spark, sf_dir)
+    return tables.inner_tables(packages.nested_tables(parts), packages.cells_of(parts)).select("form_id", "section", "table_idx", "parent_table", "parent_row", "parent_col", "parent_text")
 
 
 def s5_section_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.parse_sections(_spine(spark, sf_dir)[0])[2]
+    return packages.problems_of(_parts(spark, sf_dir))
 
 
 def s6_ns_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.ns_clashes(packages.section_elements(_spine(spark, sf_dir)[0]))
+    return packages.ns_clashes(packages.section_elements(_parts(spark, sf_dir)))
+
+
+def _package_edits(spark: SparkSession, sf_dir: str, forms: DataFrame) -> DataFrame:
+    """Edits on the first line of each form's first table: a new text, two insertions, or one at a place that isn't there."""
+    k = F.substring("form_id", 3, 20).cast("bigint")
+    edit = lambda row, at, value: F.struct(F.lit(row).alias("row"), F.lit(at).cast("int").alias("insert_offset"), value.alias("value"))
+    new = F.array(edit(0, None, F.concat(F.lit("A&B <"), k.cast("string"), F.lit(">"))))
+    some = F.when(k % 3 == 0, new).when(k % 3 == 1, F.array(edit(0, 0, F.lit("「")), edit(0, 1, F.lit(" & ")))).when(k % 2 == 0, F.array(edit(99_999_999, None, F.lit("x"))))
+    rows = forms.select(F.regexp_replace("form_id", "^d", "p").alias("job_id"), "form_id", F.inline(some))
+    return rows.select("job_id", "form_id", F.lit("Contents/section1.xml").alias("section"), F.lit(0).alias("table_idx"), "row", F.lit(1).alias("col"), F.lit(0).alias("para"), F.lit(0).alias("run"), "insert_offset", "value")
+
+
+def _filled_packages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries of the sound forms, entries of the filled packages by job, problems)."""
+    forms = store.stored(A.zipped_documents(spark, sf_dir), "forms")
+    ok = store.stored(packages.check_packages(store.stored(packages.entries_of(forms), "entries"))[0], "sound-entries")
+    sound = forms.join(ok.select("form_id").distinct(), "form_id", "left_semi")
+    made, problems = filling.fill_packages(sound, _package_edits(spark, sf_dir, sound.select("form_id")))
+    made = store.stored(made, "packages")
+    return ok, store.stored(packages.entries_of(made.select(F.col("job_id").alias("form_id"), "payload")), "filled-entries"), problems
+
+
+def g05_filled_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of the filled packages, against the form's: in its place, sound, and the same but for the edited section."""
+    old, new, _ = _filled_packages(spark, sf_dir)
+    old = old.select(F.regexp_replace("form_id", "^d", "p").alias("form_id"), "path", "pos", "method", F.col("sha256").alias("old"))
+    rows = new.join(old.withColumnsRenamed({"pos": "old_pos", "method": "old_method"}), ["form_id", "path"], "full")
+    same = F.col("sha256").eqNullSafe(F.col("old"))
+    return rows.filter("pos IS NOT NULL").select(F.col("form_id").alias("job_id"), "path", "pos", "crc_ok", same.alias("same"), ((F.col("pos") == F.col("old_pos")) & (F.col("method") == F.col("old_method"))).alias("in_place"), F.when(~same, F.col("sha256")).alias("sha256"))
+
+
+def g05_package_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled_packages(spark, sf_dir)[2]
+
+
+def q01_tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements that filling changed, and those of a tenth of the packages in which a table has got another attribute."""
+    old, new, _ = _filled_packages(spark, sf_dir)
+    sections = lambda df: df.filter("path LIKE 'Contents/section%'").select(F.regexp_replace("form_id", "^d", "p").alias("form_id"), "path", "content")
+    old = sections(old).join(new.select("form_id").distinct(), "form_id", "left_semi")
+    odd = (F.col("path") == "Contents/section1.xml") & (F.substring("form_id", 3, 20).cast("bigint") % 10 == 0)
+    damaged = F.encode(F.replace(F.decode("content", "utf-8"), F.lit("<tbl>"), F.lit('<tbl id="1">')), "utf-8")
+    new = sections(new).withColumn("content", F.when(odd, damaged).otherwise(F.col("content")))
+    nodes = [store.stored(trees.tree_nodes(df), f"nodes-{name}") for df, name in ((old, "old"), (new, "new"))]
+    return trees.tree_changes(*nodes)
+
+
+def t01_placed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells without addresses, placed by their spans and those from above, read from packages."""
+    return packages.cells_of(_source_parts(spark, sf_dir)).select("form_id", "section", "table_idx", "row", "col", "row_span", "col_span", "text")
+
+
+def _source_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections, _ = _spine_of(store.stored(packages.entries_of(A.zipped_sources(spark, sf_dir)), "source-entries"))
+    return store.stored(packages.section_parts(sections), "source-parts")
+
+
+#: What forms ask of zipped sources: (field, label, title, section, row, col, fixed_row).
+ASKED = [("a", "항목", "예산", None, 1, None, False), ("b", "line 2", "예산", None, None, 2, True), ("c", "금액", None, "뒤", None, None, False), ("d", "성명", "지출", "뒤", 1, None, False), ("e", "구분", None, "앞", None, None, False)]
+
+
+def r04_link_zipped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields linked to the tables of zipped sources: titles, sections and column labels are read from the packages."""
+    parts = _source_parts(spark, sf_dir)
+    scopes = packages.table_scopes(parts, link.MARKS)
+    cells = link.source_cells(packages.cells_of(parts), scopes)
+    asked = spark.createDataFrame(ASKED, "field_id string, label string, title string, section string, row int, col int, fixed_row boolean")
+    fields = A.jobs(spark, sf_dir).select("job_id", "doc_id").join(F.broadcast(asked))  # a form's fields
+    results = link.resolve_links(fields.withColumn("unit", F.lit(None).cast("string")), store.stored(link.link_table_cells(fields, cells), "cell-links"))
+    return results.select("job_id", "field_id", "status", "value", F.size("source_block_ids").alias("n_blocks"), F.array_join("alternatives", "|").alias("alternatives"))
+
+
+def w3_filled_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain's last step: the packages of the jobs that pass every check, by their entries' digests."""
+    forms = store.stored(A.zipped_forms(spark), "forms")
+    passed = _filled_forms(spark, sf_dir)[2].select("job_id", "form_id", *fill.RUN[1:], "insert_offset", "value")
+    made, _ = filling.fill_packages(forms, passed)
+    entries = packages.entries_of(made.select(F.concat_ws("|", "job_id", "form_id").alias("form_id"), "payload"))
+    entries = entries.withColumns({"job_id": F.substring_index("form_id", "|", 1), "form_id": F.substring_index("form_id", "|", -1)})
+    old = packages.entries_of(forms).select("form_id", "path", F.col("sha256").alias("old"))
+    return entries.join(F.broadcast(old), ["form_id", "path"]).select("job_id", "pos", "path", "crc_ok", (F.col("sha256") == F.col("old")).alias("same"), F.when(F.col("sha256") != F.col("old"), F.col("sha256")).alias("sha256"))
 
 
 def _form_parts(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """(fields, runs) of the zipped forms: read, checked, ordered, parsed and detected once a form."""
-    ok, _ = packages.check_packages(packages.entries_of(A.zipped_forms(spark)))
-    cells, runs, _ = packages.parse_sections(packages.resolve_spine(*packages.manifests(ok), ok)[0])
-    cells, runs = store.stored(cells, "form-cells"), store.stored(runs, "form-runs")
+    sections, _ = _spine_of(store.stored(packages.entries_of(A.zipped_forms(spark)), "form-entries"))
+    parts = store.stored(packages.section_parts(sections), "form-parts")
+    cells, runs = packages.cells_of(parts), packages.runs_of(parts)
     return store.stored(candidates.form_fields(cells, runs), "form-fields"), runs
 
 
 def _linked_forms(spark: SparkSession, sf_dir: str, form: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fields of each job, its link results, the source blocks): the forms' fields linked to order documents."""
     fields = A.jobs(spark, sf_dir).join(F.broadcast(form), "form_id")  # the forms' fields are few by construction
-    blocks = extract.with_block_id(extract.line_blocks(A.order_sources(spark, sf_dir)))
+    blocks = E.order_blocks(spark, sf_dir)
     matches = link.link_labels(fields.drop("section"), blocks)  # a form's section is no scope of the source
     return fields, store.stored(link.resolve_links(fields, matches), "form-results"), blocks
 
@@ -348,8 +451,8 @@ def w2_link_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.select("job_id", "field_id", "row", "col", "label", "editable").join(results.drop("label"), ["job_id", "field_id"]).select("job_id", "row", "col", "label", "editable", "status", "value")
 
 
-def _filled_forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(edits, filled runs of the jobs that pass every check).
+def _filled_forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edits, filled runs and applied edits of the jobs that pass every check).
 
     Suggested values that hold against their source become edits, of which two jobs in three select all; a form that
     has changed since its analysis, a guard's problem or a value that is not found again stops its job.
@@ -369,7 +472,8 @@ def _filled_forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     filled = store.stored(fill.apply_edits(own.drop("form_id", "doc_id"), passed), "filled-forms")
     place = F.concat_ws("/", "section", "table_idx", "row", "col")
     checks = quality.check_applied(passed.select("job_id", place.alias("place"), "value"), filled.select("job_id", place.alias("place"), F.col("new_text").alias("text")))
-    return edits, fill.passed_jobs(filled.join(passed.select("job_id").distinct(), "job_id", "left_semi"), conflicts, problems, checks.filter("n_lost > 0"))
+    failed = [store.stored(df.select("job_id").distinct(), "failed") for df in (conflicts, problems, checks.filter("n_lost > 0"))]
+    return edits, fill.passed_jobs(filled.join(passed.select("job_id").distinct(), "job_id", "left_semi"), *failed), fill.passed_jobs(passed, *failed)
 
 
 def w3_filled_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,7 +481,7 @@ def w3_filled_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w3_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edits, filled = _filled_forms(spark, sf_dir)
+    edits, filled, _ = _filled_forms(spark, sf_dir)
     done = edits.filter("selected").join(filled.select("job_id").distinct(), "job_id", "left_semi")
     return fill.fill_report(edits, done).select("job_id", "n_applied", "n_skipped", "n_pending")
 
@@ -409,6 +513,7 @@ QUERIES = {
     for f in (r03_link_table_cells, g01_selected_edits, g01_edit_conflicts, g02_latest_edits, g03_guard_edits, g03_guard_problems, g05_apply_edits, g07_replace_first, g09_overflow_warnings, g11_fill_report, q01_diff_entries, q02_diff_shapes, q03_diff_fixed, q04_diff_protected, q05_check_applied, q06_read_back)
     + (q07_detection_quality, q08_fill_quality, q09_verdict, q10_sum_mismatch, q11_repeat_values, m01_batch_fields, m02_rank_blocks, m03_pack_blocks, m03_pack_report, m04_open_fields, m04_answers, m04_accepted_answers, p01_classify_roles, p02_skeleton_stats, p03_body_style, p04_role_map, p05_remap_ids, p06_units, p07_collapse_blank_runs, p08_content_loss, p09_leak_check, p10_image_consistency)
     + (s2_package_entries, s3_package_problems, s4_section_order, s4_spine_problems, s5_section_cells, s5_section_paragraphs, s5_section_runs, s5_nested_tables, s5_section_problems, s6_ns_clashes, w2_link_forms, w3_filled_forms, w3_fill_report, r03_scoped_labels, g04_overlaps)
+    + (g05_filled_packages, g05_package_problems, q01_tree_changes, t01_placed_cells, r04_link_zipped_sources, w3_filled_packages)
 }
 
 # SQL ------------------------------------------------------------------------------------------------------
@@ -449,6 +554,24 @@ _FORMS = f"""WITH {E.ORDER_DOCS}, jobs AS (SELECT 'j-' || o_orderkey AS job_id,
 ), form_fields AS (SELECT form_id, form_id || '-' || row || '-1' AS field_id, row, 1 AS col, name AS label, NULL::VARCHAR AS unit FROM labels UNION ALL SELECT form_id, form_id || '-' || row || '-0', row, 0, '', NULL FROM labels WHERE name = ''
 ), job_fields AS (SELECT j.job_id, j.k, j.doc_id, f.field_id, f.row, f.col, f.label, f.unit FROM jobs j JOIN form_fields f USING (form_id)), {E._MATCHES}, {E._RESULTS.replace("j.field_id, CASE", "j.field_id, j.row, j.col, j.label, CASE")}"""
 
+_PACKAGES = rf"""WITH z0 AS (SELECT *, string_split(text, chr(10)) AS l FROM ({_ZIPPED.removeprefix("z AS (").removesuffix(")")})
+), z AS (SELECT *, l[1] AS first FROM z0
+), tokens AS (
+  SELECT k, generate_subscripts(l, 1) - 1 AS i, replace(replace(replace(unnest(l), '&', '&amp;'), '>', '&gt;'), '<', '&lt;') AS t FROM z
+), filled AS (
+  SELECT 'p-' || z.k AS job_id, z.k, '<sec xmlns="http://www.hancom.co.kr/hwpml/2011/section"><p><run><t>doc ' || z.k || '</t></run></p><p><run><tbl>' || string_agg(
+    '<tr><tc><cellAddr rowAddr="' || i || '" colAddr="0"/><subList><p><run><t>line ' || i || '</t></run></p></subList></tc><tc><cellAddr rowAddr="' || i || '" colAddr="1"/><cellSpan colSpan="2" rowSpan="1"/><subList><p><run><t>'
+    || CASE WHEN i > 0 THEN t WHEN z.k % 3 = 0 THEN 'A&amp;B &lt;' || z.k || '&gt;' ELSE '「' || regexp_extract(t, '^(&[a-z]+;|.)') || ' &amp; ' || regexp_replace(t, '^(&[a-z]+;|.)', '') END || '</t></run></p></subList></tc></tr>', '' ORDER BY i) || '</tbl></run></p></sec>' AS content
+  FROM z JOIN tokens USING (k) WHERE m NOT IN (3, 4, 5) AND (z.k % 3 = 0 OR z.k % 3 = 1 AND first <> '') GROUP BY z.k)"""
+
+_SOURCES = """WITH lines AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS u, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey) AS many FROM lineitem GROUP BY 1, 2
+), so AS (SELECT o_orderkey AS k, o_orderpriority, CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) AS cents FROM orders SEMI JOIN lines ON lines.k = o_orderkey
+), scells AS (
+  SELECT k, s, row, col, row_span, col_span, text FROM so, (VALUES (0, 0, 0, 1, 1, '구분'), (0, 0, 1, 1, 1, '품명'), (0, 0, 2, 1, 2, '금액'), (1, 0, 0, 1, 1, '이름'), (1, 0, 1, 1, 1, '금액')) h(s, row, col, row_span, col_span, text)
+  UNION ALL SELECT k, 1, 1, 0, 1, 1, o_orderpriority FROM so UNION ALL SELECT k, 1, 1, 1, 1, 1, cents FROM so
+  UNION ALL SELECT k, 0, 1, 0, many, 1, '2024' FROM lines SEMI JOIN so USING (k) WHERE i = 1
+  UNION ALL SELECT k, 0, i, 1, 1, 1, 'line ' || n FROM lines SEMI JOIN so USING (k) UNION ALL SELECT k, 0, i, 2, 1, 1, CAST(p AS VARCHAR) FROM lines SEMI JOIN so USING (k) UNION ALL SELECT k, 0, i, 3, 1, 1, CAST(u AS VARCHAR) FROM lines SEMI JOIN so USING (k))"""
+
 ORACLE_SQL = {
     "r03_link_table_cells": """WITH i AS (SELECT l_orderkey AS k, CAST(l_linenumber AS INTEGER) AS r, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2), one AS (SELECT k FROM i GROUP BY 1 HAVING k % 6 <> 0 AND (k % 8 <> 0 OR count(*) = 1))
 SELECT CAST(k AS VARCHAR) AS job_id, 'a' AS field_id, CAST(r * 10 AS INTEGER) AS seq, 'line ' || r AS value FROM i SEMI JOIN one USING (k) WHERE r = 1
@@ -530,6 +653,21 @@ SELECT form_id, 'Contents/section1.xml' AS section, 0 AS table_idx, 2 * count(*)
     "w3_filled_forms": f"""{_FORMS}, done AS (SELECT DISTINCT job_id FROM results WHERE status = 'suggested' AND k % 3 <> 0 AND k % 10 <> 0), cells AS (SELECT 'f' || f AS form_id, r.* FROM range(3) t(f), (VALUES (0, 0, '항목'), (0, 1, '내용')) r(row, col, text)
   UNION ALL SELECT form_id, row, 0, name FROM labels UNION ALL SELECT form_id, row, 1, '' FROM labels)
 SELECT job_id, CAST(c.row AS INTEGER) AS row, CAST(c.col AS INTEGER) AS col, CASE WHEN r.status = 'suggested' THEN r.value ELSE c.text END AS new_text FROM done SEMI JOIN done d USING (job_id) JOIN jobs USING (job_id) JOIN cells c USING (form_id) LEFT JOIN (SELECT job_id AS j, row, col, status, value FROM results) r ON r.j = job_id AND r.row = c.row AND r.col = c.col""",
+    "g05_filled_packages": rf"""{_PACKAGES} SELECT job_id, path, pos, true AS crc_ok, pos <> 3 AS same, true AS in_place, CASE WHEN pos = 3 THEN sha256(content) END AS sha256
+FROM filled, (VALUES (0, 'mimetype'), (1, 'Preview/PrvText.txt'), (2, 'Contents/section0.xml'), (3, 'Contents/section1.xml'), (4, 'Contents/header.xml'), (5, 'Contents/content.hpf')) e(pos, path)""",
+    "g05_package_problems": rf"""{_PACKAGES} SELECT 'p-' || k AS job_id, form_id, CASE WHEN k % 3 = 1 THEN 'BAD_OFFSET' ELSE 'NO_RUN' END AS code FROM z WHERE m NOT IN (3, 4, 5) AND (k % 3 = 1 AND first = '' OR k % 3 = 2 AND k % 2 = 0)""",
+    "q01_tree_changes": rf"""{_PACKAGES} SELECT job_id AS form_id, 'Contents/section1.xml' AS section, path, tag, kind FROM filled, (VALUES ('0/1/0/0/0/1/2/0/0/0', 't', 'text', 1), ('0/1/0/0', 'tbl', 'attributes', 10)) c(path, tag, kind, every) WHERE k % every = 0""",
+    "t01_placed_cells": rf"""{_SOURCES} SELECT 'o-' || k AS form_id, 'Contents/section' || s || '.xml' AS section, 0 AS table_idx, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, CAST(row_span AS INTEGER) AS row_span, CAST(col_span AS INTEGER) AS col_span, text FROM scells""",
+    "r04_link_zipped_sources": rf"""{_SOURCES}, v AS (
+  SELECT 'j-' || o_orderkey AS job_id, field_id, CASE field_id WHEN 'a' THEN CASE WHEN k % 8 <> 0 THEN (SELECT text FROM scells c WHERE c.k = o.k AND s = 0 AND row = 1 AND col = 1) END
+    WHEN 'b' THEN CASE WHEN k % 8 <> 0 THEN (SELECT CAST(p AS VARCHAR) FROM lines l WHERE l.k = o.k AND l.n = 2) END WHEN 'c' THEN cents WHEN 'd' THEN CASE WHEN k % 8 <> 0 THEN o.o_orderpriority END WHEN 'e' THEN CASE WHEN k IS NOT NULL THEN '2024' END END AS value
+  FROM orders LEFT JOIN so o ON o.k = o_orderkey, (VALUES ('a'), ('b'), ('c'), ('d'), ('e')) f(field_id))
+SELECT job_id, field_id, CASE WHEN value IS NULL THEN 'missing' ELSE 'suggested' END AS status, value, CAST(value IS NOT NULL AS INTEGER) AS n_blocks, NULL::VARCHAR AS alternatives FROM v""",
+    "w3_filled_packages": rf"""WITH forms AS ({_FORMS}, done AS (SELECT DISTINCT job_id FROM results WHERE status = 'suggested' AND k % 3 <> 0 AND k % 10 <> 0), cells AS (SELECT 'f' || f AS form_id, r.* FROM range(3) t(f), (VALUES (0, 0, '항목'), (0, 1, '내용')) r(row, col, text)
+  UNION ALL SELECT form_id, row, 0, name FROM labels UNION ALL SELECT form_id, row, 1, '' FROM labels)
+SELECT job_id, CAST(c.row AS INTEGER) AS row, CAST(c.col AS INTEGER) AS col, CASE WHEN r.status = 'suggested' THEN r.value ELSE c.text END AS new_text FROM done SEMI JOIN done d USING (job_id) JOIN jobs USING (job_id) JOIN cells c USING (form_id) LEFT JOIN (SELECT job_id AS j, row, col, status, value FROM results) r ON r.j = job_id AND r.row = c.row AND r.col = c.col), made AS (
+  SELECT job_id, '<sec xmlns="http://www.hancom.co.kr/hwpml/2011/section"><p><run><tbl>' || string_agg(CASE WHEN col = 0 THEN '<tr>' ELSE '' END || '<tc><cellAddr rowAddr="' || row || '" colAddr="' || col || '"/><subList><p><run><t>' || replace(replace(replace(new_text, '&', '&amp;'), '>', '&gt;'), '<', '&lt;') || '</t></run></p></subList></tc>' || CASE WHEN col = 1 THEN '</tr>' ELSE '' END, '' ORDER BY row, col) || '</tbl></run></p></sec>' AS content FROM forms GROUP BY 1)
+SELECT job_id, pos, path, true AS crc_ok, pos <> 1 AS same, CASE WHEN pos = 1 THEN sha256(content) END AS sha256 FROM made, (VALUES (0, 'mimetype'), (1, 'Contents/section0.xml'), (2, 'Contents/content.hpf')) e(pos, path)""",
     "w3_fill_report": f"""{_FORMS} SELECT job_id, CAST(count(*) FILTER (k % 3 <> 0 AND k % 10 <> 0) AS BIGINT) AS n_applied, CAST(count(*) FILTER (k % 3 = 0) AS BIGINT) AS n_skipped, CAST(count(*) FILTER (k % 3 <> 0 AND k % 10 = 0) AS BIGINT) AS n_pending FROM results WHERE status = 'suggested' GROUP BY 1""",
     "r03_scoped_labels": f"""WITH {E.ORDER_DOCS}, form_fields(form_id, field_id, label, lo, hi) AS (VALUES ('', 'a', 'Status', 0, 99999), ('', 'b', 'Status', 0, 3), ('', 'c', 'Status', 4, 99999), ('', 'd', 'Customer', 1, 1), ('', 'e', '금액', 1, 1)
 ), job_fields AS (SELECT 'j-' || o_orderkey AS job_id, o_orderkey AS k, 'o-' || o_orderkey AS doc_id, f.* FROM orders, form_fields f), {E._MATCHES}

@@ -9,6 +9,7 @@ from slotweave.jobs import adapters as A
 from slotweave.jobs.extract_jobs import ORDER_DOCS
 from slotweave.operators import candidates, extract, tables
 from slotweave.operators.tables import TABLE
+from slotweave.sources import store
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -77,6 +78,11 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.form_fields(cells, A.grid_runs(cells))
 
 
+def stored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of all forms, detected once, for queries that need them several times."""
+    return store.stored(_fields(spark, sf_dir), "fields")
+
+
 def f01_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = A.order_grid(spark, sf_dir)
     return candidates.resolve_candidates(cells, A.grid_runs(cells)).select("form_id", "row", "col", "rule", "label", "unit", "required", "insert_offset")
@@ -125,7 +131,7 @@ def f17_form_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corrected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    fields = _fields(spark, sf_dir)
+    fields = stored_fields(spark, sf_dir)
     fix = fields.filter("row = 1 OR (row = 2 AND rule = 3)").select("form_id", "field_id", F.lit(" renamed ").alias("label"), (F.col("col") == 0).alias("enabled")).distinct()
     more = fields.filter("row = 1").select("form_id", F.lit("f-none").alias("field_id"), F.lit("x").alias("label"), F.lit(True).alias("enabled")).distinct()
     return candidates.correct_candidates(fields, fix.unionByName(more))

@@ -10,53 +10,86 @@ from slotweave.functions import textfn as X
 from slotweave.operators.tables import TABLE, table_fields
 
 CELL = [*TABLE, "row", "col"]
-_FIELD = [*CELL, "rule", "label", "unit", "required", "insert_offset", "para", "run"]
 
 
-def _shape(rows: DataFrame, rule: int, label: Column, unit: Column, required: Column) -> DataFrame:
+def address_facts(cells: DataFrame, runs: DataFrame) -> DataFrame:
+    """A row per address (CELL) with all that the rules ask of it: one shuffle, by table.
+
+    cells: CELL, col_span, text, has_nested, has_controls; runs: CELL, para, run, text. A label also counts at the address
+    right of it (behind its span), so no cell is joined with its neighbour. Columns: n_cells, blank (every cell),
+    busy (nested tables or controls), open (a blank cell without a nested table), label (the least of the labels left of
+    it), placeholder (a unit, where a cell holds a placeholder only), head (the column's first row has text), first_run
+    (paragraph 0 has a run 0) and slots.
+    """
+    is_label = X.is_label("text") & ~X.is_total("text") & ~F.col("has_nested")
+    event = lambda kind, col, text: F.struct(F.lit(kind).alias("kind"), col.alias("col"), text.alias("text"))
+    two = F.array_compact(F.array(event("cell", F.col("col"), F.col("text")), F.when(is_label, event("label", F.col("col") + F.col("col_span"), X.strip("text")))))
+    none = F.array().cast(f"array<struct<para:int,run:int,slots:{slots.SCHEMA}>>")
+    from_cells = cells.select(*TABLE, "row", "has_nested", "has_controls", none.alias("runs"), F.explode(two).alias("e")).select(*TABLE, "row", "e.col", "e.kind", "e.text", "has_nested", "has_controls", "runs")
+    found = F.when(F.col("text").contains(":"), F.col("text"))  # runs without a colon skip Python
+    own = F.struct("para", "run", F.col("slots"))
+    with_slots = runs.filter(found.isNotNull()).withColumn("slots", F.pandas_udf(slots.slots_series, slots.SCHEMA)("text"))
+    without = runs.filter(found.isNull()).withColumn("slots", F.lit(None).cast(slots.SCHEMA))
+    from_runs = with_slots.unionByName(without).select(*CELL, F.lit("run").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("has_nested"), F.lit(False).alias("has_controls"), F.array(own).alias("runs"))
+    rows = from_cells.unionByName(from_runs.select(from_cells.columns)).repartition(*TABLE)
+
+    cell, blank = F.col("kind") == "cell", X.is_blank("text")
+    unit = F.when(cell & X.is_placeholder("text") & ~F.col("has_nested"), X.placeholder_unit(X.strip("text")))
+    at = rows.groupBy(*CELL).agg(
+        F.count(F.when(cell, 1)).alias("n_cells"),
+        F.bool_and(F.when(cell, blank)).alias("blank"),
+        F.bool_or(F.when(cell, F.col("has_nested") | F.col("has_controls"))).alias("busy"),
+        F.bool_or(cell & blank & ~F.col("has_nested")).alias("open"),
+        F.min(F.when(F.col("kind") == "label", F.col("text"))).alias("label"),
+        F.min(unit).alias("placeholder"),
+        F.bool_or(cell & (F.col("row") == 0) & ~blank).alias("titled"),
+        F.flatten(F.collect_list("runs")).alias("runs"),
+    )
+    head = F.coalesce(F.max("titled").over(Window.partitionBy(*TABLE, "col")), F.lit(False))
+    first_run = F.exists("runs", lambda r: (r["para"] == 0) & (r["run"] == 0))
+    each = F.flatten(F.transform("runs", lambda r: F.transform(F.coalesce(r["slots"], F.array().cast(slots.SCHEMA)), lambda s: F.struct(s["label"].alias("label"), s["unit"].alias("unit"), s["required"].alias("required"), s["insert_offset"].alias("insert_offset"), r["para"].alias("para"), r["run"].alias("run")))))
+    return at.withColumns({"head": head, "first_run": first_run, "slots": each}).drop("titled", "runs")
+
+
+#: Of a candidate besides its address.
+_CANDIDATE = "struct<rule:int,label:string,unit:string,required:boolean,insert_offset:int,para:int,run:int>"
+
+
+def _candidate(rule: int, label: Column, unit: Column, required: Column) -> Column:
     none = F.lit(None).cast("int")
-    return rows.select(*CELL, F.lit(rule).alias("rule"), label.alias("label"), unit.alias("unit"), required.alias("required"), none.alias("insert_offset"), F.lit(0).alias("para"), F.lit(0).alias("run"))
+    return F.struct(F.lit(rule).alias("rule"), label.alias("label"), unit.alias("unit"), required.alias("required"), none.alias("insert_offset"), F.lit(0).alias("para"), F.lit(0).alias("run")).cast(_CANDIDATE)
 
 
-def detect_right_of_label(cells: DataFrame) -> DataFrame:
+def right_of_label() -> Column:
     """Rule 1: an empty cell right of a label cell (behind its span); totals and nested tables don't count."""
-    labels = cells.filter(X.is_label("text") & ~X.is_total("text") & ~F.col("has_nested"))
-    labels = labels.select(*TABLE, "row", (F.col("col") + F.col("col_span")).alias("col"), X.strip("text").alias("l"))
-    blank = cells.filter(X.is_blank("text") & ~F.col("has_nested"))
-    return _shape(blank.join(labels, CELL), 1, F.col("l"), X.label_unit("l"), X.is_required("l"))
+    return F.when(F.col("open") & F.col("label").isNotNull(), F.array(_candidate(1, F.col("label"), X.label_unit("label"), X.is_required("label"))))
 
 
-def detect_under_header(cells: DataFrame) -> DataFrame:
-    """Rule 2: an empty cell under a column whose first row has text."""
-    heads = cells.filter((F.col("row") == 0) & ~X.is_blank("text")).select(*TABLE, "col").distinct()
-    blank = cells.filter((F.col("row") > 0) & X.is_blank("text") & ~F.col("has_nested"))
-    return _shape(blank.join(heads, [*TABLE, "col"], "left_semi"), 2, F.lit(""), F.lit("text"), F.lit(False))
+def inline_slots() -> Column:
+    """Rule 4: slots behind `label :` inside a run, each with its insert offset."""
+    each = F.transform("slots", lambda s: F.struct(F.lit(4).alias("rule"), s["label"].alias("label"), s["unit"].alias("unit"), s["required"].alias("required"), s["insert_offset"].alias("insert_offset"), s["para"].alias("para"), s["run"].alias("run")).cast(_CANDIDATE))
+    return F.when(F.size("slots") > 0, each)
 
 
-def detect_placeholders(cells: DataFrame) -> DataFrame:
-    """Rule 3: a cell that holds a placeholder or unit only; its field is protected."""
-    return _shape(cells.filter(X.is_placeholder("text") & ~F.col("has_nested")), 3, F.lit(""), X.placeholder_unit(X.strip("text")), F.lit(False))
+def under_header() -> Column:
+    """Rule 2: an empty cell under a column whose first row has text."""
+    return F.when(F.col("open") & (F.col("row") > 0) & F.col("head"), F.array(_candidate(2, F.lit(""), F.lit("text"), F.lit(False))))
 
 
-def detect_inline_slots(runs: DataFrame) -> DataFrame:
-    """Rule 4: slots behind `label :` inside a run, each with its insert offset; runs without a colon skip Python."""
-    some = runs.filter(F.col("text").contains(":"))
-    found = some.select(*CELL, "para", "run", F.explode(F.pandas_udf(slots.slots_series, slots.SCHEMA)("text")).alias("s"))
-    return found.select(*CELL, F.lit(4).alias("rule"), "s.label", "s.unit", "s.required", "s.insert_offset", "para", "run").select(*_FIELD)
+def placeholder() -> Column:
+    """Rule 3: a cell that holds a placeholder or unit only; its field is protected."""
+    return F.when(F.col("placeholder").isNotNull(), F.array(_candidate(3, F.lit(""), F.col("placeholder"), F.lit(False))))
 
 
-#: Precedence of the rules; one rule per cell, and rule 4 may give several fields.
-_ORDER = {1: 0, 4: 1, 2: 2, 3: 3}
+def _first_rule(at: DataFrame) -> DataFrame:
+    """The candidates of each address's first rule, in order of precedence; rule 4 may give several."""
+    rows = at.withColumn("_found", F.coalesce(right_of_label(), inline_slots(), under_header(), placeholder()))
+    return rows.drop("label", "slots", "placeholder", "open", "head").select("*", F.inline("_found")).drop("_found")
 
 
 def resolve_candidates(cells: DataFrame, runs: DataFrame) -> DataFrame:
     """All rules' candidates, of each cell those of its first rule."""
-    every = detect_right_of_label(cells).unionByName(detect_inline_slots(runs)).unionByName(detect_under_header(cells)).unionByName(detect_placeholders(cells))
-    order = F.element_at(F.create_map(*[F.lit(x) for kv in _ORDER.items() for x in kv]), F.col("rule"))
-    rank = F.rank().over(Window.partitionBy(*CELL).orderBy("order"))
-    first = F.row_number().over(Window.partitionBy(*CELL, "rule", "para", "run", "insert_offset").orderBy("label"))
-    ranked = every.withColumn("order", order).withColumns({"rank": rank, "first": first})
-    return ranked.filter("rank = 1 AND (rule = 4 OR first = 1)").drop("order", "rank", "first")
+    return _first_rule(address_facts(cells, runs)).select(*CELL, "rule", "label", "unit", "required", "insert_offset", "para", "run")
 
 
 def with_field_id(fields: DataFrame) -> DataFrame:
@@ -65,24 +98,21 @@ def with_field_id(fields: DataFrame) -> DataFrame:
     return fields.withColumn("field_id", F.concat(F.lit("f-"), F.substring(F.sha2(place, 256), 1, 24)))
 
 
-def with_editability(fields: DataFrame, cells: DataFrame, runs: DataFrame) -> DataFrame:
-    """editable and reason, the first that fails: one cell at the address, plain text only, empty unless rule 4, run there."""
-    at = cells.groupBy(*CELL).agg(F.count("*").alias("n"), F.bool_or(F.col("has_nested") | F.col("has_controls")).alias("busy"), F.bool_and(X.is_blank("text")).alias("blank"))
-    there = runs.select(*CELL, "para", "run").distinct().withColumn("has_run", F.lit(True))
-    rows = fields.join(at, CELL, "left").join(there, [*CELL, "para", "run"], "left")
+def form_fields(cells: DataFrame, runs: DataFrame) -> DataFrame:
+    """The forms' fields, from detection to editability, after one shuffle by table.
+
+    editable and reason, the first that fails: one cell at the address, no placeholder, plain text only, empty unless
+    rule 4, a run there.
+    """
     reason = (
-        F.when(F.coalesce("n", F.lit(0)) != 1, "address")
+        F.when(F.col("n_cells") != 1, "address")
         .when(F.col("rule") == 3, "placeholder")
         .when(F.col("busy"), "controls")
         .when((F.col("rule") != 4) & ~F.col("blank"), "not empty")
-        .when(~F.coalesce("has_run", F.lit(False)), "no run")
+        .when((F.col("rule") != 4) & ~F.col("first_run"), "no run")
     )
-    return rows.withColumn("reason", reason).withColumn("editable", F.col("reason").isNull()).drop("n", "busy", "blank", "has_run")
-
-
-def form_fields(cells: DataFrame, runs: DataFrame) -> DataFrame:
-    """The forms' fields, from detection to editability."""
-    return with_editability(with_field_id(resolve_candidates(cells, runs)), cells, runs)
+    rows = with_field_id(_first_rule(address_facts(cells, runs)))
+    return rows.withColumn("reason", reason).withColumn("editable", F.col("reason").isNull()).drop("n_cells", "blank", "busy", "first_run")
 
 
 def classify_paragraphs(paragraphs: DataFrame) -> DataFrame:
@@ -156,7 +186,7 @@ def public_fields(fields: DataFrame) -> DataFrame:
 def form_profile(fields: DataFrame) -> DataFrame:
     """Per form the number of fields by rule, editable and protected ones, and a warning when some are protected."""
     count = lambda test: F.sum(F.when(test, 1).otherwise(0))
-    out = fields.groupBy("form_id").agg(F.count("*").alias("n_fields"), *[count(F.col("rule") == r).alias(f"n_rule{r}") for r in _ORDER], count(F.col("editable")).alias("n_editable"), count(~F.col("editable")).alias("n_protected"))
+    out = fields.groupBy("form_id").agg(F.count("*").alias("n_fields"), *[count(F.col("rule") == r).alias(f"n_rule{r}") for r in (1, 4, 2, 3)], count(F.col("editable")).alias("n_editable"), count(~F.col("editable")).alias("n_protected"))
     return out.withColumn("warning", F.when(F.col("n_protected") > 0, F.format_string("%d protected", "n_protected")))
 
 

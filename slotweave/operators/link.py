@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotweave.functions import textfn as X
+from slotweave.operators.tables import TABLE, col_labels
 
 #: Labels that mean the same column (fixed pairs), by their normalised form.
 SYNONYMS = {"품명": "항목", "이름": "성명"}
@@ -58,6 +59,25 @@ def link_labels(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     return found.select("job_id", "field_id", "seq", "block_id", "quote", "value")
 
 
+def source_cells(cells: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Cells of zipped sources as link_table_cells takes them.
+
+    cells: form_id (the document), section (its part), table_idx, row, col, col_span, text; scopes: form_id, part,
+    table_idx, title and section, as table_scopes finds them. A column's label is the text of the table's first row
+    over the columns that it spans; rows count from the one below. A table without a title and section is left out by the
+    linker.
+    """
+    labels = col_labels(cells)
+    top = F.min("row").over(Window.partitionBy(*TABLE))
+    rows = cells.withColumn("_top", top).filter(F.col("row") > F.col("_top")).join(labels, [*TABLE, "col"], "left")
+    rows = rows.withColumnRenamed("section", "part").join(scopes, ["form_id", "part", "table_idx"], "left")
+    place = F.concat_ws("/", "part", "table_idx", "row", "col")
+    block = F.concat(F.lit("b-"), F.substring(F.sha2(F.concat_ws(":", "form_id", place), 256), 1, 24))
+    table_id = F.concat_ws(":", "part", F.col("table_idx").cast("string"))
+    seq = F.col("table_idx") * F.lit(1 << 40) + F.shiftleft(F.col("row").cast("long"), 20) + F.col("col")
+    return rows.select(F.col("form_id").alias("doc_id"), "title", "section", table_id.alias("table_id"), seq.alias("seq"), block.alias("block_id"), (F.col("row") - F.col("_top")).alias("row"), "col", "col_label", "text")
+
+
 def link_table_cells(fields: DataFrame, cells: DataFrame) -> DataFrame:
     """(job_id, field_id, seq, block_id, quote, value): source cells that answer a field by place and meaning.
 

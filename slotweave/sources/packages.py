@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slotweave.functions import textfn as X
 from slotweave.schemas import ENTRIES
 
 MAX_ENTRIES, MAX_BYTES = 5_000, 50_000_000
@@ -72,13 +73,16 @@ def read_packages(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def check_packages(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ok entries, problems (form_id, path, code)): forms that fail a guard leave with all their entries."""
-    running = F.sum("size").over(Window.partitionBy("form_id").orderBy("pos"))
-    copies = F.count("*").over(Window.partitionBy("form_id", "path"))
+    """(ok entries, problems (form_id, path, code)): forms that fail a guard leave with all their entries.
+
+    Only the entries' columns besides content are shuffled, once, by form; entries are read again for the result, so they
+    should be a stored table.
+    """
     first = (F.col("pos") == 0) & ~((F.col("path") == "mimetype") & (F.col("method") == 0) & (F.col("content") == F.lit(MIMETYPE)))
-    rows = entries.withColumn("_first", first).drop("content")  # contents are not sorted or counted
-    have = rows.groupBy("form_id").agg(F.bool_or(F.col("path") == MANIFEST).alias("has"))
-    rows = rows.withColumns({"_sum": running, "_copies": copies})
+    rows = entries.withColumn("_first", first).drop("content")
+    form, so_far = Window.partitionBy("form_id"), Window.partitionBy("form_id").orderBy("pos")
+    rows = rows.withColumns({"_sum": F.sum("size").over(so_far), "_has": F.max(F.col("path") == MANIFEST).over(form)})
+    rows = rows.withColumn("_copies", F.count("*").over(Window.partitionBy("form_id", "path")))
     code = (
         F.when(F.col("error").isNotNull(), F.substring_index("error", ":", 1))
         .when(F.col("_copies") > 1, "DUPLICATE_PATH")
@@ -89,14 +93,15 @@ def check_packages(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(~F.col("crc_ok"), "BAD_CRC")
         .when(F.col("_first"), "BAD_MIMETYPE")
     )
-    problems = rows.withColumn("code", code).filter("code IS NOT NULL").select("form_id", "path", "code").distinct()
-    absent = have.filter(~F.col("has")).select("form_id", F.lit(MANIFEST).alias("path"), F.lit("MISSING_PART").alias("code"))
-    problems = problems.unionByName(absent.join(problems.select("form_id").distinct(), "form_id", "left_anti"))
+    rows = rows.withColumn("code", code).withColumn("_bad", F.max(F.col("code").isNotNull()).over(form))
+    absent = ~F.col("_bad") & ~F.col("_has")  # said of forms without another problem
+    rows = rows.withColumns({"path": F.when(absent, MANIFEST).otherwise(F.col("path")), "code": F.when(absent, "MISSING_PART").otherwise(F.col("code"))})
+    problems = rows.filter("code IS NOT NULL").select("form_id", "path", "code").distinct()
     return entries.join(problems.select("form_id").distinct(), "form_id", "left_anti"), problems
 
 
-def manifests(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(manifest (form_id, item_id, path), spine (form_id, ord, item_id)) from each form's manifest entry."""
+def manifest_rows(entries: DataFrame) -> DataFrame:
+    """(form_id, kind (item or ref), ord, item_id, path) of each form's manifest entry."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -111,7 +116,11 @@ def manifests(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
                 rows += [(form, "ref", i, e.get("idref"), None) for i, e in enumerate(e for t, e in local if t == "itemref")]
             yield pd.DataFrame(rows, columns=["form_id", "kind", "ord", "item_id", "path"])
 
-    rows = entries.filter(F.col("path") == MANIFEST).select("form_id", "content").mapInPandas(run, "form_id string, kind string, ord int, item_id string, path string")
+    return entries.filter(F.col("path") == MANIFEST).select("form_id", "content").mapInPandas(run, "form_id string, kind string, ord int, item_id string, path string")
+
+
+def manifests(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(manifest (form_id, item_id, path), spine (form_id, ord, item_id)) of manifest_rows."""
     return rows.filter("kind = 'item'").select("form_id", "item_id", "path"), rows.filter("kind = 'ref'").select("form_id", "ord", "item_id")
 
 
@@ -137,27 +146,67 @@ OWN_NAMESPACE = "http://www.hancom.co.kr/hwpml/"
 _BOX = ["table_idx", "row", "col", "row_span", "col_span"]
 
 
+class TableState:
+    """Where the cells of a table stand: as addressed, else in the first free column, spans from above counted."""
+
+    def __init__(self) -> None:
+        self.number, self.at, self._column, self._taken = 0, -1, 0, {}
+
+    def row(self) -> TableState:
+        self.at += 1
+        self._column = 0
+        self._taken = {c: end for c, end in self._taken.items() if end > self.at}
+        return self
+
+    def place(self, address: tuple[int, str | None] | None, spans: tuple[int, int]) -> tuple[int, int, int]:
+        """(table, row, column) of the next cell with the given address, if any, and (rows, columns) that it spans."""
+        row, column = address or (self.at, None)
+        if column is None:
+            while self._column in self._taken:
+                self._column += 1
+            column = self._column
+        column = int(column)
+        for c in range(column, column + max(spans[1], 1)):
+            self._taken[c] = max(self._taken.get(c, 0), row + max(spans[0], 1))
+        self._column = column + max(spans[1], 1)
+        return self.number, row, column
+
+
+class Tables:
+    """Tables of a section, numbered in the order in which they begin."""
+
+    def __init__(self) -> None:
+        self._count = itertools.count()
+
+    def table(self) -> TableState:
+        state = TableState()
+        state.number = next(self._count)
+        return state
+
+
 def section_rows(content: bytes) -> Iterator[dict]:
     """Rows of a section in document order, by kind.
 
     table: a table (numbered over the section, inner ones too) with the cell that it lies in, if any, as row, col and
     para (its parent's number); cell: with its own runs' text, what inner tables hold left out; run: of a cell; para: a
-    paragraph's own text with the address of the nearest cell, if any; element: each namespace and local name once.
+    paragraph's own text with the address of the nearest cell, if any (place orders tables and paragraphs); element: each namespace and local name once.
     """
     root = ET.fromstring(content)
     kids = lambda node, name: [c for c in node if _local(c.tag) == name]
-    tables, paras = itertools.count(), itertools.count()
+    tables, paras, places = Tables(), itertools.count(), itertools.count()
     said = lambda run: "".join("".join(t.itertext()) for t in kids(run, "t"))
 
     def table(node: ET.Element, cell: dict) -> Iterator[dict]:
-        t = next(tables)
-        yield {"kind": "table", "table_idx": t, "row": cell.get("row"), "col": cell.get("col"), "para": cell.get("table_idx")}
-        for r, tr in enumerate(kids(node, "tr")):
-            for c, tc in enumerate(kids(tr, "tc")):
+        state = tables.table()
+        t = state.number
+        yield {"kind": "table", "table_idx": t, "row": cell.get("row"), "col": cell.get("col"), "para": cell.get("table_idx"), "place": next(places)}
+        for tr in kids(node, "tr"):
+            state.row()
+            for tc in kids(tr, "tc"):
                 addr, span = (kids(tc, "cellAddr") or [None])[0], (kids(tc, "cellSpan") or [None])[0]
-                at = (int(addr.get("rowAddr", r)), int(addr.get("colAddr", c))) if addr is not None else (r, c)
                 spans = (int(span.get("rowSpan", 1)), int(span.get("colSpan", 1))) if span is not None else (1, 1)
-                box = dict(zip(_BOX, (t, *at, *spans), strict=True))
+                at = state.place((int(addr.get("rowAddr", state.at)), addr.get("colAddr")) if addr is not None else None, spans)
+                box = dict(zip(_BOX, (*at, *spans), strict=True))
                 runs = [(p, q, said(run)) for sub in kids(tc, "subList") for p, para in enumerate(kids(sub, "p")) for q, run in enumerate(kids(para, "run"))]
                 names = {_local(e.tag) for e in tc.iter()}
                 yield {"kind": "cell", **box, "text": "".join(x for _, _, x in runs), "has_nested": "tbl" in names, "has_controls": bool(names & {"ctrl", "pic", "equation", "ole"})}
@@ -171,7 +220,7 @@ def section_rows(content: bytes) -> Iterator[dict]:
                 yield from table(child, cell)
                 continue
             if name == "p":
-                yield {"kind": "para", **cell, "para": next(paras), "text": "".join(said(run) for run in kids(child, "run"))}
+                yield {"kind": "para", **cell, "para": next(paras), "place": next(places), "text": "".join(said(run) for run in kids(child, "run"))}
             yield from walk(child, cell)
 
     yield from walk(root, {})
@@ -180,10 +229,12 @@ def section_rows(content: bytes) -> Iterator[dict]:
 
 
 def section_parts(sections: DataFrame) -> DataFrame:
-    """All rows of sections (form_id, path, content), see section_rows, with the section's path; a section that can't be
-    read gives one row of kind `problem` whose name is the code. DOCTYPE and ENTITY are unsafe."""
+    """All rows of sections (form_id, path, content and perhaps ord), see section_rows, with the section's path and ord; a
+    section that can't be read gives one row of kind `problem` whose name is the code. DOCTYPE and ENTITY are unsafe.
 
-    kinds = {"form_id": "string", "section": "string", "kind": "string", **dict.fromkeys(_BOX, "int"), "text": "string", "has_nested": "boolean", "has_controls": "boolean", "para": "int", "run": "int", "namespace": "string", "name": "string"}
+    A section is parsed here once; what follows reads these rows, so they should be stored where several need them."""
+
+    kinds = {"form_id": "string", "section": "string", "ord": "int", "kind": "string", **dict.fromkeys(_BOX, "int"), "text": "string", "has_nested": "boolean", "has_controls": "boolean", "para": "int", "run": "int", "place": "int", "namespace": "string", "name": "string"}
     arrow = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
     schema = pa.schema([(name, arrow[kind]) for name, kind in kinds.items()])
 
@@ -198,38 +249,60 @@ def section_parts(sections: DataFrame) -> DataFrame:
                         rows = list(section_rows(data))
                     except (ET.ParseError, ValueError):
                         code = "BAD_XML"
-                own = {"form_id": section["form_id"], "section": section["path"]}
+                own = {"form_id": section["form_id"], "section": section["path"], "ord": section["ord"]}
                 yield pa.RecordBatch.from_pylist([{**own, **row} for row in ([{"kind": "problem", "name": code}] if code else rows)], schema)
 
-    return sections.select("form_id", "path", "content").mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+    order = F.col("ord").cast("int") if "ord" in sections.columns else F.lit(None).cast("int")
+    return sections.select("form_id", "path", "content", order.alias("ord")).mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+
+
+def cells_of(parts: DataFrame) -> DataFrame:
+    return parts.filter("kind = 'cell'").select("form_id", "section", *_BOX, "text", "has_nested", "has_controls")
+
+
+def runs_of(parts: DataFrame) -> DataFrame:
+    return parts.filter("kind = 'run'").select("form_id", "section", "table_idx", "row", "col", "para", "run", "text")
+
+
+def problems_of(parts: DataFrame) -> DataFrame:
+    return parts.filter("kind = 'problem'").select("form_id", F.col("section").alias("path"), F.col("name").alias("code"))
 
 
 def parse_sections(sections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells, runs, problems (form_id, path, code)) of sections (form_id, path, content)."""
-    rows = section_parts(sections)
-    cells = rows.filter("kind = 'cell'").select("form_id", "section", *_BOX, "text", "has_nested", "has_controls")
-    runs = rows.filter("kind = 'run'").select("form_id", "section", "table_idx", "row", "col", "para", "run", "text")
-    return cells, runs, rows.filter("kind = 'problem'").select("form_id", F.col("section").alias("path"), F.col("name").alias("code"))
-
-
-def section_paragraphs(sections: DataFrame) -> DataFrame:
-    """(form_id, ord, section, seq, table address, text): paragraphs of sections (form_id, ord, path, content) in the order of
-    the form; seq rises over all its sections."""
-    rows = section_parts(sections).filter("kind = 'para'").select("form_id", "section", *_BOX, "para", "text")
-    order = sections.select("form_id", F.col("path").alias("section"), "ord")
-    rows = rows.join(order, ["form_id", "section"])
+    parts = section_parts(sections)
+    return cells_of(parts), runs_of(parts), problems_of(parts)
+
+
+def section_paragraphs(parts: DataFrame) -> DataFrame:
+    """(form_id, ord, section, seq, table address, text): paragraphs of section_parts in the order of the form; seq rises over
+    all its sections."""
+    rows = parts.filter("kind = 'para'").select("form_id", "section", *_BOX, "para", "text", "ord")
     return rows.withColumn("seq", F.shiftleft(F.col("ord").cast("long"), 32) + F.col("para")).drop("para")
 
 
-def nested_tables(sections: DataFrame) -> DataFrame:
+def table_scopes(parts: DataFrame, marks: dict[str, str]) -> DataFrame:
+    """(form_id, part, table_idx, a column for each mark): what the last paragraph before a table says behind each mark
+    and a colon, all sections of the form in order; null where none stands before it.
+
+    An as-of join of marked paragraphs outside of tables to tables, as one window over both.
+    """
+    rows = parts.filter("kind = 'table' OR kind = 'para' AND table_idx IS NULL").select("form_id", F.col("section").alias("part"), "table_idx", "ord", "place", "kind", "text")
+    before = Window.partitionBy("form_id").orderBy("ord", "place").rowsBetween(Window.unboundedPreceding, -1)
+    said = lambda mark: F.when((F.col("kind") == "para") & X.strip("text").startswith(f"{mark}:"), X.strip(F.substr(X.strip("text"), F.lit(len(mark) + 2))))
+    rows = rows.withColumns({name: F.last(said(mark), ignorenulls=True).over(before) for name, mark in marks.items()})
+    return rows.filter("kind = 'table'").select("form_id", "part", "table_idx", *marks)
+
+
+def nested_tables(parts: DataFrame) -> DataFrame:
     """(form_id, section, table_idx, parent_table, parent_row, parent_col) of the tables that lie in a cell."""
-    rows = section_parts(sections).filter("kind = 'table' AND para IS NOT NULL")
+    rows = parts.filter("kind = 'table' AND para IS NOT NULL")
     return rows.select("form_id", "section", "table_idx", F.col("para").alias("parent_table"), F.col("row").alias("parent_row"), F.col("col").alias("parent_col"))
 
 
-def section_elements(sections: DataFrame) -> DataFrame:
+def section_elements(parts: DataFrame) -> DataFrame:
     """(form_id, section, namespace, local_name, foreign): the names that a section uses."""
-    rows = section_parts(sections).filter("kind = 'element'")
+    rows = parts.filter("kind = 'element'")
     return rows.select("form_id", "section", "namespace", F.col("name").alias("local_name"), (~F.col("namespace").startswith(OWN_NAMESPACE)).alias("foreign"))
 
 

@@ -27,4 +27,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once and return a reader of it, so that later steps never compute it again."""
     path = f"{shared_dir(df.sparkSession)}/slotweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a stored table that nothing will read again."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -40,11 +40,11 @@ def test_nested_tables_and_unsafe_xml(spark):
     cells, runs, problems = packages.parse_sections(rows)
     assert {(r.section, r.table_idx, r.row, r.col, r.text, r.has_nested) for r in cells.collect()} == {("a/section0.xml", 0, 2, 1, "out", True), ("a/section0.xml", 1, 0, 0, "in", False)}
     assert {(r.form_id, r.code) for r in problems.collect()} == {("g", "UNSAFE_XML"), ("h", "BAD_XML")}
-    nested = packages.nested_tables(rows).collect()
+    nested = packages.nested_tables(packages.section_parts(rows)).collect()
     assert [(r.table_idx, r.parent_table, r.parent_row, r.parent_col) for r in nested] == [(1, 0, 2, 1)]
     from pyspark.sql import functions as F
 
-    paragraphs = packages.section_paragraphs(rows.withColumn("ord", F.lit(3))).orderBy("seq").collect()
+    paragraphs = packages.section_paragraphs(packages.section_parts(rows.withColumn("ord", F.lit(3)))).orderBy("seq").collect()
     assert [(r.table_idx, r.row, r.col, r.text) for r in paragraphs] == [(0, 2, 1, "out"), (1, 0, 0, "in")]
 
 
@@ -52,7 +52,7 @@ def test_sections_of_one_basename_and_foreign_names(spark):
     own = packages.OWN_NAMESPACE + "2011/section"
     xml = f'<sec xmlns="{own}"><p><run><t>x</t></run></p><y:p xmlns:y="urn:y"/></sec>'.encode()
     rows = spark.createDataFrame([("f", "a/section0.xml", xml), ("f", "b/section0.xml", b"<y:p xmlns:y='urn:y'/>")], "form_id string, path string, content binary")
-    clashes = packages.ns_clashes(packages.section_elements(rows)).collect()
+    clashes = packages.ns_clashes(packages.section_elements(packages.section_parts(rows))).collect()
     assert [(r.section, r.local_name) for r in clashes] == [("a/section0.xml", "p")]
 
 
