@@ -1,20 +1,23 @@
 """Language identification by cross-parsing entropy.
 
-Per language a suffix automaton of labelled text accepts exactly that text's substrings. A text is parsed
-against each automaton into phrases, each the longest match from where the last one ended; the language that
-needs the fewest phrases per letter parsed wins. Texts are parsed whole, in stretches of STRETCH symbols that
-each start a phrase, so that thousands of stretches advance together, one numpy step per symbol; the bound
-on the extra phrases (one a stretch) is the same for every language.
+Per language a suffix automaton of labelled text accepts exactly that text's substrings. Only letters count: texts
+are lower-cased, and whatever stands between letters is one space, so that signs and numbers, which no language owns,
+decide nothing. A text is parsed against each automaton into phrases, each the longest match from where the last one
+ended. Longer samples give longer matches, so the estimate of the cross-entropy is phrases * log2(length of the
+language's sample) for each symbol parsed, and the language of the least wins. Texts are parsed whole, in stretches of
+STRETCH symbols that each start a phrase, so that thousands of stretches advance together, one numpy step per symbol; the
+bound on the extra phrases (one a stretch) is the same for every language.
 
 The automata are fitted on a bounded sample of the labelled rows, for every language with any: of its SAMPLE_DOCS
-documents of least hash those, whole, whose characters together stay within SAMPLE_CHARS (at least one document).
-Transitions are kept in a hash table over (state, character), so any number of different characters is told apart.
+documents of least hash the first ones whose characters together stay within SAMPLE_CHARS, of which a text gives at most its
+first DOC_CHARS. Transitions are kept in a hash table over (state, character), so any number of different characters is told apart.
 Each worker builds the automata from that sample; a language takes about 8 MB there.
 """
 
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +30,7 @@ from .storage import small
 
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 120_000
+DOC_CHARS = 15_000
 STRETCH = 256
 #: Symbols parsed together.
 LANES = 1 << 20
@@ -77,6 +81,7 @@ class Model:
     langs: list[str]
     symbol: np.ndarray  # of each code point; 0: one that the sample does not hold
     step: list[Transitions]
+    bits: np.ndarray  # log2 of the length of each language's sample
 
 
 def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
@@ -109,17 +114,30 @@ def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
     return nxt
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+@functools.cache
+def _is_letter() -> np.ndarray:
+    """Of each code point whether it is a letter, or a mark on one."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+
+
+def letters(text: str) -> np.ndarray:
+    """Code points of a text's letters, lower-cased; one space for all that stands between two words."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    is_letter = _is_letter()[points]
+    keep = is_letter.copy()
+    keep[1:] |= is_letter[:-1]  # the first of what follows a letter
+    return np.where(is_letter, points, np.uint32(32))[keep]
 
 
 def fit(sample: dict[str, list[str]]) -> Model:
     """Automata of the sampled texts of each language."""
-    joined = {lang: code_points("\n".join(texts)) for lang, texts in sorted(sample.items())}
+    joined = {lang: letters("\n".join(texts)) for lang, texts in sorted(sample.items())}
+    joined = {lang: text for lang, text in joined.items() if len(text)}
     symbol = np.zeros(0x110000, np.int64)
     known = np.unique(np.concatenate([*joined.values(), np.zeros(0, np.uint32)]))
     symbol[known] = np.arange(1, len(known) + 1)
-    return Model(list(joined), symbol, [Transitions(suffix_automaton(symbol[text]), len(known) + 1) for text in joined.values()])
+    steps = [Transitions(suffix_automaton(symbol[text]), len(known) + 1) for text in joined.values()]
+    return Model(list(joined), symbol, steps, np.log2([len(text) + 1 for text in joined.values()]))
 
 
 @functools.lru_cache(2)
@@ -165,21 +183,21 @@ def predict(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float]
         while j < len(texts) and (j == i or size + len(texts[j] or "") <= LANES):
             size += len(texts[j] or "")
             j += 1
-        points = [code_points(t or "") for t in texts[i:j]]
+        points = [letters(t or "") for t in texts[i:j]]
         offsets = np.concatenate(([0], np.cumsum([len(p) for p in points]))).astype(np.int64)
         counts = phrases(model, model.symbol[np.concatenate(points)], offsets)
         for t, c, n in zip(texts[i:j], counts, np.diff(offsets), strict=True):
             if not model.langs or not t or not any(map(str.isalpha, t)):
                 yield "und", 0.0
                 continue
-            rate = np.sort(c) / max(1, n)
-            best = model.langs[int(np.argmin(c))]
-            yield best, 1.0 if len(rate) == 1 else float(rate[1] / (rate[0] + rate[1]))
+            entropy = c * model.bits / max(1, n)
+            best, least = model.langs[int(np.argmin(entropy))], np.sort(entropy)
+            yield best, 1.0 if len(least) == 1 else float(least[1] / (least[0] + least[1]))
         i = j
 
 
 def training_sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Per language whole texts of at most SAMPLE_CHARS characters together (or else the shortest one).
+    """Per language texts, cut at DOC_CHARS, of at most SAMPLE_CHARS characters together.
 
     Ids are ranked within parts of a language before the parts meet, and only the chosen texts are read.
     """
@@ -189,12 +207,10 @@ def training_sample(docs: DataFrame) -> dict[str, list[str]]:
     keyed = keyed.withColumn("part", F.pmod("h", F.lit(16))).withColumn("ok", least("part")).filter("ok")
     chosen = keyed.withColumn("ok", least()).filter("ok").select("lang", "doc_id").distinct()  # SAMPLE_DOCS ids a language
     chosen = small(chosen, "labelled-sample")
-    rows = labelled.join(chosen, ["lang", "doc_id"], "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), "text", F.length("text").alias("n"))
-    fits = F.when(F.col("n") <= SAMPLE_CHARS // 2, F.col("n"))
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    rows = rows.withColumn("upto", F.when(fits.isNotNull(), F.sum(fits).over(order))).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("n", "h", "text")))
+    rows = labelled.join(chosen, ["lang", "doc_id"], "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DOC_CHARS).alias("text"))
+    rows = rows.withColumn("upto", F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, 0)))
     out: dict[str, list[str]] = {}
-    for lang, _, text in sorted(rows.filter((F.col("upto") <= SAMPLE_CHARS) | (F.col("nth") == 1)).select("lang", "h", "text").collect()):
+    for lang, _, text in sorted(rows.filter(F.col("upto") <= SAMPLE_CHARS).select("lang", "h", "text").collect()):
         out.setdefault(lang, []).append(text)
     return out
 
@@ -207,9 +223,9 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text, lang): doc_id, held_out, lang_pred and score.
 
     Labelled rows are those with a lang, a text and an id that are not held out (crc32 of the id as text, mod 5,
-    is 0); only they are learned from, and lang is read for nothing else. A text is predicted whole; a null
+    is 0); only they are learned from, and lang is read for nothing else. A text is predicted whole, however long; a null
     text, or one without a letter, is `und` with score 0, as is any text when nothing was learned. score is
-    the runner-up's phrases as a share of both: 0.5 for a tie (the smaller lang wins), towards 1 when clear. A
+    the runner-up's entropy as a share of both: 0.5 for a tie (the smaller lang wins), towards 1 when clear. A
     null doc_id is not held out. Repeated rows give a row each, an empty table none; other columns are ignored.
     """
     sample = docs.sparkSession.sparkContext.broadcast(tuple(sorted((k, tuple(v)) for k, v in training_sample(docs).items())))
