@@ -17,8 +17,12 @@ from slotweave.llm.unigram import encode_texts
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; rows without a doc_id are rejected, as no later stage could trace them."""
-    return passing(docs.filter(F.col("doc_id").isNotNull()))
+    """Documents that the quality rules keep.
+
+    Null and empty texts have no word and go; null ids, languages and sources are no fault; repeated rows are judged alike;
+    an empty table stays empty.
+    """
+    return passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +52,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every copy of a document that the mix of sources takes, in the order of training.
 
-    Documents without a word and rows with a null id are not taken; null is a source of its own; equal rows of one id
-    give one row at each of their positions; ties go by id; an empty table stays empty.
+    Documents without a word are not taken; null is a source of its own; equal rows of one id give one row at each of
+    their positions, and a null id is an id like others; ties go by id; an empty table stays empty.
     """
     return mixed(docs)
 
