@@ -101,7 +101,7 @@ def _placed(docs: DataFrame, size: Column | None) -> DataFrame:
     tapes = stored(tapes.join(source, tapes.source.eqNullSafe(source.source)).select(tapes.source.alias("s"), "tape", "before", "source_size", "rank", "target"), "targets")
 
     placed = rows.withColumn("t", F.substring("h", 1, DIGITS)).join(tapes, F.col("source").eqNullSafe(F.col("s")) & (F.col("t") == F.col("tape")))
-    within = Window.partitionBy("s", "tape").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("s", "tape").orderBy("h", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     starts = [F.col("start") + k * F.col("source_size") for k in range(CAP)]
     taken = [(F.col("size") > 0) & (at + F.col("size") / F.lit(2.0) <= F.col("target")) for at in starts]
@@ -128,14 +128,16 @@ def mix_sources(docs: DataFrame, size: Column | None = None) -> DataFrame:
 def mixed(docs: DataFrame, size: Column | None = None) -> DataFrame:
     """The mix itself: a row of docs for every copy taken, range-sorted by training position.
 
-    Rows with a null doc_id can't be traced to a place and are left out. Of rows that repeat a doc_id and its text one
-    stands for all and is taken at all their positions.
+    Of rows that repeat a doc_id and its text one stands for all and is taken at all their positions. Rows with a null
+    doc_id are known by their text, and take their places like any other.
     """
-    at, found, key, n = unused(docs.columns, "position", "positions", "text_key", "rows")
-    some = docs.filter(F.col("doc_id").isNotNull()).withColumn(key, F.xxhash64("text"))
-    taken = _placed(docs.filter(F.col("doc_id").isNotNull()), size).groupBy("doc_id", F.col("text_key").alias(key)).agg(F.flatten(F.collect_list("positions")).alias(found), F.count("*").alias(n))
+    at, found, key, n, some_id, no_id = unused(docs.columns, "position", "positions", "text_key", "rows", "some_id", "no_id")
+    known = {some_id: F.coalesce("doc_id", F.lit(0)), no_id: F.col("doc_id").isNull()}  # keys that joins find equal
+    row = [some_id, no_id, key]
+    some = docs.withColumns({**known, key: F.xxhash64("text")})
+    taken = _placed(docs, size).withColumns(known).groupBy(some_id, no_id, F.col("text_key").alias(key)).agg(F.flatten(F.collect_list("positions")).alias(found), F.count("*").alias(n))
     taken = stored(taken.filter(F.size(found) > 0), "taken")
-    twice = small(taken.filter(F.col(n) > 1).select("doc_id", key), "taken-twice")
-    some = some.join(twice, ["doc_id", key], "left_anti").unionByName(some.join(twice, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key]))
-    copies = some.join(taken, ["doc_id", key]).withColumn(at, F.explode(found))
+    twice = small(taken.filter(F.col(n) > 1).select(*row), "taken-twice")
+    some = some.join(twice, row, "left_anti").unionByName(some.join(twice, row, "left_semi").dropDuplicates(row))
+    copies = some.join(taken, row).withColumn(at, F.explode(found))
     return copies.orderBy(at, "doc_id").select(*docs.columns)

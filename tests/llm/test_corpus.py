@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -150,9 +151,12 @@ def test_repeated_lines_are_passages(spark):
         expected[len(rows) - 1] = (25, 99)
     rows += [words(20, rng) + line * 8, words(10, rng) + line * 100 + words(10, rng)]  # more often than before
     found = passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")).collect()
-    got = {r.doc_id: (r.from_word, r.to_word) for r in found if r.doc_id < len(rows) - 1}
+    got: dict[int, set[int]] = {}
+    for r in found:  # a run of one word may be held by two passages that overlap
+        if r.doc_id < len(rows) - 1:
+            got.setdefault(r.doc_id, set()).update(range(r.from_word, r.to_word))
     assert set(got) == set(expected)
-    assert all(abs(got[i][0] - a) <= 1 and abs(got[i][1] - b) <= 1 for i, (a, b) in expected.items())
+    assert all(abs(min(got[i]) - a) <= 1 and abs(max(got[i]) + 1 - b) <= 1 and len(got[i]) == max(got[i]) + 1 - min(got[i]) for i, (a, b) in expected.items())
     again = [r for r in found if r.doc_id == len(rows) - 1]
     assert {v for r in again for v in range(r.from_word, r.to_word)} == set(range(10, 1010)) and len(again) < 400
 
@@ -172,7 +176,49 @@ def test_passages_with_changed_words_are_found_from_one_seed(spark):
     got = {r.doc_id for r in out if r.other_id == r.doc_id - 1}
     share = {c: sum(i in got for i, k in found.items() if k == c) / 200 for c in (3, 4, 6, 8, 11)}
     print(share)
-    assert share[4] > 0.8
+    assert all(x >= 0.9 for x in share.values()), share  # expected: 0.998, 0.997, 0.99, 0.98, 0.93
+
+
+def test_passages_match_brute_force(spark):
+    """Words that lie in a window of 50 or more, four fifths of them equal at one distance in a document before."""
+    rng = random.Random(31)
+    wanted = covered = 0
+    for _ in range(3):
+        pool = [words(rng.randrange(50, 90), rng) for _ in range(4)]
+        rows = []
+        for _ in range(14):
+            text = words(rng.randrange(5, 40), rng)
+            for part in rng.sample(pool, rng.randrange(3)):
+                text += [w if rng.random() < 0.86 else f"x{rng.randrange(10**6)}" for w in part] + words(rng.randrange(5, 30), rng)
+            rows.append(text)
+        found = passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")).collect()
+        got = {(r.doc_id, v) for r in found for v in range(r.from_word, r.to_word)}
+        for r in found:
+            a, b = rows[r.doc_id][r.from_word : r.to_word], rows[r.other_id][r.other_from : r.other_to]
+            assert r.other_id < r.doc_id and len(a) == r.n_words >= 50 and passages.common(np.array(a), np.array(b)) >= r.n_equal >= 0.8 * max(len(a), len(b))
+        for i, a in enumerate(rows):
+            inside = set()
+            for b in rows[:i]:
+                for d in range(-len(a), len(b)):
+                    same = [0 <= k + d < len(b) and a[k] == b[k + d] for k in range(len(a))]
+                    if sum(same) < 40:
+                        continue
+                    sums = np.concatenate(([0], np.cumsum(same)))
+                    for s in range(len(a)):
+                        for e in range(s + 50, len(a) + 1):
+                            if same[s] and same[e - 1] and sums[e] - sums[s] >= 0.8 * (e - s):
+                                inside.update((i, v) for v in range(s, e))
+            wanted += len(inside)
+            covered += len(inside & got)
+    assert wanted > 1000 and covered >= 0.95 * wanted, (covered, wanted)
+
+
+def test_parts_of_a_long_alignment_take_little_time():
+    rng = np.random.default_rng(5)
+    p = np.flatnonzero(rng.random(300_000) < 0.79)
+    start = time.perf_counter()
+    assert passages.parts_of(p, p, 50, 0.8)
+    assert time.perf_counter() - start < 30
 
 
 def test_parts_of_a_chain_match_brute_force():
