@@ -185,3 +185,12 @@ def to_pt(c: Column | str) -> Column:
 def to_mm(c: Column | str) -> Column:
     """Layout units to millimetres: 7200 an inch."""
     return _c(c) / F.lit(7200.0) * F.lit(25.4)
+
+
+def amount(c: Column | str) -> Column:
+    """An amount of money in whole units: digits with or without commas, a sign before, 원 or 천원 (a thousand) behind; else null."""
+    s = strip(c)
+    found = s.rlike(r"^[-△]?\d[\d,]{0,27}\s*(천원|원)?$")
+    number = F.regexp_replace(s, r"[^\d]", "").cast("decimal(28,0)")
+    signed = F.when(s.rlike("^[-△]"), -number).otherwise(number)
+    return F.when(found, F.when(s.endswith("천원"), (signed * 1000).cast("decimal(32,0)")).otherwise(signed.cast("decimal(32,0)")))

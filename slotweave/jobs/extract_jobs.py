@@ -260,6 +260,14 @@ SELECT doc_id, path, kind, CASE WHEN kind IS NULL THEN 'UNKNOWN_KIND' END AS err
     "r10_link_summary": f"""{_LINKED}, c AS (SELECT split_part(field_id, '-', 1) AS form_id, status FROM results)
 SELECT form_id, count(*) AS n_fields, count(*) FILTER (status = 'suggested') AS n_suggested, count(*) FILTER (status = 'conflict') AS n_conflict, count(*) FILTER (status = 'missing') AS n_missing,
   CAST(count(*) FILTER (status = 'suggested') AS DOUBLE) / count(*) AS fill_rate FROM c GROUP BY ROLLUP (form_id)""",
+    "e17_split_long_blocks": """WITH RECURSIVE l AS (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS seq, unnest(p) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> '')
+), chars AS (SELECT doc_id, seq, i, CAST(sum(strlen(c)) OVER (PARTITION BY doc_id, seq ORDER BY i) AS BIGINT) AS upto FROM (SELECT doc_id, seq, generate_subscripts(x, 1) AS i, unnest(x) AS c FROM (SELECT doc_id, seq, string_split(t, '') AS x FROM l WHERE strlen(t) > 6000))
+), ends AS (SELECT doc_id, seq, list(upto ORDER BY upto) AS ends FROM chars GROUP BY 1, 2
+), cuts AS (
+  SELECT doc_id, seq, ends, 0 AS part_index, CAST(0 AS BIGINT) AS low, list_max(list_filter(ends, lambda e: e <= 6000)) AS high FROM ends
+  UNION ALL SELECT doc_id, seq, ends, part_index + 1, high, list_max(list_filter(ends, lambda e: e <= high + 6000)) FROM cuts WHERE high < list_max(ends))
+SELECT doc_id, seq, part_index, CAST(count(*) OVER (PARTITION BY doc_id, seq) AS INTEGER) AS part_count, CAST(high - low AS INTEGER) AS n_bytes FROM cuts
+UNION ALL SELECT doc_id, seq, 0, 1, CAST(strlen(t) AS INTEGER) FROM l WHERE strlen(t) <= 6000""",
     "v01_validate_proposals": f"""{_LINKED}, {_PROPOSALS} SELECT job_id, proposal_seq, field_id, CASE WHEN k % 8 IN (0, 1, 2, 3, 4) THEN 'blocked' ELSE 'ok' END AS status,
   CASE k % 8 WHEN 0 THEN 'quote not found' WHEN 1 THEN 'value differs' WHEN 2 THEN 'cited block missing' WHEN 3 THEN 'unknown field' WHEN 4 THEN 'evidence altered' WHEN 6 THEN 'user value protected' END AS reason FROM proposals""",
     "v09_problems": f"""{_LINKED}, {_PROPOSALS} SELECT job_id, proposal_seq, field_id, CASE k % 8 WHEN 3 THEN 'invalid_field_id' WHEN 1 THEN 'value_mismatch' WHEN 6 THEN 'user_value_protected' ELSE 'missing_quote' END AS type,

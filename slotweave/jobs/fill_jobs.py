@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotweave.functions import textfn as X
@@ -10,7 +12,7 @@ from slotweave.jobs import adapters as A
 from slotweave.jobs import extract_jobs as E
 from slotweave.jobs import form_jobs as T
 from slotweave.operators import candidates, evidence, extract, fill, link, profile, quality, retrieve, tables
-from slotweave.sources import filling, packages, store, trees
+from slotweave.sources import filling, packages, registry, store, trees
 
 
 def _text(c: str):
@@ -236,6 +238,78 @@ def p01_classify_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.classify_roles(extract.line_blocks(A.order_sources(spark, sf_dir))).select("doc_id", "seq", "role", "outline_level")
 
 
+def p01_outline_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third line of the documents as a heading of level 1 to 4."""
+    lines = extract.line_blocks(A.table(spark, sf_dir, "documents"))
+    level = F.when(F.col("seq") % 3 == 0, 1 + (F.col("doc_id") * 3 + F.col("seq") * 7) % 4).cast("int")
+    rows = lines.select("doc_id", "seq", level.alias("level"), F.concat(F.lit("h"), _text("seq")).alias("title"))
+    return profile.outline(rows).select("doc_id", "seq", "parent_seq", F.array_join("path", "/").alias("path"))
+
+
+#: What lines begin with so that every branch of the roles is met, dealt by key.
+MARKERS = ["1. ", "2.3 ", "- ", "그림 1 ", "<표 2> ", "① ", "가. ", "3) ", "# ", "", "10.1.2) ", "Fig. 4 "]
+
+
+def p01_role_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' lines behind numbers, captions, list marks and dates."""
+    lines = extract.line_blocks(A.table(spark, sf_dir, "documents"))
+    k = (F.col("doc_id") + F.col("seq")) % (len(MARKERS) + 1)
+    text = F.concat(F.element_at(F.array(*map(F.lit, [*MARKERS, ""])), (k + 1).cast("int")), F.substr("text", F.lit(1), (20 + F.col("seq") % 50).cast("int")))
+    rows = lines.withColumn("text", F.when(k == len(MARKERS), "2024. 1. 2").otherwise(text))
+    return profile.classify_roles(rows).select("doc_id", "seq", "role", "outline_level")
+
+
+def q10_table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' lines in tables with a subtotal after every two, some of them wrong, and amounts in two units."""
+    lines = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).alias("i"), F.floor("l_extendedprice").cast("bigint").alias("a"))
+    whole = Window.partitionBy("k")
+    lines = lines.withColumns({"pair": F.floor((F.col("i") - 1) / 2), "n": F.count("*").over(whole), "all": F.sum("a").over(whole)})
+    lines = lines.withColumn("sum", F.sum("a").over(Window.partitionBy("k", "pair")))
+    unit = F.when(F.col("k") % 2 == 1, 1000).otherwise(1)
+    said = lambda c: F.concat(F.format_number(c, 0), F.when(F.col("k") % 2 == 1, "천원").otherwise(" 원"))
+    row = lambda at, label, text: F.struct(at.cast("int").alias("row"), label.alias("label"), text.alias("text"))
+    at, last = F.col("i") + F.col("pair"), F.col("i") == F.col("n")
+    plain = lambda c: F.format_number(c, 0)
+    wrong = lambda m, by: F.when(F.col("k") % m == 0, by).otherwise(0)
+    cells = F.array_compact(F.array(
+        row(at, F.concat(F.lit("item "), _text("i")), said(F.col("a"))),
+        F.when((F.col("i") % 2 == 0) | last, row(at + 1, F.lit("소계"), plain(F.col("sum") * unit + F.when(last, wrong(5, 1)).otherwise(0)))),
+        F.when(last, row(at + 2, F.lit("합계"), plain(F.col("all") * unit + wrong(7, 2)))),
+        F.when(last, row(at + 3, F.lit("총계"), plain(F.col("all") * unit))),
+    ))
+    rows = lines.select(F.concat(F.lit("g-"), _text("k")).alias("form_id"), F.inline(cells))
+    place = lambda col, text: F.struct(F.lit(col).alias("col"), F.col(text).alias("text"))
+    rows = rows.select("form_id", F.lit("s0").alias("section"), F.lit(0).alias("table_idx"), "row", F.inline(F.array(place(0, "label"), place(1, "text"))))
+    return T._shown(quality.table_totals(rows)).select("form_id", "row", "label", F.col("found").cast("bigint").alias("found"), F.col("expected").cast("bigint").alias("expected"))
+
+
+def g02_edits_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each user's fields at every fifth event, from the event log."""
+    events = A.table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    log = events.select(_text("user_id").alias("job_id"), F.col("event_type").alias("field_id"), F.col("props").alias("value"), F.col("event_id").alias("edit_seq"), "at")
+    snapshots = events.filter("event_id % 5 = 0").select(_text("user_id").alias("job_id"), F.col("event_id").alias("snapshot_id"), F.col("at").alias("as_of"))
+    return fill.edits_as_of(log, snapshots, 86_400_000_000)
+
+
+def s7_new_forms_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the zipped documents, the second with twice the forms: each form by the run that parsed it."""
+    forms = A.zipped_documents(spark, sf_dir).withColumn(registry.KEY, F.sha2("payload", 256))
+    forms = store.stored(forms, "hashed-forms")
+    table = registry.Registry(spark, f"{store.shared_dir(spark)}/slotweave/forms-{uuid.uuid4().hex}")
+
+    def parse(new: DataFrame) -> DataFrame:
+        """The cells of new forms by their hash, and a row for each form that has none."""
+        sections, _ = _spine_of(store.stored(packages.entries_of(new.select(F.col(registry.KEY).alias("form_id"), "payload")), "new-entries"))
+        cells = packages.cells_of(packages.section_parts(sections)).select(F.col("form_id").alias(registry.KEY), "section", "table_idx", "row", "col", "text")
+        none = new.select(registry.KEY).withColumns({"section": F.lit(None).cast("string"), **{c: F.lit(None).cast("int") for c in ("table_idx", "row", "col")}, "text": F.lit(None).cast("string")})
+        return cells.unionByName(none)
+
+    for some in (forms.filter("substring(form_id, 3) % 2 = 0"), forms):
+        table.add(some, parse)
+    rows = table.read().groupBy(registry.KEY).agg(F.max("batch").cast("int").alias("run"), F.count("row").alias("n_cells"), F.count_distinct("batch").alias("n_batches"))
+    return forms.select("form_id", registry.KEY).join(rows, registry.KEY).select("form_id", "run", "n_cells", "n_batches")
+
+
 def p02_skeleton_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.skeleton_stats(extract.line_blocks(A.order_sources(spark, sf_dir)))
 
@@ -514,6 +588,7 @@ QUERIES = {
     + (q07_detection_quality, q08_fill_quality, q09_verdict, q10_sum_mismatch, q11_repeat_values, m01_batch_fields, m02_rank_blocks, m03_pack_blocks, m03_pack_report, m04_open_fields, m04_answers, m04_accepted_answers, p01_classify_roles, p02_skeleton_stats, p03_body_style, p04_role_map, p05_remap_ids, p06_units, p07_collapse_blank_runs, p08_content_loss, p09_leak_check, p10_image_consistency)
     + (s2_package_entries, s3_package_problems, s4_section_order, s4_spine_problems, s5_section_cells, s5_section_paragraphs, s5_section_runs, s5_nested_tables, s5_section_problems, s6_ns_clashes, w2_link_forms, w3_filled_forms, w3_fill_report, r03_scoped_labels, g04_overlaps)
     + (g05_filled_packages, g05_package_problems, q01_tree_changes, t01_placed_cells, r04_link_zipped_sources, w3_filled_packages)
+    + (p01_outline_paths, p01_role_branches, q10_table_totals, g02_edits_as_of, s7_new_forms_only)
 }
 
 # SQL ------------------------------------------------------------------------------------------------------
@@ -663,6 +738,26 @@ FROM filled, (VALUES (0, 'mimetype'), (1, 'Preview/PrvText.txt'), (2, 'Contents/
     WHEN 'b' THEN CASE WHEN k % 8 <> 0 THEN (SELECT CAST(p AS VARCHAR) FROM lines l WHERE l.k = o.k AND l.n = 2) END WHEN 'c' THEN cents WHEN 'd' THEN CASE WHEN k % 8 <> 0 THEN o.o_orderpriority END WHEN 'e' THEN CASE WHEN k IS NOT NULL THEN '2024' END END AS value
   FROM orders LEFT JOIN so o ON o.k = o_orderkey, (VALUES ('a'), ('b'), ('c'), ('d'), ('e')) f(field_id))
 SELECT job_id, field_id, CASE WHEN value IS NULL THEN 'missing' ELSE 'suggested' END AS status, value, CAST(value IS NOT NULL AS INTEGER) AS n_blocks, NULL::VARCHAR AS alternatives FROM v""",
+    "p01_outline_paths": """WITH RECURSIVE l AS (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS seq FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> '')
+), b AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 1 + (doc_id * 3 + seq * 7) % 4 END AS level FROM l
+), up AS (SELECT b.doc_id, b.seq, max(h.seq) AS parent_seq FROM b LEFT JOIN b h ON h.doc_id = b.doc_id AND h.seq < b.seq AND h.level < coalesce(b.level, 7) GROUP BY 1, 2
+), paths AS (SELECT doc_id, seq, parent_seq, '' AS path FROM up WHERE parent_seq IS NULL
+  UNION ALL SELECT u.doc_id, u.seq, u.parent_seq, p.path || CASE WHEN p.path = '' THEN '' ELSE '/' END || 'h' || u.parent_seq FROM up u JOIN paths p ON p.doc_id = u.doc_id AND p.seq = u.parent_seq)
+SELECT * FROM paths""",
+    "p01_role_branches": r"""WITH l AS (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS seq, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> '')
+), t AS (SELECT doc_id, seq, trim(CASE WHEN (doc_id + seq) % 13 = 12 THEN '2024. 1. 2' ELSE ['1. ', '2.3 ', '- ', '그림 1 ', '<표 2> ', '① ', '가. ', '3) ', '# ', '', '10.1.2) ', 'Fig. 4 '][(doc_id + seq) % 13 + 1] || substr(line, 1, 20 + seq % 50) END) AS s FROM l
+), n AS (SELECT *, nullif(regexp_extract(s, '^(\d+(?:\.\d+)*)[.)]?\s+[^\s]', 1), '') AS number, lead(s) OVER (PARTITION BY doc_id ORDER BY seq) AS following FROM t
+), r AS (SELECT *, CASE WHEN s = '' THEN 'empty' WHEN regexp_matches(s, '^\d{4}[.\-/]\s*\d{1,2}[.\-/]\s*\d{1,2}\.?$') THEN 'paragraph'
+  WHEN regexp_matches(s, '^#{1,6}\s*[^#\s]') OR number IS NOT NULL AND length(s) <= 60 AND NOT regexp_matches(s, '[.。!?]$') AND coalesce(following, '') <> '' THEN 'heading'
+  WHEN regexp_matches(s, '^[<\[(]?\s*(그림|표|Figure|Table|Fig\.)\s*\d+') THEN 'caption' WHEN regexp_matches(s, '^([-*•○●□■◦▪]|\d+[)]|[가-하][.)]|[①-⑳])\s*[^\s]') THEN 'list' ELSE 'paragraph' END AS role FROM n)
+SELECT doc_id, seq, role, CASE WHEN role = 'heading' THEN CASE WHEN number IS NOT NULL THEN len(string_split(number, '.')) ELSE length(regexp_extract(s, '^(#{1,6})', 1)) END END AS outline_level FROM r""",
+    "q10_table_totals": """WITH l AS (SELECT l_orderkey AS k, CAST(floor(l_extendedprice) AS BIGINT) AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem
+), s AS (SELECT k, n, CASE WHEN k % 2 = 1 THEN 1000 ELSE 1 END AS unit, CAST(sum(a) AS BIGINT) AS total, CAST(sum(a) FILTER ((i - 1) // 2 = (n - 1) // 2) AS BIGINT) AS last, n + (n - 1) // 2 AS place FROM l GROUP BY k, n)
+SELECT 'g-' || k AS form_id, CAST(place + 1 AS INTEGER) AS row, '소계' AS label, CAST(last * unit + 1 AS BIGINT) AS found, CAST(last * unit AS BIGINT) AS expected FROM s WHERE k % 5 = 0
+UNION ALL SELECT 'g-' || k, CAST(place + 2 AS INTEGER), '합계', CAST(total * unit + 2 AS BIGINT), CAST(total * unit AS BIGINT) FROM s WHERE k % 7 = 0""",
+    "g02_edits_as_of": """SELECT CAST(s.user_id AS VARCHAR) AS job_id, s.event_id AS snapshot_id, e.event_type AS field_id, arg_max(e.props, (e.ts, e.event_id)) AS value, max((e.ts, e.event_id))[2] AS edit_seq
+FROM events s JOIN events e ON e.user_id = s.user_id AND e.ts <= s.ts WHERE s.event_id % 5 = 0 GROUP BY ALL""",
+    "s7_new_forms_only": f"WITH {_ZIPPED} SELECT form_id, CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END AS run, CASE WHEN m IN (3, 4, 5) THEN 0 ELSE CAST(2 * len(string_split(text, chr(10))) + CASE WHEN m = 8 THEN 1 ELSE 0 END AS BIGINT) END AS n_cells, CAST(1 AS BIGINT) AS n_batches FROM z",
     "w3_filled_packages": rf"""WITH forms AS ({_FORMS}, done AS (SELECT DISTINCT job_id FROM results WHERE status = 'suggested' AND k % 3 <> 0 AND k % 10 <> 0), cells AS (SELECT 'f' || f AS form_id, r.* FROM range(3) t(f), (VALUES (0, 0, '항목'), (0, 1, '내용')) r(row, col, text)
   UNION ALL SELECT form_id, row, 0, name FROM labels UNION ALL SELECT form_id, row, 1, '' FROM labels)
 SELECT job_id, CAST(c.row AS INTEGER) AS row, CAST(c.col AS INTEGER) AS col, CASE WHEN r.status = 'suggested' THEN r.value ELSE c.text END AS new_text FROM done SEMI JOIN done d USING (job_id) JOIN jobs USING (job_id) JOIN cells c USING (form_id) LEFT JOIN (SELECT job_id AS j, row, col, status, value FROM results) r ON r.j = job_id AND r.row = c.row AND r.col = c.col), made AS (

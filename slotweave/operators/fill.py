@@ -24,6 +24,26 @@ def latest_edits(log: DataFrame) -> DataFrame:
     return log.groupBy("job_id", "field_id").agg(last).select("job_id", "field_id", "e.*")
 
 
+def edits_as_of(log: DataFrame, snapshots: DataFrame, width: int) -> DataFrame:
+    """(job_id, snapshot_id, field_id, value, edit_seq): the choice of each field that held at each snapshot of its job.
+
+    log: job_id, field_id, value, edit_seq, at; snapshots: job_id, snapshot_id, as_of (numbers of one clock). An edit holds
+    from its time until the field's next edit (at one time the later edit_seq wins). Intervals and snapshots meet by job
+    and bucket of `width` of the clock, an interval in every bucket that it reaches before the job's last snapshot, so that a
+    job with very many edits is no single key.
+    """
+    nxt = F.lead("at").over(Window.partitionBy("job_id", "field_id").orderBy("at", "edit_seq"))
+    held = log.withColumn("until", nxt).filter(F.col("until").isNull() | (F.col("until") > F.col("at")))
+    last = snapshots.groupBy("job_id").agg(F.max("as_of").alias("last"))
+    bucket = lambda c: F.floor(c / F.lit(width))
+    held = held.join(last, "job_id").filter(F.col("at") <= F.col("last"))
+    to = F.least(F.coalesce(F.col("until") - 1, F.col("last")), F.col("last"))
+    held = held.withColumn("bucket", F.explode(F.sequence(bucket(F.col("at")), bucket(to))))
+    taken = snapshots.withColumn("bucket", bucket(F.col("as_of"))).join(held.drop("last"), ["job_id", "bucket"])
+    inside = (F.col("at") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until")))
+    return taken.filter(inside).select("job_id", "snapshot_id", "field_id", "value", "edit_seq")
+
+
 def guard_edits(edits: DataFrame, jobs: DataFrame, fields: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(passed, problems).
 
