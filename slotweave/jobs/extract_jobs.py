@@ -219,10 +219,32 @@ _PROPOSALS = r"""
 proposals AS (
   SELECT job_id, k, doc_id, CAST(split_part(field_id, '-', 2) AS INTEGER) AS proposal_seq, CASE WHEN k % 8 = 3 THEN 'zz' ELSE field_id END AS field_id,
     CASE WHEN k % 8 = 1 THEN value || '0' ELSE value END AS value, value AS r_value, value_transform, CASE WHEN k % 8 = 2 THEN list_append(ids, 'b-none') WHEN k % 8 = 5 THEN [] ELSE ids END AS ids,
-    CASE WHEN k % 8 = 0 THEN evidence_quote || '!' ELSE evidence_quote END AS quote
+    CASE WHEN k % 8 = 0 THEN evidence_quote || '!' ELSE evidence_quote END AS quote, ids[1] AS e_id, CASE WHEN k % 8 = 4 THEN 'altered' ELSE evidence_quote END AS e_quote
   FROM results WHERE status = 'suggested'
 )"""
 
+#: The checks by their rules, over the proposals, fields, results, blocks and edits as they stand.
+_CHECKS = rf"""
+blocks AS (SELECT doc_id, {_BLOCK_ID} AS block_id, text FROM lines
+), edits AS (SELECT job_id, field_id, 'mine' AS user_value FROM proposals WHERE k % 8 = 6
+), cited AS (
+  SELECT p.job_id, p.proposal_seq, bool_and(b.block_id IS NOT NULL) AS all_there, list_sort(list(DISTINCT p.id) FILTER (b.block_id IS NULL)) AS gone_ids, bool_or(coalesce(contains(b.text, coalesce(p.quote, '')), false)) AS held
+  FROM (SELECT *, unnest(ids) AS id FROM proposals) p LEFT JOIN blocks b ON b.doc_id = p.doc_id AND b.block_id = p.id GROUP BY 1, 2
+), listed AS (
+  SELECT p.job_id, p.proposal_seq, coalesce(contains(b.text, p.e_quote), false) AS list_held, b.block_id IS NOT NULL AS list_there
+  FROM proposals p LEFT JOIN blocks b ON b.doc_id = p.doc_id AND b.block_id = p.e_id WHERE coalesce(p.e_id, '') <> '' AND coalesce(p.e_quote, '') <> ''
+), loose AS (SELECT DISTINCT p.job_id, p.proposal_seq FROM proposals p JOIN blocks b ON b.doc_id = p.doc_id WHERE len(p.ids) = 0 AND contains(b.text, p.quote)
+), ruled AS (SELECT DISTINCT r.job_id, r.field_id FROM (SELECT *, unnest(ids) AS id FROM results) r JOIN blocks b ON b.doc_id = r.doc_id AND b.block_id = r.id
+), facts_of AS (
+  SELECT p.*, f.field_id IS NULL AS unknown, r.field_id IS NULL AS no_result, len(p.ids) > 0 AND NOT coalesce(c.all_there, true) AS gone, c.gone_ids,
+    coalesce(p.quote, '') <> '' AND NOT CASE WHEN len(p.ids) > 0 THEN coalesce(c.held, false) ELSE o.job_id IS NOT NULL END AS no_quote,
+    r.status <> 'suggested' AS unsettled, NOT coalesce(l.list_held, true) AS altered, coalesce(r.status = 'suggested' AND p.value <> r.value, false) AS differs, r.value AS rule_value,
+    p.value_transform = 'unit' AND u.job_id IS NULL AND NOT coalesce(l.list_there, false) AS unclear, e.user_value, coalesce(e.user_value <> p.value, false) AS kept_back
+  FROM proposals p LEFT JOIN job_fields f ON f.job_id = p.job_id AND f.field_id = p.field_id LEFT JOIN results r ON r.job_id = p.job_id AND r.field_id = p.field_id LEFT JOIN edits e ON e.job_id = p.job_id AND e.field_id = p.field_id
+  LEFT JOIN cited c ON c.job_id = p.job_id AND c.proposal_seq = p.proposal_seq LEFT JOIN listed l ON l.job_id = p.job_id AND l.proposal_seq = p.proposal_seq LEFT JOIN loose o ON o.job_id = p.job_id AND o.proposal_seq = p.proposal_seq
+  LEFT JOIN ruled u ON u.job_id = p.job_id AND u.field_id = p.field_id
+), checks AS (SELECT *, unknown OR no_result OR gone OR no_quote AS stopped FROM facts_of)"""
+
 ORACLE_SQL = {
     "e01_doc_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS doc_hash FROM documents",
     "e02_line_blocks": f"""WITH {_DOCUMENT_LINES} SELECT doc_id, seq, {_BLOCK_ID} AS block_id, CAST(e - length(text) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", text
@@ -268,10 +290,15 @@ SELECT form_id, count(*) AS n_fields, count(*) FILTER (status = 'suggested') AS
   UNION ALL SELECT doc_id, seq, ends, part_index + 1, high, list_max(list_filter(ends, lambda e: e <= high + 6000)) FROM cuts WHERE high < list_max(ends))
 SELECT doc_id, seq, part_index, CAST(count(*) OVER (PARTITION BY doc_id, seq) AS INTEGER) AS part_count, CAST(high - low AS INTEGER) AS n_bytes FROM cuts
 UNION ALL SELECT doc_id, seq, 0, 1, CAST(strlen(t) AS INTEGER) FROM l WHERE strlen(t) <= 6000""",
-    "v01_validate_proposals": f"""{_LINKED}, {_PROPOSALS} SELECT job_id, proposal_seq, field_id, CASE WHEN k % 8 IN (0, 1, 2, 3, 4) THEN 'blocked' ELSE 'ok' END AS status,
-  CASE k % 8 WHEN 0 THEN 'quote not found' WHEN 1 THEN 'value differs' WHEN 2 THEN 'cited block missing' WHEN 3 THEN 'unknown field' WHEN 4 THEN 'evidence altered' WHEN 6 THEN 'user value protected' END AS reason FROM proposals""",
-    "v09_problems": f"""{_LINKED}, {_PROPOSALS} SELECT job_id, proposal_seq, field_id, CASE k % 8 WHEN 3 THEN 'invalid_field_id' WHEN 1 THEN 'value_mismatch' WHEN 6 THEN 'user_value_protected' ELSE 'missing_quote' END AS type,
-  'error' AS severity, CASE k % 8 WHEN 1 THEN r_value WHEN 2 THEN 'b-none' WHEN 6 THEN 'mine' END AS detail FROM proposals WHERE k % 8 NOT IN (5, 7)""",
+    "v01_validate_proposals": f"""{_LINKED}, {_PROPOSALS}, {_CHECKS} SELECT job_id, proposal_seq, field_id, CASE WHEN stopped THEN 'blocked' WHEN kept_back THEN 'ok' WHEN unsettled OR altered OR differs OR unclear THEN 'blocked' ELSE 'ok' END AS status,
+  CASE WHEN unknown THEN 'unknown field' WHEN no_result THEN 'no rule result' WHEN gone THEN 'cited block missing' WHEN no_quote THEN 'quote not found' WHEN kept_back THEN 'user value protected' WHEN unclear THEN 'unit unclear' WHEN differs THEN 'value differs' WHEN altered THEN 'evidence altered' WHEN unsettled THEN 'rule result unsettled' END AS reason FROM checks""",
+    "v09_problems": f"""{_LINKED}, {_PROPOSALS}, {_CHECKS}, found AS (
+  SELECT *, 'invalid_field_id' AS type, 'error' AS severity, NULL::VARCHAR AS detail FROM checks WHERE unknown OR no_result
+  UNION ALL SELECT *, 'missing_quote', 'error', unnest(gone_ids) FROM checks WHERE NOT unknown AND NOT no_result AND gone
+  UNION ALL SELECT *, 'missing_quote', 'error', NULL FROM checks WHERE NOT unknown AND NOT no_result AND NOT gone AND no_quote
+  UNION ALL SELECT *, 'missing_quote', 'error', NULL FROM checks WHERE NOT stopped AND altered UNION ALL SELECT *, 'value_mismatch', 'error', rule_value FROM checks WHERE NOT stopped AND differs
+  UNION ALL SELECT *, 'unit_unclear', 'warning', NULL FROM checks WHERE NOT stopped AND unclear UNION ALL SELECT *, 'user_value_protected', 'error', user_value FROM checks WHERE NOT stopped AND kept_back)
+SELECT job_id, proposal_seq, field_id, type, severity, detail FROM found""",
     "v02_unsettled_results": f"{_LINKED} SELECT job_id, CAST(split_part(field_id, '-', 2) AS INTEGER) AS proposal_seq, field_id, 'blocked' AS status, 'rule result unsettled' AS reason FROM results WHERE status <> 'suggested'",
     "v07_unclear_units": f"{_LINKED} SELECT job_id, CAST(split_part(field_id, '-', 2) AS INTEGER) AS proposal_seq, field_id, 'unit_unclear' AS type, 'warning' AS severity, NULL::VARCHAR AS detail FROM results WHERE value_transform = 'unit' AND k % 2 = 0",
     "v10_accept_proposals": rf"""{_LINKED}, {_PROPOSALS}, n AS (SELECT *, count(*) OVER (PARTITION BY job_id, field_id) AS n FROM proposals)

@@ -669,8 +669,10 @@ UNION ALL SELECT source, doc_id || 'n', 'added' FROM documents WHERE doc_id % 10
     "q02_diff_shapes": f"WITH {T.CELLS} SELECT form_id, count(DISTINCT row) AS row_count, CAST(4 AS BIGINT) AS column_count, count(DISTINCT row) AS new_rows, CAST(3 AS BIGINT) AS new_columns FROM cells WHERE {_KEY} % 9 = 0 GROUP BY 1",
     "q03_diff_fixed": f"{_GRID} SELECT job_id, row, col, old_text, 'damaged' AS new_text FROM filled WHERE CAST(substr(job_id, 3) AS BIGINT) % 50 = 0 AND row = 0 AND col = 0",
     "q04_diff_protected": f"{_GRID} SELECT form_id, field_id, 'removed' AS type FROM fields WHERE reason IS NOT NULL AND row = 2 AND {_KEY} % 5 = 0",
-    "q05_check_applied": f"{_GRID} SELECT form_id AS job_id, CAST(CASE WHEN {_KEY} % 6 = 0 THEN 0 ELSE count(*) END AS BIGINT) AS n_found, CAST(CASE WHEN {_KEY} % 6 = 0 THEN count(*) ELSE 0 END AS BIGINT) AS n_lost FROM gedits GROUP BY 1",
-    "q06_read_back": f"{_GRID} SELECT form_id AS job_id, field_id, value, value AS read FROM gedits WHERE insert_offset IS NOT NULL",
+    "q05_check_applied": f"""{_GRID}, e AS (SELECT *, CASE WHEN {_KEY} % 6 = 0 THEN value || '?' ELSE value END AS wanted FROM gedits)
+SELECT e.form_id AS job_id, count(*) FILTER (contains(coalesce(f.new_text, ''), wanted)) AS n_found, count(*) FILTER (NOT contains(coalesce(f.new_text, ''), wanted)) AS n_lost FROM e LEFT JOIN filled f ON f.job_id = e.form_id AND f.row = e.row AND f.col = e.col GROUP BY 1""",
+    "q06_read_back": f"""{_GRID}, e AS (SELECT *, coalesce(sum(length(value)) OVER (PARTITION BY form_id, row, col ORDER BY insert_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM gedits WHERE insert_offset IS NOT NULL)
+SELECT e.form_id AS job_id, field_id, value, substr(f.new_text, CAST(insert_offset + shift + 1 AS INTEGER), length(value)) AS read FROM e JOIN filled f ON f.job_id = e.form_id AND f.row = e.row AND f.col = e.col""",
     "q07_detection_quality": f"""{_SCORED}, b AS (SELECT coalesce(f.form_id, g.form_id) AS form_id, count(f.k) AS n_detected, count(g.k) AS n_gold, count(CASE WHEN f.k = g.k THEN 1 END) AS n_both FROM fields f FULL JOIN gold g ON f.k = g.k GROUP BY 1)
 SELECT *, CASE WHEN n_detected > 0 THEN n_both / n_detected ELSE 0.0 END AS precision, CASE WHEN n_gold > 0 THEN n_both / n_gold ELSE 0.0 END AS recall FROM b""",
     "q08_fill_quality": f"""{_SCORED}, s AS (SELECT g.form_id, a.k IS NULL OR (expected IS NOT NULL AND value = '') AS gone, CASE WHEN expected IS NULL THEN value <> 'base' ELSE value <> expected END AS wrong FROM gold g LEFT JOIN actual a ON a.k = g.k),
