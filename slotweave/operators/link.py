@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import textfn as X
 from slotweave.operators.tables import TABLE, col_labels
+from slotweave.sources import store
 
 #: Labels that mean the same column (fixed pairs), by their normalised form.
 SYNONYMS = {"품명": "항목", "이름": "성명"}
@@ -49,14 +50,21 @@ def link_labels(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     for c in ("title", "section"):
         wanted, blocks = (df if c in df.columns else df.withColumn(c, scope_of("context", MARKS[c]) if "context" in df.columns else F.lit(None).cast("string")) for df in (wanted, blocks))
     text = F.col("search_text") if "search_text" in blocks.columns else F.col("text")
-    quotes = F.concat(X.facts("text"), F.array(text))
-    each = F.transform(quotes, lambda q: F.struct(q.alias("quote"), X.norm_label(X.label_of(q)).alias("norm"), X.value_of(q).alias("value")))
-    rows = blocks.select("doc_id", "seq", "block_id", F.col("title").alias("b_title"), F.col("section").alias("b_section"), F.filter(each, lambda f: (f["value"] != "") & (f["norm"] != "")).alias("f"))
-    rows = rows.select("doc_id", "seq", "block_id", "b_title", "b_section", "f", F.transform("f", lambda f: f["norm"]).alias("norms"))
-    first = F.filter("f", lambda f, i: F.array_position("norms", f["norm"]) == i + 1)  # within a block, before anything is shuffled
-    rows = rows.select("doc_id", "seq", "block_id", "b_title", "b_section", F.inline(first))
-    found = wanted.join(rows, ["doc_id", "norm"]).filter(in_scope("title", "section", "b_title", "b_section"))
-    return found.select("job_id", "field_id", "seq", "block_id", "quote", "value")
+    part = lambda whole: lambda q: F.struct(F.lit(whole).alias("whole"), q.alias("q"))
+    every = F.concat(F.transform(F.split("text", "[,;/]", -1), part(False)), F.array(part(True)(text)))
+    own = ["doc_id", "seq", "block_id", "b_title", "b_section"]
+    rows = blocks.select("doc_id", "seq", "block_id", F.col("title").alias("b_title"), F.col("section").alias("b_section"), F.posexplode(every).alias("pos", "e")).select(*own, "pos", "e.whole", "e.q")
+    # Label and value are read from the part as it stands: on a stripped one each would strip it again wherever it is used.
+    colon = F.instr("q", ":") > 0
+    label = F.when(colon, F.substring_index("q", ":", 1)).otherwise(F.regexp_extract("q", f"^{X.SPACE}*({X.NON_SPACE}*)", 1))
+    value = F.when(colon, X.strip(F.substr("q", F.instr("q", ":") + 1))).otherwise(F.regexp_extract("q", f"(?s)^{X.SPACE}*{X.NON_SPACE}+{X.SPACE}+(.*?){X.SPACE}*$", 1))
+    rows = rows.withColumn("norm", F.regexp_replace(F.lower(label), X.NON_WORD, ""))
+    # Facts that no field asks for go before anything is shuffled; the labels asked for are broadcast if they are few.
+    rows = rows.join(store.small(wanted.select("norm").distinct(), "labels"), "norm", "left_semi").withColumn("value", value).filter("value <> ''")
+    rows = rows.withColumn("quote", F.when(F.col("whole"), F.col("q")).otherwise(X.strip("q")))
+    first = rows.repartition("doc_id", "norm").groupBy(*own, "norm").agg(F.min(F.struct("pos", "quote", "value")).alias("f"))
+    found = wanted.join(first, ["doc_id", "norm"]).filter(in_scope("title", "section", "b_title", "b_section"))
+    return found.select("job_id", "field_id", "seq", "block_id", "f.quote", "f.value")
 
 
 def source_cells(cells: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of a few short columns that may be broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """df stored, and marked for broadcast if it has at most SMALL_ROWS rows; joins shuffle it otherwise."""
+    out = stored(df, name)
+    return F.broadcast(out) if out.count() <= SMALL_ROWS else out
+
+
 def release(df: DataFrame) -> None:
     """Delete a stored table that nothing will read again."""
     spark = df.sparkSession
