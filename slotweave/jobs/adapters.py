@@ -205,3 +205,32 @@ def zipped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = [F.col(f"x.{c}").cast("array<long>").alias(c) for c in ("l_linenumber", "p", "s")]
     rows = orders.select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("bigint").cast("string").alias("cents"), *numbers)
     return rows.mapInPandas(build, "form_id string, payload binary")
+
+
+def styled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(form_id, payload): a document as a package whose header defines styles, and whose lines refer to them.
+
+    The ids of a style differ from form to form; some forms have no caption style, some refer to an id that isn't defined,
+    and every form has a table whose cells are set as captions.
+    """
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                names = ["바탕글", "개요 1", *(["캡션"] if k % 4 else [])]
+                styles = "".join(f'<style id="{k % 3 + i}" name="{name}" paraPrIDRef="{10 + i + k % 2}" charPrIDRef="{20 + i}"/>' for i, name in enumerate(names))
+                header = f"<head><charProperties><charPr id=\"20\"/></charProperties><styles>{styles}</styles></head>"
+                used = lambda i: 1 if i % 5 == 0 else 2 if i % 5 == 4 and k % 4 else 0  # noqa: B023, E731
+                para = lambda i, style: f'<p styleIDRef="{style}" paraPrIDRef="{10 + i}" charPrIDRef="0"><run charPrIDRef="{20 + i}"><t>x</t></run></p>'
+                lines = "".join(para(used(i), 99 if k % 7 == 6 and i == 0 else k % 3 + used(i)) for i, _ in enumerate(text.split("\n")))
+                table = f"<p><run><tbl><tr>{'<tc><subList>' + para(2, k % 3 + 2) + '</subList></tc>'}</tr></tbl></run></p>" * 9
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as z:
+                    z.writestr(zipfile.ZipInfo("Contents/header.xml"), header)
+                    z.writestr(zipfile.ZipInfo("Contents/section0.xml"), f"<sec>{lines}{table}</sec>")
+                out.append((f"d-{k}", data.getvalue()))
+            yield pd.DataFrame(out, columns=["form_id", "payload"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.mapInPandas(build, "form_id string, payload binary")

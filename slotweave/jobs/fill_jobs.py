@@ -12,7 +12,7 @@ from slotweave.jobs import adapters as A
 from slotweave.jobs import extract_jobs as E
 from slotweave.jobs import form_jobs as T
 from slotweave.operators import candidates, evidence, extract, fill, link, profile, quality, retrieve, tables
-from slotweave.sources import filling, packages, registry, store, trees
+from slotweave.sources import filling, packages, registry, store, styles, trees
 
 
 def _text(c: str):
@@ -333,6 +333,38 @@ def p05_remap_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.remap_ids(refs, mapping, refs.filter("style_id % 3 <> 0").distinct())[1]
 
 
+def _styles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(definitions, references) of the styled documents, each read once."""
+    entries = store.stored(packages.entries_of(A.styled_documents(spark, sf_dir)), "styled-entries")
+    return store.stored(styles.definitions(entries), "definitions"), store.stored(styles.references(entries.filter("path LIKE '%section%'")), "references")
+
+
+def p03_header_body_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent ids outside of tables, from the packages' own references."""
+    rows = _styles(spark, sf_dir)[1].filter("style_id IS NOT NULL")
+    return profile.body_style(rows)
+
+
+def p04_header_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styles.role_styles(_styles(spark, sf_dir)[0]).filter("role IN ('body', 'heading1', 'caption')")
+
+
+def _carried(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each document's references carried to the form of a document beside it."""
+    defined, refs = _styles(spark, sf_dir)
+    k = F.substring("form_id", 3, 20).cast("bigint")
+    targets = refs.select("form_id").distinct().withColumn("target_id", F.concat(F.lit("d-"), (k + F.when(k % 2 == 0, 1).otherwise(-1)).cast("string")))
+    return styles.carried(refs.filter("style_id IS NOT NULL"), defined, targets)
+
+
+def p05_carried_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _carried(spark, sf_dir)[0].groupBy("form_id", "target_id", "role", "new_style", "new_para", "new_char").agg(F.count("*").alias("n"))
+
+
+def p05_dangling_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _carried(spark, sf_dir)[1]
+
+
 def p06_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "part").select("p_partkey", X.to_pt("p_partkey").alias("pt"), F.round(X.to_mm("p_partkey"), 6).alias("mm"))
 
@@ -588,7 +620,7 @@ QUERIES = {
     + (q07_detection_quality, q08_fill_quality, q09_verdict, q10_sum_mismatch, q11_repeat_values, m01_batch_fields, m02_rank_blocks, m03_pack_blocks, m03_pack_report, m04_open_fields, m04_answers, m04_accepted_answers, p01_classify_roles, p02_skeleton_stats, p03_body_style, p04_role_map, p05_remap_ids, p06_units, p07_collapse_blank_runs, p08_content_loss, p09_leak_check, p10_image_consistency)
     + (s2_package_entries, s3_package_problems, s4_section_order, s4_spine_problems, s5_section_cells, s5_section_paragraphs, s5_section_runs, s5_nested_tables, s5_section_problems, s6_ns_clashes, w2_link_forms, w3_filled_forms, w3_fill_report, r03_scoped_labels, g04_overlaps)
     + (g05_filled_packages, g05_package_problems, q01_tree_changes, t01_placed_cells, r04_link_zipped_sources, w3_filled_packages)
-    + (p01_outline_paths, p01_role_branches, q10_table_totals, g02_edits_as_of, s7_new_forms_only)
+    + (p01_outline_paths, p01_role_branches, q10_table_totals, g02_edits_as_of, s7_new_forms_only, p03_header_body_style, p04_header_roles, p05_carried_ids, p05_dangling_ids)
 }
 
 # SQL ------------------------------------------------------------------------------------------------------
@@ -639,6 +671,14 @@ _PACKAGES = rf"""WITH z0 AS (SELECT *, string_split(text, chr(10)) AS l FROM ({_
     || CASE WHEN i > 0 THEN t WHEN z.k % 3 = 0 THEN 'A&amp;B &lt;' || z.k || '&gt;' ELSE '「' || regexp_extract(t, '^(&[a-z]+;|.)') || ' &amp; ' || regexp_replace(t, '^(&[a-z]+;|.)', '') END || '</t></run></p></subList></tc></tr>', '' ORDER BY i) || '</tbl></run></p></sec>' AS content
   FROM z JOIN tokens USING (k) WHERE m NOT IN (3, 4, 5) AND (z.k % 3 = 0 OR z.k % 3 = 1 AND first <> '') GROUP BY z.k)"""
 
+_STYLED = """WITH d AS (SELECT doc_id AS k, 'd-' || doc_id AS form_id, coalesce(text, '') AS text FROM documents
+), l AS (SELECT k, form_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS line FROM d
+), u AS (SELECT *, CASE WHEN line % 5 = 0 THEN 1 WHEN line % 5 = 4 AND k % 4 <> 0 THEN 2 ELSE 0 END AS i FROM l
+), refs AS (
+  SELECT k, form_id, i, CASE WHEN k % 7 = 6 AND line = 0 THEN 99 ELSE k % 3 + i END AS style_id, false AS in_table FROM u UNION ALL SELECT k, form_id, 2, k % 3 + 2, true FROM d, range(9)
+), roles AS (SELECT form_id, role, CAST(k % 3 + i AS VARCHAR) AS style_id, CAST(10 + i + k % 2 AS VARCHAR) AS para_id, CAST(20 + i AS VARCHAR) AS char_id FROM (
+  SELECT k, form_id, role, CASE WHEN i = 2 AND k % 4 = 0 THEN 0 ELSE i END AS i FROM d, (VALUES ('body', 0), ('heading1', 1), ('caption', 2)) r(role, i)))"""
+
 _SOURCES = """WITH lines AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS u, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey) AS many FROM lineitem GROUP BY 1, 2
 ), so AS (SELECT o_orderkey AS k, o_orderpriority, CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) AS cents FROM orders SEMI JOIN lines ON lines.k = o_orderkey
 ), scells AS (
@@ -740,6 +780,12 @@ FROM filled, (VALUES (0, 'mimetype'), (1, 'Preview/PrvText.txt'), (2, 'Contents/
     WHEN 'b' THEN CASE WHEN k % 8 <> 0 THEN (SELECT CAST(p AS VARCHAR) FROM lines l WHERE l.k = o.k AND l.n = 2) END WHEN 'c' THEN cents WHEN 'd' THEN CASE WHEN k % 8 <> 0 THEN o.o_orderpriority END WHEN 'e' THEN CASE WHEN k IS NOT NULL THEN '2024' END END AS value
   FROM orders LEFT JOIN so o ON o.k = o_orderkey, (VALUES ('a'), ('b'), ('c'), ('d'), ('e')) f(field_id))
 SELECT job_id, field_id, CASE WHEN value IS NULL THEN 'missing' ELSE 'suggested' END AS status, value, CAST(value IS NOT NULL AS INTEGER) AS n_blocks, NULL::VARCHAR AS alternatives FROM v""",
+    "p03_header_body_style": f"""{_STYLED} SELECT form_id, CAST(style_id AS VARCHAR) AS style_id, CAST(10 + i AS VARCHAR) AS para_id, CAST(20 + i AS VARCHAR) AS char_id, count(*) AS n FROM refs WHERE NOT in_table GROUP BY form_id, style_id, i
+QUALIFY row_number() OVER (PARTITION BY form_id ORDER BY count(*) DESC, CAST(style_id AS VARCHAR), i) = 1""",
+    "p04_header_roles": f"""{_STYLED} SELECT form_id, role, style_id, para_id, char_id FROM roles""",
+    "p05_carried_ids": f"""{_STYLED} SELECT r.form_id, 'd-' || t AS target_id, r.role, o.style_id AS new_style, o.para_id AS new_para, o.char_id AS new_char, count(*) AS n
+FROM (SELECT *, k + CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS t, CASE WHEN style_id = 99 OR style_id - k % 3 = 2 AND k % 4 = 0 THEN 'body' ELSE ['body', 'heading1', 'caption'][style_id - k % 3 + 1] END AS role FROM refs) r LEFT JOIN roles o ON o.form_id = 'd-' || t AND o.role = r.role GROUP BY ALL""",
+    "p05_dangling_ids": f"""{_STYLED} SELECT DISTINCT form_id, CAST(style_id AS VARCHAR) AS style_id FROM refs WHERE style_id = 99 OR k % 4 = 0 AND style_id = k % 3 + 2""",
     "p01_outline_paths": """WITH RECURSIVE l AS (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS seq FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> '')
 ), b AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 1 + (doc_id * 3 + seq * 7) % 4 END AS level FROM l
 ), up AS (SELECT b.doc_id, b.seq, max(h.seq) AS parent_seq FROM b LEFT JOIN b h ON h.doc_id = b.doc_id AND h.seq < b.seq AND h.level < coalesce(b.level, 7) GROUP BY 1, 2

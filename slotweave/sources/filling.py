@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.sources.packages import Tables
+from slotweave.sources.packages import Tables, arrow_schema, in_batches
 from slotweave.sources.zipbytes import BadPackage, Package
 
 #: Jobs whose packages one row makes.
@@ -164,23 +164,23 @@ def fill_packages(forms: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFr
     """
     cut = "job_id string, form_id string, payload binary, code string"
 
+    def made_of(row: dict) -> Iterator[dict]:
+        code, package, sections = None, None, {}
+        try:
+            package = Package(row["payload"])
+        except BadPackage as e:
+            code = str(e)
+        for job in row["jobs"]:
+            made, failed = None, code
+            try:
+                if package is not None:
+                    made = _filled(package, sections, job["edits"])
+            except BadPackage as e:
+                failed = str(e)
+            yield {"job_id": job["job_id"], "form_id": row["form_id"], "payload": made, "code": failed}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("job_id", pa.string()), ("form_id", pa.string()), ("payload", pa.binary()), ("code", pa.string())])
-        for batch in batches:
-            for row in batch.to_pylist():
-                code, package, sections = None, None, {}
-                try:
-                    package = Package(row["payload"])
-                except BadPackage as e:
-                    code = str(e)
-                for job in row["jobs"]:
-                    made, failed = None, code
-                    try:
-                        if package is not None:
-                            made = _filled(package, sections, job["edits"])
-                    except BadPackage as e:
-                        failed = str(e)
-                    yield pa.RecordBatch.from_pylist([{"job_id": job["job_id"], "form_id": row["form_id"], "payload": made, "code": failed}], schema)
+        yield from in_batches((made for batch in batches for row in batch.to_pylist() for made in made_of(row)), arrow_schema(cut))
 
     edit = F.struct("section", *PLACE, F.col("insert_offset").cast("int").alias("insert_offset"), "value").cast(_EDIT)
     jobs = edits.groupBy("form_id", "job_id").agg(F.sort_array(F.collect_list(edit)).alias("edits"))  # a job's edits

@@ -52,18 +52,39 @@ def unzip(payload: bytes) -> Iterator[tuple]:
             return
 
 
+def in_batches(rows: Iterator[dict], schema: pa.Schema, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of about `limit` bytes, whatever they come from: many small forms share a batch."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(v) for v in row.values() if isinstance(v, (bytes, str)))
+        if size >= limit:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a plain DDL string."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
+
+
 def entries_of(packages: DataFrame) -> DataFrame:
     """Entry rows of packages (form_id, payload)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["pos", "path", "method", "size", "crc_ok", "encrypted", "sha256", "content", "error"]
-        for pdf in batches:
-            for form, payload in zip(pdf["form_id"], pdf["payload"], strict=True):
-                out = pd.DataFrame(list(unzip(bytes(payload or b""))), columns=names)
-                out.insert(0, "form_id", form)
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["form_id", "pos", "path", "method", "size", "crc_ok", "encrypted", "sha256", "content", "error"]
+
+        def rows() -> Iterator[dict]:
+            for batch in batches:
+                for form, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    yield from (dict(zip(names, (form, *entry), strict=True)) for entry in unzip(payload.as_py() or b""))
+
+        yield from in_batches(rows(), arrow_schema(ENTRIES))
 
-    return packages.select("form_id", "payload").mapInPandas(run, ENTRIES)
+    return packages.select("form_id", "payload").mapInArrow(run, ENTRIES)
 
 
 def read_packages(spark: SparkSession, glob: str) -> DataFrame:
@@ -235,25 +256,23 @@ def section_parts(sections: DataFrame) -> DataFrame:
     A section is parsed here once; what follows reads these rows, so they should be stored where several need them."""
 
     kinds = {"form_id": "string", "section": "string", "ord": "int", "kind": "string", **dict.fromkeys(_BOX, "int"), "text": "string", "has_nested": "boolean", "has_controls": "boolean", "para": "int", "run": "int", "place": "int", "namespace": "string", "name": "string"}
-    arrow = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
-    schema = pa.schema([(name, arrow[kind]) for name, kind in kinds.items()])
+    ddl = ", ".join(f"{name} {kind}" for name, kind in kinds.items())
+
+    def parsed(section: dict) -> list[dict]:
+        data = section["content"]
+        own = {"form_id": section["form_id"], "section": section["path"], "ord": section["ord"]}
+        if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
+            return [{**own, "kind": "problem", "name": "UNSAFE_XML"}]
+        try:
+            return [{**own, **row} for row in section_rows(data)]
+        except (ET.ParseError, ValueError):
+            return [{**own, "kind": "problem", "name": "BAD_XML"}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for section in batch.to_pylist():
-                data, code, rows = section["content"], None, []
-                if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
-                    code = "UNSAFE_XML"
-                else:
-                    try:
-                        rows = list(section_rows(data))
-                    except (ET.ParseError, ValueError):
-                        code = "BAD_XML"
-                own = {"form_id": section["form_id"], "section": section["path"], "ord": section["ord"]}
-                yield pa.RecordBatch.from_pylist([{**own, **row} for row in ([{"kind": "problem", "name": code}] if code else rows)], schema)
+        yield from in_batches((row for batch in batches for section in batch.to_pylist() for row in parsed(section)), arrow_schema(ddl))
 
     order = F.col("ord").cast("int") if "ord" in sections.columns else F.lit(None).cast("int")
-    return sections.select("form_id", "path", "content", order.alias("ord")).mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+    return sections.select("form_id", "path", "content", order.alias("ord")).mapInArrow(run, ddl)
 
 
 def cells_of(parts: DataFrame) -> DataFrame:

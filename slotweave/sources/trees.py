@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotweave.sources.packages import arrow_schema, in_batches
 from slotweave.sources.store import release, stored
 
 #: Node rows: path is the element's place among its siblings, from the root down, `/`-joined; parent is that of the element above.
@@ -50,19 +51,17 @@ def node_rows(content: bytes) -> Iterator[dict]:
 
 def tree_nodes(sections: DataFrame) -> DataFrame:
     """NODES of sections (form_id, path, content); a section that can't be read gives one node of its bytes."""
-    kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in NODES.split(", "))])
+
+    def rows(section: dict) -> list[dict]:
+        own = {"form_id": section["form_id"], "section": section["path"]}
+        try:
+            return [own | r for r in node_rows(section["content"])]
+        except ET.ParseError:
+            raw = _digest(section["content"])
+            return [own | {"depth": 0, "path": "0", "parent": None, "tag": "?", "own": raw, "text": raw, "whole": raw}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for section in batch.to_pylist():
-                own = {"form_id": section["form_id"], "section": section["path"]}
-                try:
-                    rows = list(node_rows(section["content"]))
-                except ET.ParseError:
-                    raw = _digest(section["content"])
-                    rows = [{"depth": 0, "path": "0", "parent": None, "tag": "?", "own": raw, "text": raw, "whole": raw}]
-                yield pa.RecordBatch.from_pylist([own | r for r in rows], schema)
+        yield from in_batches((row for batch in batches for section in batch.to_pylist() for row in rows(section)), arrow_schema(NODES))
 
     return sections.select("form_id", "path", "content").mapInArrow(run, NODES)
 
