@@ -6,14 +6,13 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 
 
-def plan_of(spark, name):
-    return entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-
-
-@pytest.mark.parametrize(("name", "scans", "exchanges"), [("s5_section_paragraphs", 0, 2), ("s6_ns_clashes", 0, 2), ("v01_validate_proposals", 0, 20), ("f09_editable_fields", 0, 4), ("g03_guard_edits", 0, 12), ("q05_check_applied", 0, 6)])
-def test_plans_do_not_grow_with_the_chain(spark, name, scans, exchanges):
-    plan = plan_of(spark, name)
-    assert plan.count("documents.parquet") <= scans and plan.count("Exchange ") - plan.count("BroadcastExchange ") <= exchanges
+@pytest.mark.parametrize(("name", "exchanges"), [("s5_section_paragraphs", 2), ("s6_ns_clashes", 2), ("v01_validate_proposals", 20), ("f09_editable_fields", 4), ("g03_guard_edits", 12), ("q05_check_applied", 6)])
+def test_plans_do_not_grow_with_the_chain(spark, name, exchanges):
+    """No query reads a given table again in its last step, and its shuffles, as they ran, are few."""
+    df = entry.queries()[name](spark, SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "documents.parquet" not in plan and plan.count("Exchange hashpartitioning") <= exchanges
 
 
 def test_a_form_is_shuffled_once_for_all_rules(spark):
