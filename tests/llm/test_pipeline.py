@@ -9,7 +9,7 @@ def test_stages_take_effect(spark, tmp_path):
     text = lambda n: " ".join(rng.choice(words) + rng.choice("abcdefgh") for _ in range(n))
     shared = text(70)
     rows = [(i, text(120), "en", f"s{i % 3}") for i in range(60)]
-    rows += [(100, rows[0][1] + " end", "en", "s0"), (101, text(60) + " " + shared, "en", "s1"), (102, text(200) + " " + shared, "en", "s1"), (103, "too short", "en", "s0"), (None, text(50), "en", "s0"), (104, None, None, None)]
+    rows += [(100, rows[0][1] + " end", "en", "s0"), (101, text(60) + " " + shared, "en", "s1"), (102, text(200) + " " + shared, "en", "s1"), (103, "too short", "en", "s0"), (None, text(50), "en", "s2"), (104, None, None, None)]
     docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
