@@ -115,6 +115,26 @@ def test_hot_seeds_in_parts_give_the_same_passages(spark, monkeypatch):
     assert get() == whole == {(i, 20, 80) for i in range(1, 40)}
 
 
+@pytest.mark.parametrize(("all_places", "part"), [(32, 512), (2, 512), (2, 4)])
+def test_passages_are_found_behind_documents_with_their_seeds_only(spark, monkeypatch, all_places, part):
+    """Of each passage's words, every seven stand in documents between the two that share it, and the last of these is no copy."""
+    monkeypatch.setattr(passages, "ALL", all_places)
+    monkeypatch.setattr(passages, "PART", part)
+    rng = random.Random(24)
+    rows, wanted = [], set()
+    for changed in (0, 5):
+        shared = words(60, rng)
+        first = len(rows)
+        rows.append(words(20, rng) + shared + words(20, rng))
+        rows += [words(60, rng) + shared[k : k + 7] + words(60, rng) for k in range(54) for _ in range(2)]
+        edited = [f"e{rng.randrange(10**6)}" if k in rng.sample(range(3, 57), changed) else w for k, w in enumerate(shared)]
+        rows.append(words(30, rng) + edited + words(9, rng))
+        wanted.add((len(rows) - 1, first))
+    out = passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in out} == wanted
+    assert all(r.n_words >= 55 and 28 <= r.from_word <= 33 for r in out)
+
+
 def test_passages_near_each_other_are_found_apart(spark):
     rng = random.Random(4)
     one, two, three = words(55, rng), words(60, rng), words(52, rng)
