@@ -135,6 +135,37 @@ def test_passages_are_found_behind_documents_with_their_seeds_only(spark, monkey
     assert all(r.n_words >= 55 and 28 <= r.from_word <= 33 for r in out)
 
 
+def test_seeds_alone_make_no_pairs_in_the_second_round(spark, monkeypatch):
+    """Documents that have twenty words in common and nothing else: before, all their pairs went on to be chained."""
+    rng = random.Random(25)
+    phrase, rounds, chained = words(20, rng), [], passages.chained
+    monkeypatch.setattr(passages, "chained", lambda found: (rounds.append(found.count()), chained(found))[1])
+    rows = [(i, " ".join(words(60, rng) + phrase + words(60, rng))) for i in range(30)]
+    assert passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert rounds[0] >= 29 and sum(rounds[1:]) == 0
+
+
+def test_places_of_a_common_seed_meet_their_like_in_linear_time():
+    """Of many places of a seed each goes with a bounded number; behind all those with parts of a passage, the whole is found."""
+    rng, orders, width = np.random.default_rng(7), passages.sampled(50), len(passages.beside(50))
+    whole = rng.integers(0, 256, width, np.uint8)
+    found = 0
+    for n in (500, 4000):
+        around = rng.integers(0, 256, (n, width), np.uint8)
+        for i in range(2, n - 1):  # from 8 to 30 words of it, the seed among them
+            low, size = rng.integers(width // 2 - 25, width // 2 + 1), rng.integers(3, 26)
+            around[i, low : low + size] = whole[low : low + size]
+        around[1], around[-1] = whole, whole
+        edited = rng.choice(width, 9, replace=False)
+        around[-1, edited] = rng.integers(0, 256, 9)
+        doc, same = np.arange(n), np.zeros(n, np.int64)
+        i, j = passages._meeting(same, doc, np.ones(n, bool), np.full(n, -1), around, orders)
+        assert len(i) <= 2 * passages.ORDERS * n and (doc[j] < doc[i]).all()
+        ok = passages.agree(around[i], around[j], 0.8)
+        found += (n - 1, 1) in set(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
+    assert found == 2
+
+
 def test_passages_near_each_other_are_found_apart(spark):
     rng = random.Random(4)
     one, two, three = words(55, rng), words(60, rng), words(52, rng)
