@@ -1,8 +1,10 @@
+import itertools
 import random
 import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +168,47 @@ def test_places_of_a_common_seed_meet_their_like_in_linear_time():
     assert found == 2
 
 
+def test_first_documents_of_a_common_passage_are_not_looked_at_again(spark, monkeypatch):
+    """All have one passage, found in the first round; before, its first documents sent all places of its seeds to the second."""
+    small, made, rng = passages.small, {}, random.Random(26)
+    monkeypatch.setattr(passages, "PART", 4)
+    monkeypatch.setattr(passages, "small", lambda df, name: made.setdefault(name, small(df, name)))
+    one = words(60, rng)
+    rows = [(i, " ".join(words(40, rng) + one + words(40, rng))) for i in range(12)]
+    assert passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 11
+    assert made["open-seeds"].count() == 0
+
+
+def test_places_of_a_hot_seed_are_dealt_to_few_tasks_and_meet():
+    """Twelve rows a place before, one for each order; now five, and what meets is sorted in all orders."""
+    rng, n = np.random.default_rng(8), 3000
+    codes = rng.integers(0, 256, (n, 110)).astype(np.uint16)
+    codes[:, 40:60] = codes[0, 40:60]  # a common phrase with the seed
+    codes[n - 200 :, 30:85] = codes[:200, 30:85]
+    for row in codes[n - 200 :]:
+        row[rng.choice([*range(30, 40), *range(60, 85)], 8, replace=False)] = 300
+    kind = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.list_(pa.int32())), ("open", pa.list_(pa.bool_())), ("hot", pa.bool_())]))
+    at = pa.array([[{"seed": 5, "at": [48], "open": [True], "hot": True}]] * n, kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), at, pa.array([c.tobytes() for c in codes], pa.binary())], ["doc_id", "at", "codes"])
+    out = pa.Table.from_batches(passages.surroundings(50)(iter([batch])))
+    assert out.num_rows == 5 * n
+    found = pa.Table.from_batches(passages.meetings(50, 0.8)(iter(out.sort_by("key").to_batches()))).to_pydict()
+    pairs = set(zip(found["doc_id"], found["other"], strict=True))
+    assert sum((n - 200 + i, i) in pairs for i in range(200)) >= 190
+
+
+def test_shortcuts_of_alignment_match_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(500):
+        a, b = (rng.integers(0, rng.integers(1, 5), rng.integers(0, 12)).astype(np.uint64) for _ in range(2))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        assert passages.common(a, b) == table[-1, -1]
+        line, size = rng.integers(0, 9, 60).astype(np.uint64), int(rng.integers(1, 30))
+        assert passages.least_of_windows(line, size).tolist() == [i + int(line[i : i + size].argmin()) for i in range(61 - size)]
+
+
 def test_passages_near_each_other_are_found_apart(spark):
     rng = random.Random(4)
     one, two, three = words(55, rng), words(60, rng), words(52, rng)
