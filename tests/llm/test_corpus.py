@@ -197,6 +197,28 @@ def test_places_of_a_hot_seed_are_dealt_to_few_tasks_and_meet():
     assert sum((n - 200 + i, i) in pairs for i in range(200)) >= 190
 
 
+@pytest.mark.parametrize("hot", [0, 1, 2])
+def test_every_pair_of_places_that_agree_is_found(hot):
+    """Before, a place of a seed with over 32 went with its neighbours in twelve orders only; here most are like many others."""
+    rng, n = np.random.default_rng(11), 400
+    kinds = rng.integers(0, 256, (3, 110))
+    codes = kinds[rng.integers(0, 3, n)].astype(np.uint16)
+    for row in codes:
+        row[rng.choice(110, rng.integers(10, 60), replace=False)] = rng.integers(0, 256)
+    kind = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.list_(pa.int32())), ("open", pa.list_(pa.bool_())), ("hot", pa.int32())]))
+    at = pa.array([[{"seed": 5, "at": [48], "open": [i % 3 > 0], "hot": hot}] for i in range(n)], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), at, pa.array([c.tobytes() for c in codes], pa.binary())], ["doc_id", "at", "codes"])
+    out = pa.Table.from_batches(passages.surroundings(50)(iter([batch])))
+    assert out.num_rows == n * max(1, passages.BLOCKS * hot)
+    found = pa.Table.from_batches(passages.meetings(50, 0.8)(iter(out.sort_by("key").to_batches()))).to_pydict()
+    pairs = list(zip(found["doc_id"], found["other"], strict=True))
+    around = codes.astype(np.uint8)[:, 48 + passages.beside(50)]
+    i, j = (v.ravel() for v in np.meshgrid(range(n), range(n), indexing="ij"))
+    i, j = i[(j < i) & (i % 3 > 0)], j[(j < i) & (i % 3 > 0)]
+    ok = passages.agree(around[i], around[j], 0.8)
+    assert sorted(pairs) == sorted(zip(i[ok].tolist(), j[ok].tolist(), strict=True)) and len(pairs) > 4000
+
+
 def test_shortcuts_of_alignment_match_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(500):
