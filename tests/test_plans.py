@@ -24,3 +24,23 @@ def test_a_form_is_shuffled_once_for_all_rules(spark):
     fields = candidates.form_fields(cells, runs)
     assert fields._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert [(r.row, r.col, r.rule, r.label, r.unit, r.editable) for r in fields.collect()] == [(0, 1, 1, "성명", "person-name", True)]
+
+
+@pytest.mark.parametrize("name", ["f01_candidates", "f09_editable_fields", "f16_public_fields", "f17_form_profile", "f18_correct_candidates", "f18_correction_problems", "g05_apply_edits", "q03_diff_fixed", "q05_check_applied", "q06_read_back"])
+def test_cells_are_made_behind_the_shuffle(spark, name):
+    """Lines are dealt by form before they become cells; before, cells, labels and runs were shuffled by table and edits joined by place."""
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    keys = [line.split("hashpartitioning(")[1].split("#")[0] for line in plan.split("\n") if "Exchange hashpartitioning(" in line]
+    assert keys and set(keys) <= {"_groupingexpression", "form_id", "job_id"}
+    assert "section#" not in "".join(line for line in plan.split("\n") if "Exchange hashpartitioning(" in line)
+    assert "grid-filled-" not in plan and "/fields-" not in plan
+
+
+def test_joins_of_rows_that_lie_together_match_joins(spark):
+    from slotweave.operators import colocated
+
+    left = spark.createDataFrame([("f", 1, "a"), ("f", 1, "b"), ("f", None, "c"), ("g", 2, "d"), (None, 1, "e")], "form_id string, row int, x string")
+    right = spark.createDataFrame([("f", 1, "p"), ("f", 1, None), ("f", None, "q"), (None, 1, "r"), ("h", 3, "s")], "form_id string, row int, y string")
+    for join in (colocated.left_join, colocated.left_anti):
+        one, two = (sorted(map(str, join(left, right, ["form_id", "row"], clustered).collect())) for clustered in (False, True))
+        assert one == two and len(one) == (7 if join is colocated.left_join else 3)
