@@ -26,7 +26,7 @@ def test_a_form_is_shuffled_once_for_all_rules(spark):
     assert [(r.row, r.col, r.rule, r.label, r.unit, r.editable) for r in fields.collect()] == [(0, 1, 1, "성명", "person-name", True)]
 
 
-@pytest.mark.parametrize("name", ["f01_candidates", "f09_editable_fields", "f16_public_fields", "f17_form_profile", "f18_correct_candidates", "f18_correction_problems", "g05_apply_edits", "q03_diff_fixed", "q05_check_applied", "q06_read_back", "g03_guard_edits", "g03_guard_problems", "g04_overlaps", "q04_diff_protected"])
+@pytest.mark.parametrize("name", ["f01_candidates", "f09_editable_fields", "f16_public_fields", "f17_form_profile", "f18_correct_candidates", "f18_correction_problems", "g05_apply_edits", "q03_diff_fixed", "q05_check_applied", "q06_read_back", "g03_guard_edits", "g03_guard_problems", "g04_overlaps", "q04_diff_protected", "t11_cell_labels", "t12_table_fields"])
 def test_cells_are_made_behind_the_shuffle(spark, name):
     """Lines are dealt by form before they become cells; before, cells, labels and runs were shuffled by table and edits joined by place."""
     plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
